@@ -8,77 +8,89 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .text import any_of
 
 NO_ADDRESS = "<nil>"
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"{_OCTET}(\.{_OCTET}){{3}}"
-_V4_MAPPED = "00000000000000000000ffff"
+_GROUPS = "[0-9a-f]{1,4}(:[0-9a-f]{1,4})*"
+_V6_SHAPE = f"^({_GROUPS}|{_GROUPS}::|::{_GROUPS}|{_GROUPS}::{_GROUPS}|::)$"
 
 
 def is_v4(text: Column) -> Column:
     return text.rlike(f"^{_V4}$")
 
 
-def _v4_from_hex(hex8: Column) -> Column:
-    return F.concat_ws(".", *[F.conv(F.substring(hex8, i, 2), 16, 10) for i in (1, 3, 5, 7)])
+def _eight_groups(text: Column) -> Column:
+    """Lower-case IPv6 text with ``::`` written out; NULL where it is malformed."""
+    known = F.regexp_count(text, F.lit("[0-9a-f]+"))
+    short = text.contains("::")
+    zeros = F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.lit(8) - known))
+    valid = text.rlike(_V6_SHAPE) & F.when(short, known <= 7).otherwise(known == 8)
+    return F.when(valid, F.when(short, F.btrim(F.replace(text, F.lit("::"), zeros), F.lit(":"))).otherwise(text))
 
 
-def v6_hex(text: Column) -> Column:
-    """The 32 hex digits of an IPv6 address; NULL where the text is not one."""
+def _hex_tail(text: Column) -> Column:
+    """Lower case; a dotted IPv4 tail becomes two hex groups."""
     low = F.lower(text)
-    tail = F.regexp_extract(low, rf"^[0-9a-f:]*:({_V4})$", 1)
-    octets = F.split(tail, r"\.")
-    pair = [F.lower(F.lpad(F.conv(octets.getItem(i), 10, 16), 2, "0")) for i in range(4)]
-    plain = F.when(
-        tail != "",
-        F.concat(F.regexp_extract(low, r"^([0-9a-f:]*:)[0-9.]+$", 1),
-                 pair[0], pair[1], F.lit(":"), pair[2], pair[3]),
-    ).otherwise(low)
-    halves = F.split(plain, "::", -1)
-
-    def groups(half: Column) -> Column:
-        return F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
-
-    left = groups(halves.getItem(0))
-    right = F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    known = F.size(left) + F.size(right)
-    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - known, F.lit(0))), right)
-    well_formed = (
-        (((F.size(halves) == 1) & (known == 8)) | ((F.size(halves) == 2) & (known <= 7)))
-        & F.forall(filled, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    )
-    return F.when(text.contains(":") & well_formed,
-                  F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ""))
-
-
-def _v6_text(hex32: Column) -> Column:
-    """Canonical text: lower case, no leading zeros, longest zero run as ``::``."""
-    groups = F.transform(
-        F.sequence(F.lit(1), F.lit(29), F.lit(4)),
-        lambda i: F.regexp_replace(F.substring(hex32, i, F.lit(4)), "^0{1,3}", ""))
-    joined = F.array_join(groups, ":")
+    octets = F.split(F.substring_index(low, ":", -1), r"\.")
+
+    def pair(i: int) -> Column:
+        high, low_part = (F.get(octets, F.lit(k)).try_cast("int") for k in (i, i + 1))
+        return F.lower(F.hex(high * 256 + low_part))
+
+    dotted = F.concat(F.regexp_extract(low, r"^([0-9a-f:]*:)", 1), pair(0), F.lit(":"), pair(2))
+    return F.when(low.rlike(f"^[0-9a-f:]*:{_V4}$"), dotted).otherwise(low)
+
+
+def _shortest(groups: Column) -> Column:
+    """Longest run of zero groups as ``::`` (the first of equals)."""
     text = None
     for run in range(8, 1, -1):
         zeros = rf"(^|:)0(:0){{{run - 1}}}(:|$)"
-        shorter = F.regexp_replace(joined, rf"^(.*?){zeros}(.*)$", "$1::$5")
-        hit = joined.rlike(zeros)
+        hit = groups.rlike(zeros)
+        shorter = F.regexp_replace(groups, rf"^(.*?){zeros}(.*)$", "$1::$5")
         text = F.when(hit, shorter) if text is None else text.when(hit, shorter)
-    return text.otherwise(joined)
+    return text.otherwise(groups)
 
 
-def canonical_ip(text: Column) -> Column:
-    """Canonical address of a ``remote_addr`` value, ``<nil>`` if it has none.
+def _mapped_v4(groups: Column) -> Column:
+    """Dotted form of an IPv4 address in IPv6 clothing."""
+    part = F.split(groups, ":")
+    octets = []
+    for i in (6, 7):
+        value = F.conv(F.get(part, F.lit(i)), 16, 10).try_cast("int")
+        octets += [F.floor(value / 256).cast("string"), (value % 256).cast("string")]
+    return F.concat_ws(".", *octets)
 
-    A comma list (forwarded-for form) stands for its first entry.
+
+def with_address(df: DataFrame, source: Column, name: str = "ip") -> DataFrame:
+    """``df`` plus the canonical address of a ``remote_addr`` text.
+
+    A comma list (forwarded-for form) stands for its first entry; what is no
+    address is ``<nil>``.  The steps are projections of their own, so that each
+    is computed once, and all but the first only for texts with a colon.
     """
-    first = F.when(text.contains(","), F.trim(F.get(F.split(text, ","), F.lit(0)))).otherwise(text)
-    hex32 = v6_hex(first)
-    v6 = (F.when(hex32.startswith(_V4_MAPPED), _v4_from_hex(F.substring(hex32, 25, 8)))
-          .when(hex32.isNotNull(), _v6_text(hex32)))
-    return F.coalesce(
-        F.when(is_v4(first), first).when(first.contains(":"), v6),
-        F.lit(NO_ADDRESS))
+    first = F.when(source.contains(","), F.trim(F.get(F.split(source, ","), F.lit(0)))).otherwise(source)
+    steps = df.withColumn("_text", first)
+    steps = steps.withColumn("_v6", F.when(F.col("_text").contains(":"), _hex_tail(F.col("_text"))))
+    steps = steps.withColumn("_v6", F.when(F.col("_v6").isNotNull(), _eight_groups(F.col("_v6"))))
+    groups = F.col("_v6")
+    steps = steps.withColumn("_v6", F.when(groups.isNotNull(), F.regexp_replace(groups, r"(^|:)0{1,3}(?=[0-9a-f])", "$1")))
+    v6 = F.when(groups.startswith("0:0:0:0:0:ffff:"), _mapped_v4(groups)).when(groups.isNotNull(), _shortest(groups))
+    return steps.withColumn(name, F.coalesce(
+        F.when(is_v4(F.col("_text")), F.col("_text")).when(groups.isNotNull(), v6), F.lit(NO_ADDRESS),
+    )).drop("_text", "_v6")
+
+
+def v6_hex(ip: Column) -> Column:
+    """The 32 hex digits of a canonical IPv6 address; NULL for anything else."""
+    padded = F.when(ip.contains(":"), _eight_groups(ip))
+    for width in (1, 2, 3):
+        padded = F.regexp_replace(padded, rf"(^|:)([0-9a-f]{{{width}}})(?=:|$)", "$1" + "0" * (4 - width) + "$2")
+    return F.replace(padded, F.lit(":"), F.lit(""))
 
 
 def v4_number(ip: Column) -> Column:
@@ -89,10 +101,18 @@ def v4_number(ip: Column) -> Column:
     return F.when(is_v4(ip), number)
 
 
-def in_network(ip: Column, cidr: str) -> Column:
-    """True where ``ip`` lies in ``cidr`` (IPv4 or IPv6); ``<nil>`` never does."""
-    net = ipaddress.ip_network(cidr, strict=False)
-    low, high = net.network_address, net.broadcast_address
-    if net.version == 4:
-        return F.coalesce(v4_number(ip).between(int(low), int(high)), F.lit(False))
-    return F.coalesce(v6_hex(ip).between(low.packed.hex(), high.packed.hex()), F.lit(False))
+def in_networks(ip: Column, cidrs) -> Column:
+    """True where ``ip`` lies in one of a few networks (IPv4 or IPv6); ``<nil>`` never does.
+
+    The address is converted once per version, however many networks there are.
+    """
+    nets = [ipaddress.ip_network(c, strict=False) for c in cidrs]
+    tests = []
+    for version, number in ((4, v4_number(ip)), (6, v6_hex(ip))):
+        ranges = [(n.network_address, n.broadcast_address) for n in nets if n.version == version]
+        bounds = [(int(a), int(b)) if version == 4 else (a.packed.hex(), b.packed.hex()) for a, b in ranges]
+        if len(bounds) == 1:
+            tests.append(number.between(*bounds[0]))
+        elif bounds:
+            tests.append(F.exists(F.array(number), lambda x, bounds=bounds: any_of(x.between(*b) for b in bounds)))
+    return any_of(F.coalesce(t, F.lit(False)) for t in tests)

@@ -8,19 +8,20 @@ from .fixed_values import (
     AI_BOT_NAMES, BOT_BASE_SCORES, BOT_CATEGORIES, BOT_DEFAULT_SCORE, BOT_SIGNATURES,
     GENERIC_BOT_WORDS, MALICIOUS_USER_AGENTS, TSV_BOT_WORDS,
 )
-from .text import contains_any, first_match
+from .text import any_of, contains_any, first_match
 
-# Browser families: (name, pattern whose first group is the version).  Order
-# matters, since most browsers also name the ones they imitate.
+# Browser families: (name, words one of which must occur, pattern whose first
+# group is the version).  Order matters, since most browsers also name the ones
+# they imitate.  The words keep most texts away from the patterns.
 BROWSER_RULES = (
-    ("Edge", r"Edge?/([0-9.]+)"),
-    ("Opera", r"(?:OPR|Opera)/([0-9.]+)"),
-    ("Samsung Internet", r"SamsungBrowser/([0-9.]+)"),
-    ("Firefox", r"(?:Firefox|FxiOS)/([0-9.]+)"),
-    ("Chrome", r"(?:Chrome|CriOS)/([0-9.]+)"),
-    ("Internet Explorer", r"(?:MSIE |Trident/.*rv:)([0-9.]+)"),
-    ("Safari", r"Version/([0-9.]+).*Safari/"),
-    ("Safari", r"Safari/([0-9.]+)"),
+    ("Edge", ("Edg/", "Edge/"), r"Edge?/([0-9.]+)"),
+    ("Opera", ("OPR/", "Opera/"), r"(?:OPR|Opera)/([0-9.]+)"),
+    ("Samsung Internet", ("SamsungBrowser/",), r"SamsungBrowser/([0-9.]+)"),
+    ("Firefox", ("Firefox/", "FxiOS/"), r"(?:Firefox|FxiOS)/([0-9.]+)"),
+    ("Chrome", ("Chrome/", "CriOS/"), r"(?:Chrome|CriOS)/([0-9.]+)"),
+    ("Internet Explorer", ("MSIE ", "Trident/"), r"(?:MSIE |Trident/.*rv:)([0-9.]+)"),
+    ("Safari", ("Version/",), r"Version/([0-9.]+).*Safari/"),
+    ("Safari", ("Safari/",), r"Safari/([0-9.]+)"),
 )
 # Operating systems: (name, substring).
 OS_RULES = (
@@ -53,12 +54,13 @@ def parse_user_agent(user_agent: Column) -> Column:
     product = F.regexp_extract(user_agent, r"^([A-Za-z][^/ ]*)/([0-9][0-9.]*)", 1)
     version = F.regexp_extract(user_agent, r"^([A-Za-z][^/ ]*)/([0-9][0-9.]*)", 2)
     browser = None
-    for name, pattern in BROWSER_RULES:
-        hit = user_agent.rlike(pattern)
+    for name, words, pattern in BROWSER_RULES:
+        hit = any_of(user_agent.contains(w) for w in words) & user_agent.rlike(pattern)
         label = F.concat(F.lit(name + " "), F.regexp_extract(user_agent, pattern, 1))
         browser = F.when(hit, label) if browser is None else browser.when(hit, label)
     # Clients that are not browsers are named by their leading product token.
-    browser = browser.when((product != "") & (product != "Mozilla"), F.concat(product, F.lit(" "), version)).otherwise("")
+    browser = browser.when(~user_agent.startswith("Mozilla/") & (product != ""),
+                           F.concat(product, F.lit(" "), version)).otherwise("")
     system = first_match(user_agent, [(name, (word,)) for name, word in OS_RULES], default="")
     device = (F.when(contains_any(user_agent, MOBILE_WORDS), "Mobile")
               .when(is_bot(user_agent), "Bot").otherwise("Desktop"))

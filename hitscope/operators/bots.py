@@ -64,11 +64,16 @@ def bot_category_shares(profile: DataFrame) -> DataFrame:
 
 
 def bots_in_category(profile: DataFrame, n: int | None = None) -> DataFrame:
-    """Bots ranked inside their category; all of them unless ``n`` is given."""
+    """Bots inside their category, most requests first.
+
+    With ``n`` only the ``n`` leading ones, ranked.  Without it the whole list
+    is sorted by range, so that no category has to fit one task.
+    """
+    listed = profile.select("category", "user_agent", "count", "bytes", "unique_paths", "legitimacy_score", "is_ai_bot")
+    if n is None:
+        return listed.orderBy("category", F.col("count").desc(), "user_agent")
     w = Window.partitionBy("category").orderBy(F.col("count").desc(), F.col("user_agent").asc())
-    ranked = profile.select("category", "user_agent", "count", "bytes", "unique_paths", "legitimacy_score",
-                            "is_ai_bot", F.row_number().over(w).alias("rank"))
-    return ranked if n is None else ranked.where(F.col("rank") <= n)
+    return listed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def bot_behavior(profile: DataFrame) -> DataFrame:

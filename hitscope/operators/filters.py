@@ -8,7 +8,8 @@ import ipaddress
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.addresses import in_network, v4_number, v6_hex
+from ..functions import addresses
+from ..functions.addresses import v4_number, v6_hex
 from ..functions.fixed_values import API_ONLY_PATTERN, BLOCKED_STATUSES
 from ..functions.text import all_of, any_of
 from ..functions.user_agents import is_bot
@@ -30,7 +31,7 @@ def in_methods(methods) -> Column:
 
 
 def in_networks(cidrs) -> Column:
-    return any_of(in_network(F.col("ip"), c) for c in cidrs)
+    return addresses.in_networks(F.col("ip"), cidrs)
 
 
 def in_time_range(start, end) -> Column:
@@ -117,16 +118,16 @@ def in_network_table(df: DataFrame, cidrs: list[str]) -> DataFrame:
           format(int(n.network_address), "032b" if n.version == 4 else "0128b")[:n.prefixlen]) for n in merged],
         "_version int, _length int, _prefix string")
     lengths = {v: sorted({n.prefixlen for n in merged if n.version == v}) for v in (4, 6)}
-    bits4 = F.lpad(F.bin(v4_number(F.col("ip"))), 32, "0")
-    digits = F.filter(F.split(v6_hex(F.col("ip")), ""), lambda d: d != "")
-    bits6 = F.array_join(F.transform(digits, lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
-    addresses = df.select("ip").distinct().select("ip", bits4.alias("_b4"), F.when(F.col("ip").contains(":"), bits6).alias("_b6"))
-    prefixes = F.concat(
-        F.array(*[F.struct(F.lit(4).alias("_version"), F.lit(n).alias("_length"), F.substring("_b4", 1, n).alias("_prefix"))
-                  for n in lengths[4]]).cast("array<struct<_version:int,_length:int,_prefix:string>>"),
-        F.array(*[F.struct(F.lit(6).alias("_version"), F.lit(n).alias("_length"), F.substring("_b6", 1, n).alias("_prefix"))
-                  for n in lengths[6]]).cast("array<struct<_version:int,_length:int,_prefix:string>>"))
-    inside = (addresses.select("ip", F.inline(prefixes)).join(table, ["_version", "_length", "_prefix"], "left_semi")
+    bits = {4: F.lpad(F.bin(v4_number(F.col("ip"))), 32, "0")}
+    if lengths[6]:
+        digits = F.filter(F.split(v6_hex(F.col("ip")), ""), lambda d: d != "")
+        bits[6] = F.when(F.col("ip").contains(":"), F.array_join(
+            F.transform(digits, lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), ""))
+    known = df.select("ip").distinct().select("ip", *[c.alias(f"_bits{v}") for v, c in bits.items()])
+    prefixes = F.array(*[
+        F.struct(F.lit(v).alias("_version"), F.lit(n).alias("_length"), F.substring(f"_bits{v}", 1, n).alias("_prefix"))
+        for v in bits for n in lengths[v]])
+    inside = (known.select("ip", F.inline(prefixes)).join(table, ["_version", "_length", "_prefix"], "left_semi")
               .select("ip").distinct())
     return df.join(inside, "ip", "left_semi")
 

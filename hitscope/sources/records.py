@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.addresses import NO_ADDRESS, canonical_ip
+from ..functions.addresses import with_address
 from ..functions.times import float_prefix, int_prefix, parse_time
 from ..functions.user_agents import is_bot, is_bot_short, parse_user_agent
 from ..schema import HIT_COLUMNS, RAW_JSON, UA
@@ -52,10 +52,11 @@ def normalize(records: DataFrame, record: str = "record", default_ts: Column | N
     r = F.col(record)
     method, path = split_request(r["request"])
     agent = r["user_agent"]
-    return records.select(
+    located = records if "_ip" in records.columns else with_address(records, F.coalesce(r["remote_addr"], F.lit("")), "_ip")
+    return located.select(
         *keep,
         *_or_default(parse_time(r["time"]), default_ts),
-        canonical_ip(F.coalesce(r["remote_addr"], F.lit(""))).alias("ip"),
+        F.col("_ip").alias("ip"),
         method.alias("method"), path.alias("path"),
         _status(r["status"]).alias("status"),
         _bytes(r["body_bytes_sent"]).alias("bytes_sent"),
@@ -79,7 +80,9 @@ def _is_object() -> Column:
 
 def parse_json(lines: DataFrame, default_ts: Column | None = None, keep: tuple[str, ...] = ("seq",)) -> DataFrame:
     """NDJSON lines to normalized records; blank and malformed lines are dropped."""
-    parsed = lines.where(_is_object()).select(*keep, _json_record().alias("record"))
+    # Exploding a one-element array keeps the check for malformed records above
+    # the parse; as a plain projection it would be pushed down and parse twice.
+    parsed = lines.where(_is_object()).select(*keep, F.explode(F.array(_json_record())).alias("record"))
     return normalize(parsed.where(F.col("record._corrupt_record").isNull()), default_ts=default_ts, keep=keep)
 
 
@@ -116,23 +119,31 @@ def _tsv_fields(default_ts: Column | None) -> dict[str, Column]:
     ts, defaulted = _or_default(F.when(~field(0).rlike(r"^\s*[+-]?[0-9.]+\s*$") & field(0).contains("-"),
                                        parse_time(field(0))), default_ts)
     return {
-        "ts": ts, "ts_defaulted": defaulted, "ip": _bare_ip(field(1)),
+        "ts": ts, "ts_defaulted": defaulted, "ip": F.col("_ip"),
         "method": field(2), "path": field(3), "status": _status(field(4)), "bytes_sent": _bytes(field(5)),
         "response_time": _seconds(field(6)), "user_agent": field(7), "is_bot": is_bot_short(field(7)),
         "country": field(8), "handler": field(9),
     }
 
 
-def _bare_ip(text: Column) -> Column:
+def _single(text: Column) -> Column:
     """An address field that may not be a list."""
-    return F.when(text.contains(","), NO_ADDRESS).otherwise(canonical_ip(text))
+    return F.when(~text.contains(","), text).otherwise("")
+
+
+def _tsv_address() -> Column:
+    return _single(F.get(F.split(F.trim("value"), "\t", -1), F.lit(1)))
+
+
+def _columns_address() -> Column:
+    return _single(F.get(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+"), F.lit(3)))
 
 
 def parse_tsv(lines: DataFrame, default_ts: Column | None = None, keep: tuple[str, ...] = ("seq",)) -> DataFrame:
     """Lines of at least 10 tab-separated fields: time, address, method, path, status,
     bytes, seconds, user agent, country, handler."""
     tabbed = lines.where(F.size(F.split(F.trim("value"), "\t", -1)) >= 10)
-    return tabbed.select(*_plain(_tsv_fields(default_ts), keep))
+    return with_address(tabbed, _tsv_address(), "_ip").select(*_plain(_tsv_fields(default_ts), keep))
 
 
 def _column_fields(default_ts: Column | None) -> dict[str, Column]:
@@ -141,7 +152,7 @@ def _column_fields(default_ts: Column | None) -> dict[str, Column]:
     return {
         "ts": ts, "ts_defaulted": defaulted,
         "status": _status(F.get(part, F.lit(0))), "response_time": _seconds(F.get(part, F.lit(1))),
-        "country": F.get(part, F.lit(2)), "ip": _bare_ip(F.get(part, F.lit(3))),
+        "country": F.get(part, F.lit(2)), "ip": F.col("_ip"),
         "method": F.get(part, F.lit(4)), "path": F.coalesce(F.get(part, F.lit(5)), F.lit("")),
         "user_agent": F.lit(""),
     }
@@ -153,7 +164,7 @@ def parse_columns(lines: DataFrame, default_ts: Column | None = None, keep: tupl
     They carry no time, so ``ts`` is ``default_ts``.  Fewer than 5 fields: dropped.
     """
     whole = lines.where(F.size(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")) >= 5)
-    return whole.select(*_plain(_column_fields(default_ts), keep))
+    return with_address(whole, _columns_address(), "_ip").select(*_plain(_column_fields(default_ts), keep))
 
 
 def parse_mixed(lines: DataFrame, default_ts: Column | None = None, keep: tuple[str, ...] = ("seq",)) -> DataFrame:
@@ -167,13 +178,17 @@ def parse_mixed(lines: DataFrame, default_ts: Column | None = None, keep: tuple[
     is_columns = ~is_json & ~is_tsv & (F.size(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")) >= 5)
     tagged = lines.where((is_json & text.endswith("}")) | is_tsv | is_columns).select(
         *keep, "value", F.when(is_json, "json").when(is_tsv, "tsv").otherwise("columns").alias("_format"),
-        F.when(is_json, _json_record()).alias("record"))
+        F.explode(F.array(F.when(is_json, _json_record()))).alias("record"))
     tagged = tagged.where(F.col("record._corrupt_record").isNull())
     kind = F.col("_format")
-    json_part = normalize(tagged, default_ts=default_ts, keep=(*keep, "value", "_format"))
+    address = F.when(kind == "json", F.coalesce(F.col("record.remote_addr"), F.lit(""))).when(
+        kind == "tsv", _tsv_address()).otherwise(_columns_address())
+    tagged = with_address(tagged, address, "_ip")
+    json_part = normalize(tagged, default_ts=default_ts, keep=(*keep, "value", "_format", "_ip"))
     tsv = _plain(_tsv_fields(default_ts), ())
     columns = _plain(_column_fields(default_ts), ())
     return json_part.select(*keep, *[
+        F.col("_ip").alias("ip") if name == "ip" else
         F.when(kind == "json", F.col(name)).when(kind == "tsv", t).otherwise(c).alias(name)
         for name, t, c in zip(HIT_COLUMNS, tsv, columns)])
 

@@ -66,19 +66,23 @@ def _text(referer: bool) -> str:
     return text
 
 
-def hits(spark: SparkSession, sf_dir: str, referer: bool = False) -> DataFrame:
+def hits(spark: SparkSession, sf_dir: str, referer: bool = False, stream: bool = False) -> DataFrame:
     """The view as a DataFrame.
 
     Without ``referer`` no page is read: the join with ``pages`` is the only
-    part of the view that shuffles events, and few operators need it.
+    part of the view that shuffles events, and few operators need it.  With
+    ``stream`` the events are read as a stream.
     """
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "nation")}
-    text = _text(referer)
-    for brace in ("${jndi", "{{7*7}}"):
-        text = text.replace(brace, brace.replace("{", "{{").replace("}", "}}"))
-    text = text.replace("ldap://h/a}", "ldap://h/a}}")
+    if stream:
+        tables["events"] = spark.readStream.schema(tables["events"].schema).option(
+            "pathGlobFilter", "events.parquet").parquet(sf_dir)
     if referer:
         tables["pages"] = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    # Only the table marks are meant as marks; other braces belong to the text.
+    text = _text(referer).replace("{", "{{").replace("}", "}}")
+    for table in tables:
+        text = text.replace("{{" + table + "}}", "{" + table + "}")
     return spark.sql(text, **tables)
 
 
