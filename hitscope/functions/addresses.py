@@ -101,6 +101,10 @@ def v4_number(ip: Column) -> Column:
     return F.when(is_v4(ip), number)
 
 
+def _within(bounds):
+    return lambda number: any_of(number.between(*b) for b in bounds)
+
+
 def in_networks(ip: Column, cidrs) -> Column:
     """True where ``ip`` lies in one of a few networks (IPv4 or IPv6); ``<nil>`` never does.
 
@@ -114,5 +118,5 @@ def in_networks(ip: Column, cidrs) -> Column:
         if len(bounds) == 1:
             tests.append(number.between(*bounds[0]))
         elif bounds:
-            tests.append(F.exists(F.array(number), lambda x, bounds=bounds: any_of(x.between(*b) for b in bounds)))
+            tests.append(F.exists(F.array(number), _within(bounds)))
     return any_of(F.coalesce(t, F.lit(False)) for t in tests)
