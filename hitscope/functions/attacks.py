@@ -100,12 +100,18 @@ def path_flags(df: DataFrame) -> dict[str, Column]:
     low, failed = F.lower(path), is_failed_login(status)
     flags["http_method_anomaly"] = F.col("method").isin(*SUSPICIOUS_METHODS)
     flags["brute_force"] = failed & contains_any(low, BRUTE_FORCE_WORDS)
-    flags["failed_login"] = failed & contains_any(low, CREDENTIAL_WORDS)
-    flags["is_api_path"] = is_abuse_api_path(path)
+    flags |= sequence_flags()
     flags["introspection"] = is_introspection(path)
     return flags
 
 
+def sequence_flags() -> dict[str, Column]:
+    """What the once-per-address rules need to know of a record."""
+    path = F.col("path")
+    return {"failed_login": is_failed_login(F.col("status")) & contains_any(F.lower(path), CREDENTIAL_WORDS),
+            "is_api_path": is_abuse_api_path(path)}
+
+
 def agent_flags(agent: Column, scan_user_agent: bool = True) -> dict[str, Column]:
     """Rule name -> what the user agent alone says."""
     names = (*READS_AGENT, *READS_BOTH) if scan_user_agent else READS_BOTH

@@ -93,16 +93,15 @@ def third_type(first: dict[str, str]) -> Column:
     (``after`` 1).
     """
     at_once = {*CORE, "brute_force"}
-    seen = F.array(*[
-        F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("seq"), F.lit(0 if t in at_once else 1).alias("after")))
-        for t, c in first.items()])
-    return F.get(F.array_sort(F.array_compact(seen)), F.lit(SCAN_TYPES - 1))
+    seen = ", ".join(
+        f"CASE WHEN {c} IS NOT NULL THEN struct({c} AS seq, {0 if t in at_once else 1} AS after) END" for t, c in first.items())
+    return F.expr(f"get(array_sort(array_compact(array({seen}))), {SCAN_TYPES - 1})")
 
 
 def scanning(flagged: DataFrame, per_ip: DataFrame, seq: str = "seq") -> DataFrame:
     """(ip, scanning_seq): the record at which each scanning address is found out.
 
-    ``per_ip`` is the table of ``security.ip_profile``.  Only addresses whose
+    ``flagged`` need only have (ip, seq); ``per_ip`` is the table of ``security.ip_profile``.  Only addresses whose
     third type counts from their next record need another look at the rows.
     """
     third = F.col("third_type")

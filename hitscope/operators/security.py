@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.attacks import (
     ATTACK_TYPES, CORE, EXTENDED, RECORD_TYPES, agent_flags, flag_attacks, path_flags,
-    platform_flags, sensitive_file_label, web_shell_label, xxe_head, xxe_tail,
+    platform_flags, sensitive_file_label, sequence_flags, web_shell_label, xxe_head, xxe_tail,
 )
 from ..functions.fixed_values import (
     ATTACK_LABELS, EXTENDED_ATTACK_LABELS, RECOMMENDATIONS, RECOMMENDATION_DEFAULT,
@@ -63,12 +63,20 @@ def threat_events(df: DataFrame, seq: str = "seq", scan_user_agent: bool = True)
 
 # The per-address profile ----------------------------------------------------
 
-def score(counts: dict[str, Column], requests: Column, errors: Column, duration: Column, types: Column) -> Column:
-    """Threat score 0..100."""
-    weighted = reduce(lambda a, b: a + b, [counts[t] * F.lit(float(w)) for t, w in THREAT_WEIGHTS.items() if t in counts])
-    fast = F.when((duration > 0) & (requests / F.when(duration > 0, duration) > DDOS_RATE), 15.0).otherwise(0.0)
-    variety = F.when(types >= 5, 10.0).when(types >= 3, 5.0).otherwise(0.0)
-    return F.least(weighted + ratio(errors, requests) * 20 + fast + variety, F.lit(100.0))
+# The expressions below repeat over some twenty attack types.  They are written
+# as SQL text: one call per column instead of one per operator in it.
+
+def score() -> Column:
+    """Threat score 0..100 from the counters of a profile row."""
+    weighted = " + ".join(f"{weight}D * {name}" for name, weight in THREAT_WEIGHTS.items())
+    return F.expr(f"""least({weighted}
+        + CASE WHEN request_count > 0 THEN 20D * error_count / request_count ELSE 0D END
+        + CASE WHEN duration > 0 AND request_count / duration > {DDOS_RATE}D THEN 15D ELSE 0D END
+        + CASE WHEN attack_type_count >= 5 THEN 10D WHEN attack_type_count >= 3 THEN 5D ELSE 0D END, 100D)""")
+
+
+def attack_type_count() -> Column:
+    return F.expr(" + ".join(f"CAST({t} > 0 AS INT)" for t in ATTACK_TYPES))
 
 
 def _agent_groups(df: DataFrame, seq: str, scan_user_agent: bool) -> DataFrame:
@@ -79,49 +87,42 @@ def _agent_groups(df: DataFrame, seq: str, scan_user_agent: bool) -> DataFrame:
     per record: if it matches, all records of the group do.
     """
     by_path = path_flags(df)
-    agent = F.col("user_agent")
     path_types = [t for t in RECORD_TYPES if t in by_path]
     rows = df.select("ip", "country", "user_agent", "status", F.col(seq).alias("_seq"), "ts",
                      *[by_path[t].alias(t) for t in path_types],
                      by_path["introspection"].alias("_introspection"), xxe_tail(F.col("path")).alias("_xxe_tail"))
-    with_tail = F.col("xxe") | F.col("_xxe_tail")
-
-    def first_where(condition: Column) -> Column:
-        return F.min(F.when(condition, F.col("_seq")))
-
-    groups = rows.groupBy("ip", "country", "user_agent").agg(
-        F.count("*").alias("request_count"), count_where(F.col("status") >= 400).alias("error_count"),
-        count_where(any_of(F.col(t) for t in CORE)).alias("core_hits"),
-        F.min("_seq").alias("_from"), F.max("_seq").alias("_to"),
-        F.min_by("ts", "_seq").alias("_first_ts"), F.max_by("ts", "_seq").alias("_last_ts"),
-        first_where(F.col("_introspection")).alias("_introspection"),
-        count_where(with_tail).alias("_xxe_any"), first_where(with_tail).alias("_first_xxe_any"),
-        *[count_where(F.col(t)).alias(t) for t in path_types],
-        *[first_where(F.col(t)).alias(f"_first_{t}") for t in path_types])
-    says = agent_flags(agent, scan_user_agent)
-    groups = groups.withColumns({f"_agent_{t}": c for t, c in says.items()}).withColumn(
-        "_quote", xxe_head(agent) if scan_user_agent else F.lit(False))
-
-    def count_of(t: str) -> Column:
-        by_path_count = F.col(t) if t in by_path else F.lit(0)
+    counters = {"error_count": "status >= 400", "core_hits": " OR ".join(CORE), "_xxe_any": "xxe OR _xxe_tail"}
+    counters |= {t: t for t in path_types}
+    firsts = {"_introspection": "_introspection", "_first_xxe_any": "xxe OR _xxe_tail"}
+    firsts |= {f"_first_{t}": t for t in path_types}
+    groups = rows.groupBy("ip", "country", "user_agent").agg(*map(F.expr, (
+        "count(*) AS request_count", "min(_seq) AS _from", "max(_seq) AS _to",
+        "min_by(ts, _seq) AS _first_ts", "max_by(ts, _seq) AS _last_ts",
+        *[f"count_if({test}) AS {name}" for name, test in counters.items()],
+        *[f"min(CASE WHEN {test} THEN _seq END) AS {name}" for name, test in firsts.items()])))
+    says = agent_flags(F.col("user_agent"), scan_user_agent)
+    groups = groups.withColumns({f"_agent_{t}": c for t, c in says.items()} | {
+        "_quote": xxe_head(F.col("user_agent")) if scan_user_agent else F.lit(False)})
+
+    def total(t: str) -> str:
+        count = t if t in by_path else "0"
         if t == "xxe":
-            by_path_count = F.when(F.col("_quote"), F.col("_xxe_any")).otherwise(by_path_count)
-        return F.when(F.col(f"_agent_{t}"), F.col("request_count")).otherwise(by_path_count) if t in says else by_path_count
+            count = "CASE WHEN _quote THEN _xxe_any ELSE xxe END"
+        return f"CASE WHEN _agent_{t} THEN request_count ELSE {count} END" if t in says else count
 
-    def first_of(t: str) -> Column:
-        by_path_first = F.col(f"_first_{t}") if t in by_path else F.lit(None)
+    def first(t: str) -> str:
+        at = f"_first_{t}" if t in by_path else "NULL"
         if t == "xxe":
-            by_path_first = F.when(F.col("_quote"), F.col("_first_xxe_any")).otherwise(by_path_first)
-        return F.when(F.col(f"_agent_{t}"), F.col("_from")).otherwise(by_path_first) if t in says else by_path_first
+            at = "CASE WHEN _quote THEN _first_xxe_any ELSE _first_xxe END"
+        return f"CASE WHEN _agent_{t} THEN _from ELSE {at} END" if t in says else at
 
-    core_by_agent = any_of(F.col(f"_agent_{t}") for t in CORE) if scan_user_agent else F.lit(False)
-    n = F.col("request_count")
-    return groups.select(
+    core_by_agent = " OR ".join(f"_agent_{t}" for t in CORE) if scan_user_agent else "false"
+    return groups.selectExpr(
         "ip", "country", "request_count", "error_count",
-        F.when(core_by_agent, n).otherwise(F.col("core_hits")).alias("core_hits"),
-        F.when(F.col("_agent_empty_ua"), n).otherwise(0).alias("empty_ua"),
+        f"CASE WHEN {core_by_agent} THEN request_count ELSE core_hits END AS core_hits",
+        "CASE WHEN _agent_empty_ua THEN request_count ELSE 0 END AS empty_ua",
         "_from", "_to", "_first_ts", "_last_ts", "_introspection",
-        *[count_of(t).alias(t) for t in RECORD_TYPES], *[first_of(t).alias(f"_first_{t}") for t in RECORD_TYPES])
+        *[f"{total(t)} AS {t}" for t in RECORD_TYPES], *[f"{first(t)} AS _first_{t}" for t in RECORD_TYPES])
 
 
 def ip_profile(df: DataFrame, seq: str = "seq", scan_user_agent: bool = True,
@@ -133,37 +134,32 @@ def ip_profile(df: DataFrame, seq: str = "seq", scan_user_agent: bool = True,
     Counters combine map-side, so an address with a third of all records
     arrives as a few rows per task.
     """
-    part = _agent_groups(df, seq, scan_user_agent)
-    flagged = flag_attacks(df, scan_user_agent)
-    sums = ("request_count", "error_count", "core_hits", "empty_ua", *RECORD_TYPES)
-    profile = part.groupBy("ip").agg(
-        *[F.sum(c).alias(c) for c in sums],
-        F.min_by("country", "_from").alias("country"),
-        F.min_by("_first_ts", "_from").alias("first_seen"), F.max_by("_last_ts", "_to").alias("last_seen"),
-        F.max("_to").alias("_to"), F.min("_introspection").alias("_introspection"),
-        *[F.min(f"_first_{t}").alias(f"_first_{t}") for t in RECORD_TYPES])
-    profile = (profile.join(running_rules(flagged, seq, chunk_rows), "ip", "left")
-               .join(credential_stuffing(flagged, seq), "ip", "left")
+    profile = _agent_groups(df, seq, scan_user_agent).groupBy("ip").agg(*map(F.expr, (
+        *[f"sum({c}) AS {c}" for c in ("request_count", "error_count", "core_hits", "empty_ua", *RECORD_TYPES)],
+        "min_by(country, _from) AS country", "min_by(_first_ts, _from) AS first_seen",
+        "max_by(_last_ts, _to) AS last_seen", "max(_to) AS _to", "min(_introspection) AS _introspection",
+        *[f"min(_first_{t}) AS _first_{t}" for t in RECORD_TYPES])))
+    marked = df.withColumns(sequence_flags())
+    profile = (profile.join(running_rules(marked, seq, chunk_rows), "ip", "left")
+               .join(credential_stuffing(marked, seq), "ip", "left")
                .withColumn("api_abuse_seq", F.least("_introspection", "api_rate_seq")))
     seen = {t: f"_first_{t}" for t in RECORD_TYPES}
     seen |= {"credential_stuffing": "credential_seq", "api_abuse": "api_abuse_seq"}
-    third = F.col("third_type")
-    has_three = F.coalesce((third["after"] == 0) | (third["seq"] < F.col("_to")), F.lit(False))
-    profile = profile.withColumn("third_type", third_type(seen)).withColumn(
-        "third_type", F.when(has_three, third)).withColumns({
-            "is_scanning": F.col("third_type").isNotNull() | F.col("error_ratio_seq").isNotNull(),
-            "credential_stuffing": F.col("credential_seq").isNotNull().cast("bigint"),
-            "api_abuse": F.col("api_abuse_seq").isNotNull().cast("bigint"),
-        }).withColumn("scanning", F.col("is_scanning").cast("bigint"))
-    counts = {t: F.col(t) for t in ATTACK_TYPES}
-    types = reduce(lambda a, b: a + b, [(c > 0).cast("int") for c in counts.values()])
-    duration = seconds_between(F.col("first_seen"), F.col("last_seen"))
-    return profile.select(
-        "ip", "country", "request_count", "error_count", "first_seen", "last_seen",
-        duration.alias("duration"), "core_hits", "empty_ua", *ATTACK_TYPES,
-        types.alias("attack_type_count"),
-        score(counts, F.col("request_count"), F.col("error_count"), duration, types).alias("threat_score"),
-        "is_scanning", "third_type", "error_ratio_seq", "credential_seq", "api_abuse_seq")
+    profile = profile.withColumn("third_type", third_type(seen)).selectExpr(
+        "ip", "country", "request_count", "error_count", "first_seen", "last_seen", "core_hits", "empty_ua", *RECORD_TYPES,
+        "error_ratio_seq", "credential_seq", "api_abuse_seq",
+        # Found after the scanning test, a third type needs one more record.
+        "CASE WHEN third_type.after = 0 OR third_type.seq < _to THEN third_type END AS third_type",
+        "CAST(credential_seq IS NOT NULL AS BIGINT) AS credential_stuffing",
+        "CAST(api_abuse_seq IS NOT NULL AS BIGINT) AS api_abuse")
+    profile = profile.withColumns({
+        "is_scanning": F.expr("third_type IS NOT NULL OR error_ratio_seq IS NOT NULL"),
+        "duration": seconds_between(F.col("first_seen"), F.col("last_seen")),
+    }).withColumn("scanning", F.expr("CAST(is_scanning AS BIGINT)"))
+    return profile.withColumn("attack_type_count", attack_type_count()).withColumn("threat_score", score()).select(
+        "ip", "country", "request_count", "error_count", "first_seen", "last_seen", "duration", "core_hits", "empty_ua",
+        *ATTACK_TYPES, "attack_type_count", "threat_score", "is_scanning", "third_type", "error_ratio_seq",
+        "credential_seq", "api_abuse_seq")
 
 
 def error_ratio() -> Column:
@@ -183,7 +179,7 @@ def threat_level(threat_score: Column) -> Column:
 
 
 def core_threat_count() -> Column:
-    return reduce(lambda a, b: a + b, [F.col(t) for t in CORE])
+    return F.expr(" + ".join(CORE))
 
 
 def suspicious_ips(profile: DataFrame, n: int | None = 100) -> DataFrame:
@@ -193,7 +189,7 @@ def suspicious_ips(profile: DataFrame, n: int | None = 100) -> DataFrame:
         "threat_count": core_threat_count(),
         "recommendation": recommendation(F.col("threat_score")),
         "threat_level": threat_level(F.col("threat_score")),
-        "total_attacks": reduce(lambda a, b: a + b, [F.col(t) for t in ATTACK_TYPES]),
+        "total_attacks": F.expr(" + ".join(ATTACK_TYPES)),
     })
 
 
@@ -251,7 +247,7 @@ def security_summary(profile: DataFrame) -> DataFrame:
         _sum("request_count").alias("total_requests"), _sum("error_count").alias("total_errors"),
         F.count("*").alias("unique_ips"), _sum("core_hits").alias("_core"),
         _sum("empty_ua").alias("empty_ua"), *[_sum(t).alias(t) for t in ATTACK_TYPES])
-    total = reduce(lambda a, b: a + b, [F.col(t) for t in ("_core", *EXTENDED, *extra)])
+    total = F.expr(" + ".join(("_core", *EXTENDED, *extra)))
     return totals.select(
         "total_requests", "total_errors", "unique_ips",
         (ratio(F.col("total_errors"), F.col("total_requests")) * 100).alias("error_percentage"),

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.attacks import ATTACK_TYPES, CORE, RECORD_TYPES, flag_attacks
 from ..functions.text import any_of, seconds_between
 from ..operators import once_per_ip as rules
-from ..operators.security import score
+from ..operators.security import attack_type_count, score
 
 _BITS = (*RECORD_TYPES, "_error", "failed_login", "is_api_path", "introspection", "_core")
 _AT_ONCE = {*CORE, "brute_force"}
@@ -121,9 +121,5 @@ def stream_ip_threats(df: DataFrame, seq: str = "seq", delay: str = "10 minutes"
         "ip", "country", "request_count", "error_count", "core_hits",
         F.timestamp_micros("first_us").alias("first_seen"), F.timestamp_micros("last_us").alias("last_seen"),
         *[F.col("counts")[i].alias(t) for i, t in enumerate(ATTACK_TYPES)])
-    counts = {t: F.col(t) for t in ATTACK_TYPES}
-    types = sum(((c > 0).cast("int") for c in counts.values()), F.lit(0))
-    duration = seconds_between(F.col("first_seen"), F.col("last_seen"))
-    return wide.withColumns({
-        "attack_type_count": types,
-        "threat_score": score(counts, F.col("request_count"), F.col("error_count"), duration, types)})
+    return (wide.withColumn("duration", seconds_between(F.col("first_seen"), F.col("last_seen")))
+            .withColumn("attack_type_count", attack_type_count()).withColumn("threat_score", score()).drop("duration"))
