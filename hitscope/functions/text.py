@@ -39,7 +39,12 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 
 def ratio(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+    """``part / whole``, 0 where there is no whole.
+
+    Divisions here use ``try_divide``: a guard beside a plain division does not
+    stop the engine from evaluating it early, which fails in ANSI mode.
+    """
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
 def thousands(number: Column) -> Column:

@@ -44,8 +44,7 @@ def detect_anomalies(current: DataFrame, base: DataFrame, threshold: float = 3.0
     rows = F.array(*[
         F.struct(F.lit(kind).alias("type"), F.lit(ANOMALY_TEXT[kind]).alias("description"),
                  F.col(m).alias("value"), F.col(f"_base.avg_{m}").alias("expected"),
-                 ((F.col(m) - F.col(f"_base.avg_{m}"))
-                  / F.when(F.col(f"_base.stddev_{m}") != 0, F.col(f"_base.stddev_{m}"))).alias("z_score"))
+                 F.try_divide(F.col(m) - F.col(f"_base.avg_{m}"), F.col(f"_base.stddev_{m}")).alias("z_score"))
         for kind, m in (("traffic_spike", "requests"), ("error_rate", "error_rate"), ("response_time", "response_time"))])
     judged = measured.select("bucket", F.inline(rows))
     deviates = F.when(F.col("type") == "traffic_spike", F.abs("z_score") > limit).otherwise(F.col("z_score") > limit)

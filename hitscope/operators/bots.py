@@ -26,7 +26,7 @@ def bot_profile(df: DataFrame, seq: str = "seq") -> DataFrame:
     agent = F.col("user_agent")
     return per_agent.withColumn("category", bot_category(agent)).select(
         "user_agent", "category", "count", "bytes", "unique_paths", span.alias("span"),
-        F.when(F.col("count") > 1, span / (F.col("count") - 1)).otherwise(0.0).alias("avg_interval"),
+        ratio(span, F.col("count") - 1).alias("avg_interval"),
         legitimacy_score(agent, F.col("category")).alias("legitimacy_score"), is_ai_bot(agent).alias("is_ai_bot"))
 
 
@@ -60,7 +60,7 @@ def bots_by_category(profile: DataFrame) -> DataFrame:
 def bot_category_shares(profile: DataFrame) -> DataFrame:
     """Adds each category's share of all bot requests."""
     total = profile.agg(F.sum("count")).scalar()
-    return bots_by_category(profile).withColumn("percentage", F.col("requests") / total * 100)
+    return bots_by_category(profile).withColumn("percentage", F.try_divide(F.col("requests"), total) * 100)
 
 
 def bots_in_category(profile: DataFrame, n: int | None = None) -> DataFrame:
@@ -77,7 +77,7 @@ def bots_in_category(profile: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def bot_behavior(profile: DataFrame) -> DataFrame:
-    rps = F.when((F.col("count") > 1) & (F.col("span") > 0), F.col("count") / F.when(F.col("span") > 0, F.col("span"))).otherwise(0.0)
+    rps = F.when((F.col("count") > 1) & (F.col("span") > 0), F.try_divide("count", "span")).otherwise(0.0)
     kind = (F.when(F.col("requests_per_second") > 10, "aggressive")
             .when(F.col("requests_per_second") > 1, "moderate")
             .when(F.col("unique_paths") > 100, "comprehensive")
@@ -89,4 +89,4 @@ def bot_behavior(profile: DataFrame) -> DataFrame:
 def bot_share(df: DataFrame) -> DataFrame:
     """(is_bot, count, percentage)."""
     counted = with_bot_flag(df).groupBy("is_bot").agg(F.count("*").alias("count"))
-    return counted.withColumn("percentage", F.col("count") / total_requests(df) * 100)
+    return counted.withColumn("percentage", F.try_divide(F.col("count"), total_requests(df)) * 100)

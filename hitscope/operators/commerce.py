@@ -67,7 +67,7 @@ def funnel(df: DataFrame) -> DataFrame:
     counts = staged.agg(stage("product").alias("product_views"), stage("cart").alias("cart_adds"),
                         stage("checkout").alias("checkouts"), stage("order").alias("orders"))
     views = F.col("product_views")
-    return counts.withColumn("drop_off_rate", F.when(views > 0, 1 - F.col("orders") / views).otherwise(0.0))
+    return counts.withColumn("drop_off_rate", F.when(views > 0, 1 - F.try_divide(F.col("orders"), views)).otherwise(0.0))
 
 
 def checkout_errors(df: DataFrame, seq: str = "seq") -> DataFrame:

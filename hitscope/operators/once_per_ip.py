@@ -59,13 +59,12 @@ def running_rules(flagged: DataFrame, seq: str = "seq", chunk_rows: int = CHUNK_
         "ip", "_chunk", "_n", "_e", "_a", "_api_from",
         so_far("_n").alias("_n0"), so_far("_e").alias("_e0"), so_far("_a").alias("_a0"),
         F.first("_chunk_first").over(history.rowsBetween(Window.unboundedPreceding, 0)).alias("_first_ts"))
-    # The running ratio inside a chunk is largest if all its errors come first
-    # and nothing else does; no more than this bound.
+    # The running ratio inside a chunk is largest if all its errors come first.
     may_scan = ((F.col("_n0") + F.col("_n") > SCAN_MIN_REQUESTS)
-                & ((F.col("_e0") + F.col("_e")) / (F.col("_n0") + F.col("_e")) > SCAN_ERROR_RATIO))
+                & (F.try_divide(F.col("_e0") + F.col("_e"), F.col("_n0") + F.col("_e")) > SCAN_ERROR_RATIO))
     shortest = seconds_between(F.col("_first_ts"), F.col("_api_from"))
     may_abuse = ((F.col("_a") > 0) & (F.col("_a0") + F.col("_a") > API_MIN_REQUESTS)
-                 & ((shortest <= 0) | ((F.col("_a0") + F.col("_a")) / shortest > API_RATE)))
+                 & ((shortest <= 0) | (F.try_divide(F.col("_a0") + F.col("_a"), shortest) > API_RATE)))
     suspect = placed.where(F.coalesce(may_scan, F.lit(False)) | F.coalesce(may_abuse, F.lit(False))).select(
         "ip", "_chunk", "_n0", "_e0", "_a0", "_first_ts")
     inside = Window.partitionBy("ip", "_chunk").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -77,7 +76,7 @@ def running_rules(flagged: DataFrame, seq: str = "seq", chunk_rows: int = CHUNK_
     since_first = seconds_between(F.col("_first_ts"), F.col("_ts"))
     scans = (F.col("_n") > SCAN_MIN_REQUESTS) & (F.col("_e") / F.col("_n") > SCAN_ERROR_RATIO)
     abuses = (F.col("_api") & (F.col("_a") > API_MIN_REQUESTS) & (since_first > 0)
-              & (F.col("_a") / F.when(since_first > 0, since_first) > API_RATE))
+              & (F.try_divide(F.col("_a"), since_first) > API_RATE))
     return (running.select("ip", "_seq", scans.alias("_scans"), F.coalesce(abuses, F.lit(False)).alias("_abuses"))
             .where("_scans OR _abuses").groupBy("ip").agg(
                 F.min(F.when(F.col("_scans"), F.col("_seq"))).alias("error_ratio_seq"),

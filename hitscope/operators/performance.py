@@ -78,8 +78,8 @@ def perf_recommendations(df: DataFrame, threshold: float = 1.0) -> DataFrame:
     handlers = df.where(F.col("handler") != "").groupBy("handler").agg(
         F.count("*").alias("n"), count_where(is_error(F.col("status"))).alias("errors"),
         count_where(_cache_hit()).alias("hits"))
-    cold = handlers.where((F.col("handler") == CACHE_HANDLER) & (F.col("n") > 100) & (F.col("hits") / F.col("n") < 0.5))
-    failing = handlers.where((F.col("n") > 100) & (F.col("errors") / F.col("n") > 0.1))
+    cold = handlers.where((F.col("handler") == CACHE_HANDLER) & (F.col("n") > 100) & (F.try_divide("hits", "n") < 0.5))
+    failing = handlers.where((F.col("n") > 100) & (F.try_divide("errors", "n") > 0.1))
     return reduce(DataFrame.unionByName, [
         advice("response_time", overall.where(F.col("avg") > 1.0)),
         advice("response_time_p95", p95.where(F.col("p95") > 3.0)),

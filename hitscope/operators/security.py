@@ -70,8 +70,8 @@ def score() -> Column:
     """Threat score 0..100 from the counters of a profile row."""
     weighted = " + ".join(f"{weight}D * {name}" for name, weight in THREAT_WEIGHTS.items())
     return F.expr(f"""least({weighted}
-        + CASE WHEN request_count > 0 THEN 20D * error_count / request_count ELSE 0D END
-        + CASE WHEN duration > 0 AND request_count / duration > {DDOS_RATE}D THEN 15D ELSE 0D END
+        + 20D * coalesce(try_divide(error_count, request_count), 0D)
+        + CASE WHEN duration > 0 AND try_divide(request_count, duration) > {DDOS_RATE}D THEN 15D ELSE 0D END
         + CASE WHEN attack_type_count >= 5 THEN 10D WHEN attack_type_count >= 3 THEN 5D ELSE 0D END, 100D)""")
 
 
@@ -228,7 +228,7 @@ def with_threat_text(df: DataFrame, suspicious: DataFrame, n: int | None = 100,
 # Summaries over the profile --------------------------------------------------
 
 def is_ddos() -> Column:
-    fast = (F.col("duration") > 0) & (F.col("request_count") / F.when(F.col("duration") > 0, F.col("duration")) > DDOS_RATE)
+    fast = (F.col("duration") > 0) & (F.try_divide("request_count", "duration") > DDOS_RATE)
     return (F.col("request_count") > DDOS_REQUESTS) | F.coalesce(fast, F.lit(False))
 
 

@@ -124,7 +124,7 @@ def ip_stats(df: DataFrame, seq: str = "seq") -> DataFrame:
     return per_ip.select(
         "ip", F.col("first.country").alias("country"), "count", "bytes", "error_count",
         F.col("first.is_bot").alias("is_bot"), "unique_urls",
-        F.when(F.col("count") > 1, gap / (F.col("count") - 1)).otherwise(0.0).alias("avg_interval"),
+        ratio(gap, F.col("count") - 1).alias("avg_interval"),
         F.col("first.first_ts").alias("first_seen"), F.col("last.last_ts").alias("last_seen"))
 
 
@@ -218,13 +218,13 @@ def traffic_rates(df: DataFrame) -> DataFrame:
     n = F.col("total_requests")
     return span.select(
         "total_requests", hours.alias("duration_hours"),
-        F.when(hours > 0, n / hours).alias("requests_per_hour"),
-        F.when(hours > 0, n / (hours * 60)).alias("requests_per_minute"))
+        F.try_divide(n, hours).alias("requests_per_hour"),
+        F.try_divide(n, hours * 60).alias("requests_per_minute"))
 
 
 def share_of_total(counted: DataFrame, hits: DataFrame) -> DataFrame:
     """Adds ``percentage`` of all requests to a list with a ``count`` column."""
-    return counted.withColumn("percentage", F.col("count") / total_requests(hits) * 100)
+    return counted.withColumn("percentage", F.try_divide(F.col("count"), total_requests(hits)) * 100)
 
 
 def country_ip_share(df: DataFrame, countries: int = 10, ips: int = 10,
