@@ -27,12 +27,34 @@ def total_requests(df: DataFrame):
     return df.agg(F.count("*")).scalar()
 
 
-def traffic_summary(df: DataFrame) -> DataFrame:
+def _sketched_summary(df: DataFrame) -> DataFrame:
+    ranks = F.percentile_approx("response_time", [0.5, 0.95, 0.99])
+    n = F.col("total_requests")
+    return with_bot_flag(df).agg(
+        F.count("*").alias("total_requests"), F.approx_count_distinct("ip").alias("unique_ips"),
+        F.approx_count_distinct(F.when(F.col("country") != "", F.col("country"))).alias("unique_countries"),
+        F.coalesce(F.sum("bytes_sent"), F.lit(0)).alias("total_bytes"),
+        F.coalesce(F.avg("response_time"), F.lit(0.0)).alias("avg_response_time"), ranks.alias("_rank"),
+        count_where(F.col("is_bot")).alias("bot_traffic"), count_where(is_error(F.col("status"))).alias("total_errors"),
+        F.min("ts").alias("start_time"), F.max("ts").alias("end_time"),
+    ).select(
+        "total_requests", "unique_ips", "unique_countries", "total_bytes", "avg_response_time",
+        *[F.coalesce(F.col("_rank")[i], F.lit(0.0)).alias(name) for i, name in enumerate(
+            ("median_response_time", "p95_response_time", "p99_response_time"))],
+        "bot_traffic", (n - F.col("bot_traffic")).alias("human_traffic"),
+        "total_errors", ratio(F.col("total_errors"), n).alias("error_rate"), "start_time", "end_time")
+
+
+def traffic_summary(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row of totals.
 
     Rows are combined per (address, country) first: the distinct counts then
     run over that small table, not over an expanded copy of the log.
+    ``approx`` takes distinct counts and percentiles from sketches, in one pass
+    without any shuffle of keys.
     """
+    if approx:
+        return _sketched_summary(df)
     hit = with_bot_flag(df).groupBy("ip", "country").agg(
         F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes"), F.sum("response_time").alias("seconds"),
         count_where(F.col("is_bot")).alias("bots"), count_where(is_error(F.col("status"))).alias("errors"),
@@ -172,9 +194,20 @@ def top_os(df: DataFrame, n: int | None = 10) -> DataFrame:
     return _agent_part(df, "os", n)
 
 
+def ip_counts(df: DataFrame, seq: str = "seq") -> DataFrame:
+    """(ip, country, count): requests and the country of the first record.
+
+    Two small combines; enough to rank addresses without touching their paths.
+    """
+    part = df.groupBy("ip", "country").agg(F.count("*").alias("n"), F.min(seq).alias("first_seq"))
+    return part.groupBy("ip").agg(F.min_by("country", "first_seq").alias("country"), F.sum("n").alias("count"))
+
+
 def ips_by_country(df: DataFrame, country: str, n: int | None = 10, seq: str = "seq") -> DataFrame:
     """Addresses whose first record came from ``country``, by requests."""
-    return top(ip_stats(df, seq).where(F.col("country") == country), n, "count", "ip")
+    chosen = top(ip_counts(df, seq).where(F.col("country") == country), n, "count", "ip")
+    rows = df.join(chosen.select("ip"), "ip", "left_semi") if n is None else restrict(df, chosen, ["ip"], n)
+    return top(ip_stats(rows, seq), n, "count", "ip")
 
 
 def ips_per_country(df: DataFrame, n: int = 10, seq: str = "seq") -> DataFrame:
@@ -184,11 +217,19 @@ def ips_per_country(df: DataFrame, n: int = 10, seq: str = "seq") -> DataFrame:
     addresses still sends only ``n`` rows per task.
     """
     w = Window.partitionBy("country").orderBy(F.col("count").desc(), F.col("ip").asc())
-    return ip_stats(df, seq).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-
-
-def response_time_stats(df: DataFrame) -> DataFrame:
-    ranks = exact_percentiles(df, [], "response_time", PERCENTILES).select(F.struct("*")).scalar()
+    ranked = ip_counts(df, seq).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    details = ip_stats(df.join(ranked.select("ip"), "ip", "left_semi"), seq)
+    return details.join(ranked.select("ip", "rank"), "ip")
+
+
+def response_time_stats(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Mean, extremes, population deviation and percentiles (from a sketch if ``approx``)."""
+    if approx:
+        sketch = F.percentile_approx("response_time", list(PERCENTILES.values()))
+        ranks = df.agg(sketch.alias("r")).select(
+            F.struct(*[F.col("r")[i].alias(p) for i, p in enumerate(PERCENTILES)])).scalar()
+    else:
+        ranks = exact_percentiles(df, [], "response_time", PERCENTILES).select(F.struct("*")).scalar()
     return df.agg(
         F.count("response_time").alias("total"), F.avg("response_time").alias("mean"),
         F.min("response_time").alias("min"), F.max("response_time").alias("max"),
@@ -234,7 +275,9 @@ def country_ip_share(df: DataFrame, countries: int = 10, ips: int = 10,
     ``restrict_to_top=10`` considers only addresses among the ten largest overall.
     """
     lead = top_countries(df, countries).select("country", F.col("count").alias("country_count"))
-    address = top_ips(df, restrict_to_top, seq) if restrict_to_top else ip_stats(df, seq)
+    address = ip_counts(df, seq)
+    if restrict_to_top:
+        address = top(address, restrict_to_top, "count", "ip")
     w = Window.partitionBy("country").orderBy(F.col("count").desc(), F.col("ip").asc())
     listed = attach(address.select("ip", "country", "count"), lead, ["country"], countries, "inner")
     return listed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= ips).select(

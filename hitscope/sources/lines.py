@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.fixed_values import LOG_GLOBS
+from ..functions.fixed_values import DEFAULT_LOG_PATHS, LOG_GLOBS
 from ..functions.times import parse_time
 from ..schema import RAW_JSON
 
@@ -56,9 +56,12 @@ def stream_lines(spark: SparkSession, folder: str, max_files_per_trigger: int =
     )
 
 
-def discover_logs(spark: SparkSession, base: str) -> DataFrame:
-    """Access-log files under ``base``, each once: (file_path, file_size, file_time)."""
-    globs = [f"{base.rstrip('/')}/{g}" for g in LOG_GLOBS]
+def discover_logs(spark: SparkSession, base: str | None = None) -> DataFrame:
+    """Access-log files under ``base``, each once: (file_path, file_size, file_time).
+
+    Without ``base`` the usual locations are tried.  Only listings are read.
+    """
+    globs = [f"{base.rstrip('/')}/{g}" for g in LOG_GLOBS] if base else list(DEFAULT_LOG_PATHS)
     found = []
     for glob in globs:
         try:

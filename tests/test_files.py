@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hitscope import discover_logs, file_profile, last_n, read_access_log, read_lines, select_day, select_history
 from hitscope.operators import security, traffic
+from hitscope.plans.arrival import number_arrivals
 from hitscope.sinks import files as out
 from hitscope.sources import records
 
@@ -57,6 +58,9 @@ def test_small_splits_keep_the_line_order(spark, tmp_path):
         got = [r.path for r in read.orderBy("seq").collect()]
         profile = {r.ip: r for r in security.ip_profile(read).collect()}
         first = {r.ip: r for r in traffic.ip_stats(read).collect()}
+        numbered = number_arrivals(read)
+        assert numbered.schema["seq"].dataType.simpleString() == "bigint"
+        assert [r.path for r in numbered.orderBy("seq").collect()] == got
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.minPartitionNum")

@@ -37,6 +37,16 @@ def test_empty_input(log):
     assert [r.topic for r in security.security_recommendations(security.suspicious_ips(security.ip_profile(none))).collect()] == ["none"]
 
 
+def test_sketches_are_near(log):
+    df = log([{"ip": f"1.1.{i % 40}.{i % 7}", "response_time": i / 100, "status": 500 if i % 4 == 0 else 200} for i in range(600)])
+    exact, near = traffic.traffic_summary(df).first(), traffic.traffic_summary(df, approx=True).first()
+    assert near.asDict().keys() == exact.asDict().keys()
+    for name in ("unique_ips", "median_response_time", "p95_response_time", "p99_response_time"):
+        assert near[name] == pytest.approx(exact[name], rel=0.1)
+    assert (near.total_requests, near.error_rate, near.total_bytes) == (exact.total_requests, exact.error_rate, exact.total_bytes)
+    assert traffic.response_time_stats(df, approx=True).first().p95 == pytest.approx(5.7, rel=0.1)
+
+
 def test_first_record_rules_follow_arrival_not_time(log):
     df = log([{"at": 100, "country": "NL", "user_agent": "x"}, {"at": 0, "country": "DE", "user_agent": "bot"}, {"at": 40, "country": "FR"}])
     r = traffic.top_ips(df).first()
