@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -96,6 +97,18 @@ add("perf_recommendations_slow", lambda df: pf.perf_recommendations(df.withColum
     "WITH hits4 AS (SELECT * REPLACE (response_time * 4 AS response_time) FROM hits) "
     + _ADVICE.replace("{limit}", "0.4").replace("FROM hits", "FROM hits4"))
 
+
+
+def _report_sizes(df):
+    parts = [part.agg(F.count("*").alias("rows")).withColumn("part", F.lit(name)) for name, part in pf.performance_report(df).items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+add("performance_report", _report_sizes, f"""SELECT 'response_time_stats' AS part, 1::BIGINT AS rows
+    UNION ALL SELECT 'handler_stats', count(DISTINCT nullif(handler, '')) FROM hits
+    UNION ALL SELECT 'slowest_endpoints', least(10, count(DISTINCT path)) FROM hits
+    UNION ALL SELECT 'recommendations', count(*) FROM ({_ADVICE.replace("{limit}", "1.0")})""")
+
 # API ----------------------------------------------------------------------------------
 _API = contains_any_sql("lower(path)", API_WORDS)
 _PLATFORM = """CASE WHEN regexp_matches(lower(path), 'wp-json|wc-api') THEN 'woocommerce'
@@ -103,6 +116,8 @@ _PLATFORM = """CASE WHEN regexp_matches(lower(path), 'wp-json|wc-api') THEN 'woo
     WHEN regexp_matches(lower(path), 'store-api|/api/') AND contains(lower(path), 'shopware') THEN 'shopware'
     WHEN contains(lower(path), 'prestashop') THEN 'prestashop' ELSE 'generic' END"""
 add("is_api_request", lambda df: api.api_hits(df).select("seq", "path"), f"SELECT seq, path FROM hits WHERE {_API}")
+add("api_platform", lambda df: api.api_hits(df).select("seq", api.api_platform(F.col("path")).alias("platform")),
+    f"SELECT seq, {_PLATFORM} AS platform FROM hits WHERE {_API}")
 _PLATFORMS = f"SELECT {_PLATFORM} AS platform, count(*) AS count FROM hits WHERE {_API} GROUP BY 1"
 add("api_platforms", api.api_platforms, _PLATFORMS)
 add("primary_platform", api.primary_platform, _PLATFORMS + " ORDER BY count DESC, platform LIMIT 1")
@@ -229,6 +244,7 @@ def _found(df, limit=2.0):
 add("baseline", lambda df: an.baseline(_before(df), "1 hour"), f"SELECT * FROM {_base_sql(r)}")
 add("detect_anomalies", _found, f"SELECT * FROM {_anomalies_sql(2.0)}")
 add("detect_anomalies_default", lambda df: _found(df, 0), f"SELECT * FROM {_anomalies_sql(3.0)}")
+add("severity", lambda df: _found(df).select("bucket", "type", "severity"), f"SELECT bucket, type, severity FROM {_anomalies_sql(2.0)}")
 add("anomaly_summary", lambda df: an.anomaly_summary(_found(df)), f"SELECT type, severity, count(*) AS count FROM {_anomalies_sql(2.0)} GROUP BY ALL")
 add("anomaly_count", lambda df: an.anomaly_count(_found(df)), f"SELECT count(*) AS total_anomalies FROM {_anomalies_sql(2.0)}")
 

@@ -15,6 +15,7 @@ from hitscope.functions.times import float_prefix, int_prefix, parse_time
 from hitscope.functions.addresses import with_address
 from hitscope.functions.user_agents import BROWSER_RULES, MOBILE_WORDS, OS_RULES, is_bot, parse_user_agent
 from hitscope.plans.workspace import shared_folder
+from hitscope.schema import RAW_JSON
 from hitscope.sources import days, lines as ln, records
 
 from .base import add, add_raw, contains_any_sql, is_bot_sql, text
@@ -107,6 +108,18 @@ JSON_SQL = f"""SELECT seq, {TIME_SQL} AS ts, {ADDRESS_SQL} AS ip, method, path,
 add_raw("parse_json", _with_referer(lambda df: _flat(records.parse_json(raw_lines(df, json_line())), "host", "ts_defaulted")),
         JSON_SQL + ", 'shop.example' AS host, false AS ts_defaulted FROM hits", True)
 
+def _whole_record(df: DataFrame) -> DataFrame:
+    read = df.select("seq", F.explode(F.array(F.from_json(json_line(), RAW_JSON))).alias("record"))
+    out = records.normalize(read, default_ts=F.lit(DEFAULT_TS).cast("timestamp"), keep=("seq",))
+    return out.select("seq", *[F.col(c).cast("timestamp_ntz").alias(c) if c == "ts" else F.col(c) for c in out.columns
+                               if c not in ("seq", "ua")], F.col("ua.device").alias("device"))
+
+
+add_raw("normalize", _with_referer(_whole_record),
+        JSON_SQL + f""", false AS ts_defaulted, 'shop.example' AS host, '' AS server_name, '' AS port, '' AS ssl_protocol, '' AS ssl_cipher,
+        '' AS remote_user, CASE WHEN user_agent IN ('', '-') THEN 'Unknown' WHEN {contains_any_sql('user_agent', MOBILE_WORDS)} THEN 'Mobile'
+        WHEN {is_bot_sql()} THEN 'Bot' ELSE 'Desktop' END AS device FROM hits""", True)
+
 add_raw("rejected_json", _with_referer(lambda df: records.rejected_json(raw_lines(df, json_line()))),
         "SELECT unnest(['accepted', 'blank', 'malformed']) AS outcome, n AS count FROM (SELECT count(*) AS n FROM hits)", True)
 
@@ -145,6 +158,23 @@ add_raw("read_access_log", _through_files,
         """SELECT method, status, (seq % 2)::INTEGER AS source, count(*) AS count, sum(bytes_sent)::BIGINT AS bytes
         FROM hits GROUP BY ALL""", True)
 
+def _discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs in three places, found by their names, and the lines of each place."""
+    base = shared_folder(spark, "logs")
+    lines = hits(spark, sf_dir, True).select("seq", json_line().alias("value"))
+    places = ["access.log.1", "nginx/access.log", "nginx/shop/access.log-old"]
+    for i, place in enumerate(places):
+        lines.where(F.col("seq") % 3 == i).select("value").write.text(f"{base}/{place}")
+    place = F.regexp_extract("file_path", "/((nginx/)?(shop/)?access[.]log[^/]*)/", 1).alias("place")
+    found = ln.discover_logs(spark, base).select(place).distinct()
+    read = ln.read_lines(spark, [f"{base}/{p}" for p in places]).groupBy(place).agg(F.count("*").alias("line_count"))
+    return found.join(read, "place")
+
+
+add_raw("discover_logs", _discovered, """SELECT ['access.log.1', 'nginx/access.log', 'nginx/shop/access.log-old'][seq % 3 + 1] AS place,
+    count(*) AS line_count FROM hits GROUP BY 1""", True)
+
+
 # Lines with file attributes, as the file reader gives them.
 def _file_lines(df: DataFrame) -> DataFrame:
     return df.withColumn("_l", json_line()).select(
@@ -208,7 +238,7 @@ add("parse_user_agents", lambda df: df.groupBy("user_agent").agg(F.count("*").al
     CASE WHEN user_agent IN ('', '-') THEN 'Unknown' {_os} ELSE '' END AS os,
     CASE WHEN user_agent IN ('', '-') THEN 'Unknown' WHEN {contains_any_sql('user_agent', MOBILE_WORDS)} THEN 'Mobile'
       WHEN {is_bot_sql()} THEN 'Bot' ELSE 'Desktop' END AS device FROM hits GROUP BY user_agent""")
-add("status_categories", lambda df: df.groupBy(st.status_category(F.col("status")).alias("category")).agg(F.count("*").alias("count")),
+add("status_category", lambda df: df.groupBy(st.status_category(F.col("status")).alias("category")).agg(F.count("*").alias("count")),
     """SELECT CASE status // 100 WHEN 2 THEN 'success' WHEN 3 THEN 'redirect' WHEN 4 THEN 'client_error'
     WHEN 5 THEN 'server_error' ELSE 'other' END AS category, count(*) AS count FROM hits GROUP BY 1""")
 add("error_success_flags", lambda df: df.groupBy("status").agg(

@@ -76,13 +76,13 @@ suspicious AS (SELECT *, {" + ".join(at.CORE)} AS threat_count, {" + ".join(at.A
 _names = (*_RECORD, "empty_ua", "failed_login", "is_api_path", "introspection")
 add("rule_counts", s.rule_counts, f"WITH {FLAGS} " + " UNION ALL ".join(
     f"SELECT {text(t)} AS rule, count(*) FILTER ({t}) AS records FROM flags" for t in _names), True)
-for _t in _RECORD:
-    add(f"rule_{_t}", lambda df, t=_t: s.flagged_hits(df).where(t).select("seq", "path"),
+for _t in (*_RECORD, "empty_ua", "is_api_path"):
+    add(_t, lambda df, t=_t: s.flagged_hits(df).where(t).select("seq", "path"),
         f"SELECT seq, path FROM hits WHERE {RULES[_t]}", True)
 add("rule_counts_path_only", lambda df: s.rule_counts(df, scan_user_agent=False),
     "WITH " + FLAGS.replace(_PU + ",", "path,") + " " + " UNION ALL ".join(
         f"SELECT {text(t)} AS rule, count(*) FILTER ({t}) AS records FROM flags" for t in _names), True)
-add("sensitive_file_labels", s.sensitive_files, f"""SELECT CASE WHEN contains(lower(path), '.git') THEN '.git/'
+add("sensitive_file_types", s.sensitive_files, f"""SELECT CASE WHEN contains(lower(path), '.git') THEN '.git/'
     WHEN contains(lower(path), '.env') THEN '.env' WHEN contains(lower(path), 'wp-config') THEN 'wp-config.php'
     WHEN regexp_matches(lower(path), '(backup|dump)[.]sql') THEN 'database_backups'
     WHEN regexp_matches(lower(path), '[.](bak|old)') THEN 'backup_files' ELSE 'other_sensitive' END AS file_type,
@@ -186,7 +186,7 @@ _DENY = {
     "error100": ("error_pct >= 100", f"printf('deny %s;  # Requests: %s, Score: %.1f, %s', ip, format('{{:,}}', request_count), threat_score, {_short('threats', 40)})"),
 }
 for _option, (_where, _line) in _DENY.items():
-    add(f"block_list_{_option}", lambda df, o=_option: s.block_list(_named(df), o), SUSPICIOUS + f""", {_THREATS}
+    add("block_list" if _option == "critical" else f"block_list_{_option}", lambda df, o=_option: s.block_list(_named(df), o), SUSPICIOUS + f""", {_THREATS}
         SELECT row_number() OVER (ORDER BY request_count DESC, ip)::INTEGER AS position, {_line} AS line FROM named WHERE {_where}""", True)
 
 # Summaries ------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -141,6 +142,18 @@ for _name, _build, _sql in (
         ("browser_share", t.top_browsers, f"SELECT browser, count(*) AS count FROM {NAMED} WHERE browser <> '' GROUP BY browser ORDER BY count DESC, browser LIMIT 10"),
         ("os_share", t.top_os, f"SELECT os, count(*) AS count FROM {NAMED} WHERE os <> '' GROUP BY os ORDER BY count DESC, os LIMIT 10")):
     add(_name, lambda df, build=_build: t.share_of_total(build(df), df), f"SELECT *, {SHARE} AS percentage FROM ({_sql})")
+_LISTS = {"status": t.status_counts, "country": t.country_stats, "path": t.path_stats, "ip": t.ip_counts, "browser": lambda df: t.top_browsers(df, None),
+          "os": lambda df: t.top_os(df, None)}
+
+
+def _all_shares(df):
+    parts = [t.share_of_total(build(df).select(F.col(k).cast("string").alias("key"), "count"), df).withColumn("list", F.lit(k))
+             for k, build in _LISTS.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+add("share_of_total", _all_shares, f"SELECT *, {SHARE} AS percentage FROM (" + " UNION ALL ".join(
+    f"SELECT '{k}' AS list, {k}::VARCHAR AS key, count(*) AS count FROM {NAMED} WHERE {k}::VARCHAR <> '' GROUP BY {k}" for k in _LISTS) + ")")
 _COUNTRY_IPS = """WITH lead AS (SELECT country, count(*) AS c FROM hits WHERE country <> '' GROUP BY country ORDER BY c DESC, country LIMIT 10),
     addresses AS (SELECT ip, arg_min(country, seq) AS country, count(*) AS count FROM hits GROUP BY ip {restrict})
     SELECT country, ip, count, rank::INTEGER AS rank, round(count * 100.0 / c, 9) AS percentage FROM (
