@@ -213,6 +213,6 @@ add("traffic_patterns", tl.traffic_patterns, f"""WITH h AS (SELECT hour(ts) AS h
     s AS (SELECT date_trunc('second', ts) AS second, count(*) AS n FROM hits GROUP BY 1)
     SELECT (SELECT string_agg(hour, ',' ORDER BY n DESC, hour) FROM (SELECT * FROM h ORDER BY n DESC, hour LIMIT 3)) AS peak_hours,
     (SELECT string_agg(hour, ',' ORDER BY n, hour) FROM (SELECT * FROM h ORDER BY n, hour LIMIT 3)) AS low_hours,
-    {r("(SELECT avg(n) FILTER (dayofweek(day) IN (0, 9)) / avg(n) FILTER (dayofweek(day) NOT IN (0, 9)) FROM d)")} AS weekend_weekday_ratio,
+    {r("(SELECT avg(n) FILTER (dayofweek(day) IN (0, 6)) / avg(n) FILTER (dayofweek(day) NOT IN (0, 6)) FROM d)")} AS weekend_weekday_ratio,
     {r("(SELECT sum(n) / (epoch(max(second)) - epoch(min(second)) + 1) FROM s)")} AS avg_rps,
     (SELECT max(n) FROM s) AS peak_rps""")
