@@ -43,7 +43,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def stream_lines(spark: SparkSession, folder: str, max_files_per_trigger: int = 1000) -> DataFrame:
+def stream_lines(spark: SparkSession, folder: str, max_files_per_trigger: int = 100) -> DataFrame:
     """Stream of the lines of files that land in ``folder``.
 
     The unit of arrival is a whole (rotated) file.

@@ -9,7 +9,7 @@ from ..sources.lines import stream_lines
 
 
 def stream_access_log(spark: SparkSession, folder: str, fmt: str = "json", default_ts: Column | None = None,
-                      max_files_per_trigger: int = 1000) -> DataFrame:
+                      max_files_per_trigger: int = 100) -> DataFrame:
     """Normalized records of log files as they land in ``folder``.
 
     The parsing is the one of the batch reader.

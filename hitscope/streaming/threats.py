@@ -98,7 +98,9 @@ def stream_ip_threats(df: DataFrame, seq: str = "seq", delay: str = "10 minutes"
                       scan_user_agent: bool = True) -> DataFrame:
     """Per micro-batch one row for every address in it, with its profile so far.
 
-    ``seq`` orders the records of a micro-batch.  An address without records for
+    An address's share of a micro-batch is handled at once, as three numbers per
+    record; the source's files or rows per trigger bound it.  For very busy
+    addresses keep triggers small.  ``seq`` orders the records of a micro-batch.  An address without records for
     ``idle_hours`` of event time is forgotten; None keeps all.
     """
     timed = df.withColumn("ts", F.col("ts").cast("timestamp"))
