@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from .text import IS_SPACE, Texts, Words, named, over_batches, span_hashes
+from .text import IS_SPACE, Texts, Words, blocks, named, over_batches, span_hashes
 
 #: Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -205,7 +205,7 @@ def accepted(df: DataFrame, text: str = "text", rules: LineRules = LineRules())
         raise ValueError(f"no column {text}")
 
     def run(batches):
-        for batch in batches:
+        for batch in blocks(batches):
             column = batch.column(schema.fieldNames().index(text))
             out = judge(column, rules)
             cleaned = pa.array(_cleaned(*out["_lines"]), pa.binary()).cast(column.type)

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Bytes that end a word: space and 0x09 to 0x0D.
@@ -132,6 +133,30 @@ def named(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(df[c] if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
+#: Bytes of text that are worked on at once.
+BLOCK = 4 << 20
+
+
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices whose longest column holds about ``limit`` bytes; a longer row is a slice of its own."""
+    for batch in batches:
+        if batch.nbytes <= limit:
+            yield batch
+            continue
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+                sizes = np.maximum(sizes, pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+        start, total = 0, 0
+        for i, size in enumerate(sizes.tolist()):
+            if total + size > limit and i > start:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "double": pa.float64(), "boolean": pa.bool_(),
           "string": pa.string(), "binary": pa.binary()}
 
@@ -147,7 +172,7 @@ def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]]
     target = pa.schema([(f.name, _arrow_type(f.dataType)) for f in T.StructType.fromDDL(schema).fields])
 
     def run(batches):
-        for batch in batches:
+        for batch in blocks(batches):
             for columns in work(batch):
                 arrays = [a.cast(f.type) if isinstance(a, pa.Array) else pa.array(a, f.type)
                           for f, a in ((f, columns[f.name]) for f in target)]
@@ -156,9 +181,10 @@ def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]]
     return df.mapInArrow(run, schema)
 
 
-def documents(spark, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def remainder(key: str, modulus: int) -> Column:
+    """crc32 of the key as text (a null key: the empty text), modulo ``modulus``."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def hash_bucket(column: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(buckets))
+def documents(spark, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
