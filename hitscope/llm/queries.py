@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, media, packing, quality, sharding
-from .text import documents
+from . import bpe, brown, jaccard, language, line_templates, media, packing, quality, sharding, substrings
+from .text import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 SHARDS = tuple(f"shard-{i:03d}" for i in range(256))
 
 
@@ -47,3 +48,40 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(documents(spark, sf_dir)))
+
+
+@query
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = remainder("doc_id", 7) == 2
+    model, vocabulary = brown.fit(docs.where(~held_out))
+    scored = brown.score(docs, model, vocabulary)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, dropped lines, and a digest of the text that is left."""
+    done = line_templates.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op4_line_templates"] = f"WITH {line_templates.oracle()} SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM deduped"
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = documents(spark, sf_dir), public_tokenizers.path(PIECES)
+    held_out = remainder("doc_id", 4) == 2
+    model = language.fit(docs.where(~held_out), path)
+    return language.predict(docs, model, path).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(documents(spark, sf_dir))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(documents(spark, sf_dir))
