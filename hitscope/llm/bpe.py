@@ -16,6 +16,7 @@ cut is made there and the join agrees at once.  Only text without white space
 
 from __future__ import annotations
 
+import array
 import json
 import re
 from functools import lru_cache
@@ -29,12 +30,44 @@ from .text import named, over_batches
 LEAF = 16_384
 #: Tokens on either side of a join in its first window.
 FIRST_WINDOW = 8
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+#: Words, and pieces of words, whose ids a Python worker remembers in each of two generations.
+REMEMBERED = 200_000
+PIECES_REMEMBERED = 150_000
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
+class Remembered(dict):
+    """What ``make`` gives for a key, kept in two generations so that frequent keys survive."""
+
+    def __init__(self, make, size):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
+#: Marks that often follow a word; as a run they are one piece.
+_MARKS = ".,!?;:*$&%#|)]}\""
+#: Printable characters up to U+00FF: they are normalised by lower case alone, and bytes of theirs are what the fast way below maps.
+_PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]+\Z")
+
+
+def byte_symbols() -> dict[int, str]:
+    """The symbol of each byte in byte-level BPE: printable ones stand for themselves, the others for the characters from U+0100 on."""
+    itself = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in itself]
+    return {b: chr(b) for b in itself} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class Codec:
     """One tokenizers file, read once for each Python worker."""
 
@@ -56,9 +89,25 @@ class Codec:
         if self.whole.decoder is not None or any(re.search(r"\s", t) for t in self.specials):
             raise ValueError("made for tokenizers that drop white space and join tokens by spaces")
         self.ids = {t: i for i, t in self.tokens.items()}
-        self.known: dict[bytes, tuple[bytes, bytes, bytes]] = {}
         #: An unsplit word longer than this is encoded as a tree.
         self.leaf = LEAF
+        self.symbols = byte_symbols()
+        self.split = self._plain_split(spec)
+        self.known: dict[str, Remembered] = {}
+
+    @staticmethod
+    def _plain_split(spec: dict):
+        """The pattern that splits plain words, if the file's steps before BPE are those that the fast way knows."""
+        import regex
+
+        steps = (spec.get("normalizer") or {}).get("normalizers") or []
+        before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in before] != ["Split", "ByteLevel"]:
+            return None
+        split, bytes_ = before
+        if split["behavior"] != "Removed" or not split["invert"] or bytes_["use_regex"] or bytes_["add_prefix_space"]:
+            return None
+        return regex.compile(split["pattern"]["Regex"]).findall
 
     # words ------------------------------------------------------------------------------------
 
@@ -67,35 +116,63 @@ class Codec:
             return self.tree(word)
         return self.whole.encode(word, add_special_tokens=False).ids
 
-    def learn(self, words: list[bytes]) -> None:
-        """Remembers the forms of words not seen before: ids as text, tokens as text, ids as little-endian bytes."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        short = [w for w in new if len(w) <= self.leaf]
-        for at in range(0, len(short), 4096):
-            part = short[at: at + 4096]
-            for w, e in zip(part, self.whole.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                known[w] = self.forms(e.ids)
-        for w in new:
-            if len(w) > self.leaf:
-                known[w] = self.forms(self.word_ids(w.decode()))
-
-    def forms(self, ids: list[int]) -> tuple[bytes, bytes, bytes]:
-        tokens = self.tokens
-        return (" ".join(map(str, ids)).encode(), " ".join([tokens[i] for i in ids]).encode(), b"".join([i.to_bytes(4, "little") for i in ids]))
-
-    def text_forms(self, text: bytes, which: int, glue: bytes) -> bytes:
-        """The forms of a text's words, joined."""
-        words = text.split()
-        known = self.known
-        try:
-            parts = [known[w][which] for w in words]
-        except KeyError:
-            self.learn(words)
-            parts = [known[w][which] for w in words]
-        return glue.join(parts) if b"" not in parts else glue.join([p for p in parts if p])
+    def remembered(self, form: str) -> Remembered:
+        """Forms of words by their bytes: "raw" (little-endian ids) or "text" (ids as text, and tokens)."""
+        if form not in self.known:
+            self.model = self.whole.model
+            tokens, split = self.tokens, self.split
+            if form == "raw":
+                def shape(ids):
+                    return array.array("I", ids).tobytes()
+                glue = b"".join
+            else:
+                def shape(ids):
+                    return " ".join(map(str, ids)).encode(), " ".join([tokens[i] for i in ids]).encode()
+
+                def glue(parts):
+                    return b" ".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
+            model, symbols = self.model, self.symbols
+
+            def of_mapped(piece: str):
+                mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(symbols)
+                return shape([t.id for t in model.tokenize(mapped)])
+
+            of_piece = Remembered(of_mapped, PIECES_REMEMBERED)
+            specials = self.specials
+
+            def of_word(word: bytes):
+                text = word.decode()
+                plain = text.isprintable() if text.isascii() else _PLAIN.match(text)
+                if split is None or not plain or len(text) > self.leaf:
+                    return shape(self.word_ids(text))
+                low = text.lower()
+                if low.isalpha():
+                    return of_piece[low]
+                stem = low.rstrip(_MARKS)
+                if stem.isalpha():
+                    parts = [of_piece[stem], of_piece[low[len(stem):]]]
+                elif any(x in text for x in specials):
+                    return shape(self.word_ids(text))
+                else:
+                    parts = [of_piece[p] for p in split(low)]
+                return glue(parts)
+
+            self.known[form] = Remembered(of_word, REMEMBERED)
+        return self.known[form]
+
+    def raw(self, text: bytes) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit numbers."""
+        known = self.remembered("raw")
+        return b"".join([known[w] for w in text.split()])
+
+    def texts(self, text: bytes) -> tuple[bytes, bytes]:
+        """The text's ids and its tokens, each joined by a space."""
+        known = self.remembered("text")
+        parts = [known[w] for w in text.split()]
+        ids, tokens = [p[0] for p in parts], [p[1] for p in parts]
+        if b"" in ids:  # a word of white space outside ASCII
+            ids, tokens = [x for x in ids if x], [x for x in tokens if x]
+        return b" ".join(ids), b" ".join(tokens)
 
     # one long word ----------------------------------------------------------------------------
 
@@ -189,12 +266,12 @@ def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", le
     encoded where they are; the parts of longer ones are dealt over all tasks
     and gathered again, so only those are shuffled.
     """
-    return _run(df, path, text, key, leaf, "n_tokens bigint, ids array<int>", 2, b"", _ids_out)
+    return _run(df, path, text, key, leaf, "n_tokens bigint, ids array<int>", "raw", _ids_out)
 
 
 def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", leaf: int = LEAF) -> DataFrame:
     """Per row the key, ``n_tokens``, ``ids_sha256`` (of the decimal ids, joined by a space) and ``decoded_sha256`` (of ``decode``'s text)."""
-    return _run(df, path, text, key, leaf, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", None, b" ", _digests_out)
+    return _run(df, path, text, key, leaf, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", "texts", _digests_out)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -224,16 +301,15 @@ def _digests_out(rows):
     return {"n_tokens": [r[0].count(b" ") + 1 if r[0] else 0 for r in rows], "ids_sha256": [sha(r[0]) for r in rows], "decoded_sha256": [sha(r[1]) for r in rows]}
 
 
-def _run(df, path, text, key, leaf, schema, form, glue, out):
+def _run(df, path, text, key, leaf, schema, form, out):
     """Short texts in one pass; long ones as leaves, gathered by a row number of their own."""
     key_type = df.schema[key].dataType.simpleString()
     rows = named(df, key=key, text=F.col(text).cast("binary"))
-    forms = (form,) if form is not None else (0, 1)
+    glue = b"" if form == "raw" else b" "
 
     def encoded(c: Codec, part: bytes):
         c.leaf = leaf
-        got = tuple(c.text_forms(part, f, glue) for f in forms)
-        return got[0] if form is not None else got
+        return getattr(c, form)(part)
 
     def short(batch):
         c = codec(path)
@@ -250,16 +326,16 @@ def _run(df, path, text, key, leaf, schema, form, glue, out):
     def leaf_forms(batch):
         c = codec(path)
         got = [encoded(c, p) for p in batch.column("part").to_pylist()]
-        got = [(g,) for g in got] if form is not None else got
+        got = [(g, b"") for g in got] if form == "raw" else got
         yield {name: batch.column(name) for name in ("key", "row", "at", "copies")} | {
-               "a": [g[0] for g in got], "b": [g[-1] if len(g) > 1 else b"" for g in got]}
+               "a": [g[0] for g in got], "b": [g[1] for g in got]}
 
     def joined(batch):
         rows = []
         for parts in batch.column("parts").to_pylist():
             parts = sorted(parts, key=lambda p: p["at"])
             pair = tuple(glue.join([p[x] for p in parts if p[x]]) for x in ("a", "b"))
-            rows.append(pair[0] if form is not None else pair)
+            rows.append(pair[0] if form == "raw" else pair)
         yield {"key": batch.column("key"), "copies": batch.column("copies")} | out(rows)
 
     size = F.length("text")

@@ -182,7 +182,7 @@ def pieces(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", ca
             out = {name: [] for name in ("key", "piece", "start", "length", "ids_crc32")}
             ids = []
             for k, t in zip(keys[at: at + 256], texts[at: at + 256]):
-                raw = c.text_forms(t or b"", 2, b"") + end
+                raw = c.raw(t or b"") + end
                 for i in range(0, len(raw), step):
                     part = raw[i: i + step]
                     for name, value in (("key", k), ("piece", i // step), ("start", i // 4), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part))):
