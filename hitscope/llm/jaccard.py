@@ -38,8 +38,8 @@ from .workspace import stored
 WIDTH = 4
 #: Linked when 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 85
-#: Share of hashes that are counted to tell rare n-grams from common ones.
-COUNTED = 0.2
+#: By how much more hashes are counted, to tell rare n-grams from common ones, than a document's window has.
+COUNTED = 4 / 3
 #: A cell with more documents is joined by rounds of pivots.
 CROWDED = 256
 #: Pivots of a crowded cell in its first round.
@@ -75,9 +75,14 @@ def _window(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
+def _counted(percent: int) -> int:
+    """Hashes below this are counted."""
+    return int(min(0.49, COUNTED * (100 - percent) / 100) * 2**64)  # below a half, so that it's the same signed and unsigned
+
+
 def _points(rows: DataFrame, key_type: str, width: int, percent: int) -> DataFrame:
     """Per row: key, n, two sums that stand for the set, and its counted hashes (at least as many as its window)."""
-    limit = np.uint64(int(COUNTED * 2**64))
+    limit = np.uint64(_counted(percent))
 
     def work(batch):
         bounds, h = shingle_sets(batch.column("text"), width)
@@ -99,7 +104,7 @@ def _cells(points: DataFrame, percent: int) -> DataFrame:
     """(cell, key): the documents of every cell with two or more."""
     spread = points.select("key", F.explode("counted").alias("h"))
     regions = spread.groupBy("h").agg(F.count("*").alias("docs"), F.min("key").alias("cell")).where("docs > 1")
-    is_low = (F.col("h") >= 0) & (F.col("h") < F.lit(int(COUNTED * 2**64)))  # as unsigned numbers; COUNTED is below a half
+    is_low = (F.col("h") >= 0) & (F.col("h") < F.lit(_counted(percent)))
     shared = spread.join(regions, "h").groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct((~is_low).alias("high"), "docs", "h", "cell"))).alias("shared"), F.sum(is_low.cast("bigint")).alias("shared_low"))
     exact = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
