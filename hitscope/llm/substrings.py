@@ -77,9 +77,10 @@ def _pairs(rows: DataFrame, key_type: str, short: int, length: int) -> DataFrame
 
 
 def _survivors(pairs: DataFrame) -> DataFrame:
-    """(key, alive): of each document the hashes that repeat."""
-    again = _repeated(pairs)
-    return pairs.join(again.select("h"), "h").groupBy("key").agg(F.collect_set("h").alias("alive"))
+    """(key, later, early): of each document the hashes that repeat, by whether an earlier document has them."""
+    found = pairs.join(_repeated(pairs), "h")
+    later = (F.col("first") < F.col("key")) | F.col("key").isNull()
+    return found.groupBy("key").agg(F.collect_set(F.when(later, F.col("h"))).alias("later"), F.collect_set(F.when(~later, F.col("h"))).alias("early"))
 
 
 def _kept_words(text: bytes, words: Words, i: int, removed: np.ndarray) -> bytes:
@@ -90,44 +91,55 @@ def _kept_words(text: bytes, words: Words, i: int, removed: np.ndarray) -> bytes
 
 
 def _judged(df: DataFrame, text: str, key: str, length: int, start: int) -> tuple[DataFrame, DataFrame, str]:
-    """(all documents, with the texts and long windows of those that still have candidates; hashes to remove by key; the key's type)."""
+    """(all documents, with the texts of those that still have candidates; hashes to remove by key; the key's type)."""
     key_type = df.schema[key].dataType.simpleString()
     rows = named(df, key=key, text=F.col(text).cast("binary"))
     levels = lengths(start, length)
-    with_alive = None
+    with_alive, before = None, None
     for short in levels[:-1]:
-        if with_alive is None:
-            pairs = _pairs(rows, key_type, short, length)
-        else:
-            pairs = _extended(with_alive, key_type, previous, short, length)
-        alive = _survivors(pairs)
-        with_alive = rows.join(alive.withColumnRenamed("key", "alive_key"), F.col("key").eqNullSafe(F.col("alive_key")), "left").drop("alive_key")
-        previous = short
-    short = levels[-2] if len(levels) > 1 else None
+        pairs = _pairs(rows, key_type, short, length) if before is None else _extended(with_alive, key_type, before, short, length)
+        alive = stored(_survivors(pairs).withColumnRenamed("key", "alive_key"), "repeated")
+        with_alive = rows.join(alive, F.col("key").eqNullSafe(F.col("alive_key")), "left").drop("alive_key")
+        before = short
+    source = rows.withColumns({"later": F.lit(None).cast("array<bigint>"), "early": F.lit(None).cast("array<bigint>")}) if before is None else with_alive
 
     def candidates(batch):
+        """Which windows are left, as one bit for each word, and which of them may have an earlier one."""
         words = Words(Texts(batch.column("text")))
-        at, full = words.windows(length)
-        survivors = batch.column("alive").to_pylist() if short is not None else None
-        if short is None:
-            ok = np.ones(len(at), bool)
+        flags = np.zeros((2, len(words.hashes)), bool)
+        if before is None:
+            flags[:, words.windows(length)[0]] = True
         else:
-            ok = _alive(words, at, _chosen(words, short, length)[1], survivors)
-        docs, hashes = words.documents()[at][ok], signed(full[ok])
-        ends = np.searchsorted(docs, np.arange(words.texts.n + 1))
-        some = pa.array(np.diff(ends) > 0)
+            at, best = _chosen(words, before, length)
+            for k, name in enumerate(("early", "later")):
+                flags[k, at] = _alive(words, at, best, batch.column(name).to_pylist())
+            flags[0] |= flags[1]
+        spans = list(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()))
+        some = [bool(flags[0, a:b].any()) for a, b in spans]
         column = batch.column("text")
-        yield {"key": batch.column("key"), "n_words": words.counts, "windows": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes)),
-               "text": pa.compute.if_else(some, column, pa.nulls(len(column), column.type)),
-               "clean": [None if hit else _digest(words.texts.document(i)) for i, hit in enumerate(some.to_pylist())]}
-
-    source = with_alive if with_alive is not None else rows
-    state = stored(over_batches(source, candidates, f"key {key_type}, n_words bigint, windows array<bigint>, text binary, clean string"), "windows")
-    pairs = state.select("key", F.explode("windows").alias("h"))
-    first = _repeated(pairs)
-    later = pairs.join(first, "h").where((F.col("first") < F.col("key")) | F.col("key").isNull())
+        bits = [[np.packbits(flags[k, a:b]).tobytes() if s else None for s, (a, b) in zip(some, spans)] for k in (0, 1)]
+        yield {"key": batch.column("key"), "n_words": words.counts, "open": bits[0], "later": bits[1],
+               "text": pa.compute.if_else(pa.array(some), column, pa.nulls(len(column), column.type)),
+               "clean": [None if s else _digest(words.texts.document(i)) for i, s in enumerate(some)]}
+
+    state = stored(over_batches(source, candidates, f"key {key_type}, n_words bigint, open binary, later binary, text binary, clean string"), "windows")
+
+    def flagged(which: str) -> DataFrame:
+        def work(batch):
+            words = Words(Texts(batch.column("text")))
+            flags = np.zeros(len(words.hashes), bool)
+            for i, bits in enumerate(batch.column(which).to_pylist()):
+                a, b = words.bounds[i], words.bounds[i + 1]
+                flags[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
+            at, full = words.windows(length)
+            hit = flags[at]
+            yield {"h": signed(full[hit]), "key": batch.column("key").take(pa.array(words.documents()[at][hit]))}
+
+        return over_batches(state.where("text is not null").select("key", "text", which), work, f"h bigint, key {key_type}")
+
+    later = flagged("later").join(_repeated(flagged("open")), "h").where((F.col("first") < F.col("key")) | F.col("key").isNull())
     gone = later.groupBy(F.col("key").alias("gone_key")).agg(F.collect_set("h").alias("gone"))
-    return state, gone, key_type
+    return state, stored(gone, "removed"), key_type
 
 
 def _digest(text: bytes) -> str:
@@ -140,7 +152,7 @@ def _extended(rows: DataFrame, key_type: str, before: int, short: int, length: i
         words = Words(Texts(batch.column("text")))
         at, old = _chosen(words, before, length)
         _, best = _chosen(words, short, length)
-        ok = _alive(words, at, old, batch.column("alive").to_pylist())
+        ok = _alive(words, at, old, batch.column("later").to_pylist()) | _alive(words, at, old, batch.column("early").to_pylist())
         docs = words.documents()[at][ok]
         yield {"h": signed(best[ok]), "key": batch.column("key").take(pa.array(docs))}
 
