@@ -7,6 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 
+#: ASCII white space, as trimmed from the ends of raw lines.
+WHITE = " \t\n\x0b\f\r"
+
+
+def trimmed(value: str) -> Column:
+    """A column without white space at either end; ``trim`` alone takes blanks only."""
+    return F.btrim(F.col(value), F.lit(WHITE))
+
+
 def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

@@ -14,8 +14,6 @@ from ..functions.fixed_values import API_ONLY_PATTERN, BLOCKED_STATUSES
 from ..functions.text import all_of, any_of
 from ..functions.user_agents import is_bot
 
-_MANY_NETWORKS = 64
-
 
 def in_countries(countries) -> Column:
     """The listed names are upper-cased, the record's country is not."""
@@ -104,32 +102,27 @@ def apply_filters(df: DataFrame, spec: HitFilter) -> DataFrame:
 def in_network_table(df: DataFrame, cidrs: list[str]) -> DataFrame:
     """Rows whose address lies in any of MANY networks, each row once.
 
-    Networks are first merged, so ranges are disjoint.  A few become one OR of
-    ranges.  More are matched by prefix: an address has one prefix per network
-    length in use, and an equi-join on prefixes needs no range join.
+    Networks are merged first.  For every prefix length in use the address's
+    bits up to that length are looked up in a set, so there is no join and no
+    shuffle, whatever the number of networks.  An empty list filters nothing,
+    as in a filter set.
     """
+    if not cidrs:
+        return df
     nets = [ipaddress.ip_network(c, strict=False) for c in cidrs]
     merged = [n for v in (4, 6) for n in ipaddress.collapse_addresses([n for n in nets if n.version == v])]
-    if len(merged) <= _MANY_NETWORKS:
-        return df.where(in_networks([str(n) for n in merged])) if merged else df.limit(0)
-    spark = df.sparkSession
-    table = spark.createDataFrame(
-        [(n.version, n.prefixlen,
-          format(int(n.network_address), "032b" if n.version == 4 else "0128b")[:n.prefixlen]) for n in merged],
-        "_version int, _length int, _prefix string")
-    lengths = {v: sorted({n.prefixlen for n in merged if n.version == v}) for v in (4, 6)}
+    known: dict[tuple[int, int], list[str]] = {}
+    for n in merged:
+        width = 32 if n.version == 4 else 128
+        known.setdefault((n.version, n.prefixlen), []).append(format(int(n.network_address), f"0{width}b")[:n.prefixlen])
     bits = {4: F.lpad(F.bin(v4_number(F.col("ip"))), 32, "0")}
-    if lengths[6]:
-        digits = F.filter(F.split(v6_hex(F.col("ip")), ""), lambda d: d != "")
-        bits[6] = F.when(F.col("ip").contains(":"), F.array_join(
-            F.transform(digits, lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), ""))
-    known = df.select("ip").distinct().select("ip", *[c.alias(f"_bits{v}") for v, c in bits.items()])
-    prefixes = F.array(*[
-        F.struct(F.lit(v).alias("_version"), F.lit(n).alias("_length"), F.substring(f"_bits{v}", 1, n).alias("_prefix"))
-        for v in bits for n in lengths[v]])
-    inside = (known.select("ip", F.inline(prefixes)).join(table, ["_version", "_length", "_prefix"], "left_semi")
-              .select("ip").distinct())
-    return df.join(inside, "ip", "left_semi")
+    digits = F.filter(F.split(v6_hex(F.col("ip")), ""), lambda d: d != "")
+    bits[6] = F.when(F.col("ip").contains(":"), F.array_join(
+        F.transform(digits, lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), ""))
+    used = {v for v, _ in known}
+    named = df.withColumns({f"_bits{v}": bits[v] for v in used})
+    tests = [F.coalesce(F.substring(f"_bits{v}", 1, length).isin(prefixes), F.lit(False)) for (v, length), prefixes in known.items()]
+    return named.where(any_of(tests)).drop(*[f"_bits{v}" for v in used])
 
 
 # Presets -------------------------------------------------------------------

@@ -25,8 +25,8 @@ from .once_per_ip import credential_stuffing, running_rules, third_type
 
 DDOS_REQUESTS = 500
 DDOS_RATE = 10.0
-# Enough leading threats to fill any shortened threat text (at most 40 bytes).
-_LEADING = 10
+# Enough threats to fill any shortened text of a report (at most 40 bytes).
+_SHOWN = 10
 
 
 def flagged_hits(df: DataFrame, scan_user_agent: bool = True) -> DataFrame:
@@ -204,25 +204,28 @@ def attack_patterns(suspicious: DataFrame) -> DataFrame:
     return suspicious.select("ip", F.inline(F.map_entries(attack_patterns_map())).alias("attack_type", "count"))
 
 
-def leading_threats(df: DataFrame, suspicious: DataFrame, n: int | None = 100, seq: str = "seq",
-                    scan_user_agent: bool = True) -> DataFrame:
-    """(ip, threats): names of the first threats of each address, in order.
+def suspicious_threats(df: DataFrame, suspicious: DataFrame, seq: str = "seq", scan_user_agent: bool = True) -> DataFrame:
+    """(ip, seq, position, threat_type): every threat of every suspicious address, repeats included.
 
-    All threats of an address are the rows of ``threat_events``.  A list for
-    display is cut to 40 bytes, which ten names always fill; the rank limit
-    acts before the shuffle.
+    ``seq`` and ``position`` are the order within an address.
     """
-    events = restrict(threat_events(df, seq, scan_user_agent), suspicious, ["ip"], n)
-    w = Window.partitionBy("ip").orderBy(seq, "position")
-    head = events.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= _LEADING)
-    return head.groupBy("ip").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("_rank", "threat_type"))), lambda s: s["threat_type"]), ", ").alias("threats"))
+    return restrict(threat_events(df, seq, scan_user_agent), suspicious, ["ip"], None).select("ip", seq, "position", "threat_type")
 
 
-def with_threat_text(df: DataFrame, suspicious: DataFrame, n: int | None = 100, seq: str = "seq",
+def with_threat_text(df: DataFrame, suspicious: DataFrame, n: int | None = None, seq: str = "seq",
                      scan_user_agent: bool = True) -> DataFrame:
-    named = attach(suspicious, leading_threats(df, suspicious, n, seq, scan_user_agent), ["ip"], n)
-    return named.withColumn("threats", F.coalesce("threats", F.lit("")))
+    """Adds ``threat_text`` for reports that show at most 40 bytes of an address's threats.
+
+    It names the first threats only, enough to fill that width; all of them
+    are the rows of ``suspicious_threats``.  The rank limit acts before the
+    shuffle.  ``n``: at most how many rows ``suspicious`` has, if that is known.
+    """
+    events = restrict(threat_events(df, seq, scan_user_agent), suspicious, ["ip"], n)
+    w = Window.partitionBy("ip").orderBy(seq, "position")
+    head = events.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= _SHOWN)
+    shown = head.groupBy("ip").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("_rank", "threat_type"))), lambda s: s["threat_type"]), ", ").alias("threat_text"))
+    return attach(suspicious, shown, ["ip"], n).withColumn("threat_text", F.coalesce("threat_text", F.lit("")))
 
 
 # Summaries over the profile --------------------------------------------------
@@ -305,10 +308,11 @@ def threat_ip_table(suspicious: DataFrame, n: int = 10) -> DataFrame:
         F.col("brute_force").alias("failed_logins"), "total_attacks")
 
 
-def abusive_ips(named: DataFrame, n: int = 15) -> DataFrame:
-    """Suspicious addresses by requests; ``named`` carries ``threats`` text."""
-    text = F.when(F.col("threats") == "", "High Error Rate").otherwise(F.col("threats"))
-    return top(named, n, "request_count", "ip").select(
+def abusive_ips(df: DataFrame, suspicious: DataFrame, n: int = 15, seq: str = "seq", scan_user_agent: bool = True) -> DataFrame:
+    """Of all suspicious addresses those with most requests."""
+    named = with_threat_text(df, top(suspicious, n, "request_count", "ip"), n, seq, scan_user_agent)
+    text = F.when(F.col("threat_text") == "", "High Error Rate").otherwise(F.col("threat_text"))
+    return named.select(
         "ip", "threat_score", "request_count", (error_ratio() * 100).alias("error_percentage"),
         shorten(text, 30).alias("attack_types"), F.col("brute_force").alias("failed_logins"))
 
@@ -327,13 +331,14 @@ def security_recommendations(suspicious: DataFrame) -> DataFrame:
 
 
 def block_list(named: DataFrame, option: str = "critical") -> DataFrame:
-    """Deny rules, most requests first: (position, line).
+    """Deny rules for suspicious addresses: (request_count, ip, line).
 
-    ``critical``: score of at least 70; ``all``: every suspicious address;
-    ``error100``: no request succeeded.
+    ``critical``: score of at least 70; ``all``: every one of them;
+    ``error100``: no request succeeded.  Most requests come first, then by
+    address; the writer sorts by these.
     """
     error = error_ratio() * 100
-    text = F.col("threats")
+    text = F.col("threat_text")
     if option == "all":
         text = F.when(text != "", text).when(error >= 80, "High error rate").otherwise("")
     text = shorten(text, 40)
@@ -346,9 +351,8 @@ def block_list(named: DataFrame, option: str = "critical") -> DataFrame:
         "all": (F.lit(True), [score_text, requests, errors, text]),
         "error100": (error >= 100, [requests, score_text, text]),
     }[option]
-    w = Window.orderBy(F.col("request_count").desc(), F.col("ip").asc())  # over the suspicious list, 100 rows
     return named.where(wanted).select(
-        F.row_number().over(w).alias("position"), F.concat(deny, F.concat_ws(", ", *parts)).alias("line"))
+        "request_count", "ip", F.concat(deny, F.concat_ws(", ", *parts)).alias("line"))
 
 
 # Record-level breakdowns -----------------------------------------------------

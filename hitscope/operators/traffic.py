@@ -295,9 +295,9 @@ def paths_with_handler(df: DataFrame, n: int = 15) -> DataFrame:
 
 
 def ips_with_hostname(df: DataFrame, hostnames: DataFrame, n: int = 15, seq: str = "seq") -> DataFrame:
-    """Top addresses with the name from an ``(ip, hostname)`` table, else ``-``."""
+    """Top addresses with the name from an ``(ip, hostname)`` table, else ``-``; of several names the first by text."""
     listed = top_ips(df, n, seq)
-    names = restrict(hostnames, listed, ["ip"], n)
+    names = restrict(hostnames, listed, ["ip"], n).groupBy("ip").agg(F.min("hostname").alias("hostname"))
     named = attach(listed, names, ["ip"], n)
     name = F.when((F.col("hostname") == "") | (F.col("hostname") == F.col("ip")), "-").otherwise(F.col("hostname"))
     return share_of_total(named.withColumn("hostname", F.coalesce(name, F.lit("-"))), df)

@@ -20,17 +20,15 @@ def top_keys(df: DataFrame, keys: list[str], n: int | None) -> DataFrame:
 
 
 def restrict(df: DataFrame, chosen: DataFrame, keys: list[str], n: int | None) -> DataFrame:
-    """Rows of ``df`` whose key is in ``chosen``, which has at most ``n`` rows.
-
-    The broadcast hint is given only for a small ``n``; otherwise the engine
-    decides from measured sizes.
-    """
-    if n is None:
-        return df
-    side = chosen.select(*keys)
-    return df.join(F.broadcast(side) if n <= BROADCAST_KEYS else side, keys, "left_semi")
+    """Rows of ``df`` whose key is in ``chosen``; without ``n``, of any number of keys."""
+    return df.join(_bounded(chosen.select(*keys), n), keys, "left_semi")
 
 
 def attach(left: DataFrame, right: DataFrame, keys: list[str], n: int | None, how: str = "left") -> DataFrame:
-    """Join per-key columns onto at most ``n`` rows."""
-    return left.join(F.broadcast(right) if n is not None and n <= BROADCAST_KEYS else right, keys, how)
+    """Join per-key columns, one row for each key of ``right``."""
+    return left.join(_bounded(right, n), keys, how)
+
+
+def _bounded(side: DataFrame, n: int | None) -> DataFrame:
+    """A hint only where the side can't hold more than a small ``n`` of rows; else the engine decides from measured sizes."""
+    return F.broadcast(side.limit(n)) if n is not None and n <= BROADCAST_KEYS else side

@@ -41,15 +41,15 @@ def traffic_report(hits: DataFrame, seq: str = "seq", granularity: str = "1 minu
 def security_report(hits: DataFrame, profile: DataFrame, seq: str = "seq") -> dict[str, DataFrame]:
     """``profile`` is ``security.ip_profile(hits)``, best inside ``kept``."""
     suspicious = security.suspicious_ips(profile)
-    named = security.with_threat_text(hits, suspicious, 100, seq)
+    everyone = security.suspicious_ips(profile, None)
     return {
         "summary": security.security_summary(profile), "ip_categories": security.ip_categories(profile),
         "attack_categories": security.attack_categories(profile), "attack_types": security.top_attack_types(profile),
         "extended": security.extended_attack_table(profile), "suspicious_ips": suspicious,
-        "threat_ips": security.threat_ip_table(suspicious), "abusive_ips": security.abusive_ips(named),
+        "threat_ips": security.threat_ip_table(suspicious), "abusive_ips": security.abusive_ips(hits, everyone, seq=seq),
         "sensitive_files": security.sensitive_files(hits), "web_shells": security.web_shells(hits),
         "methods": security.anomalous_methods(hits), "platforms": security.platform_threats(hits),
-        "recommendations": security.security_recommendations(suspicious),
+        "recommendations": security.security_recommendations(everyone),
     }
 
 

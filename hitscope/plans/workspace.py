@@ -12,10 +12,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the checkpoint directory of the session.
 
     The cluster names that directory in ``spark.checkpoint.dir``.  Where it is
-    unset, as in local tests, a temporary one is made and set.
+    unset and the master is local, as in tests, a temporary one is made and
+    set; on a cluster every machine would have a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="hitscope-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

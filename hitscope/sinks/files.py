@@ -131,8 +131,8 @@ def write_report(df: DataFrame, path: str, n: int = 10) -> None:
 
 
 def write_block_list(rules: DataFrame, path: str) -> None:
-    """``rules``: (position, line) of ``security.block_list``."""
-    rules.coalesce(1).sortWithinPartitions("position").select("line").write.mode("overwrite").text(path)
+    """The lines of ``security.block_list`` in order, over as many files as the sort has ranges."""
+    rules.orderBy(F.col("request_count").desc(), F.col("ip").asc()).select("line").write.mode("overwrite").text(path)
 
 
 def write_hits(df: DataFrame, path: str, mode: str = "append") -> None:

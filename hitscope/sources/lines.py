@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.fixed_values import DEFAULT_LOG_PATHS, LOG_GLOBS
+from ..functions.text import trimmed
 from ..functions.times import parse_time
 from ..schema import RAW_JSON
 
@@ -86,7 +87,7 @@ def file_profile(lines: DataFrame, seq: str = "seq") -> DataFrame:
 
     Every line counts; the times come from the first and last readable record.
     """
-    text = F.trim("value")
+    text = trimmed("value")
     record = F.from_json(text, RAW_JSON, {"columnNameOfCorruptRecord": "_corrupt_record"})
     readable = text.startswith("{") & record.isNotNull() & record["_corrupt_record"].isNull()
     timed = lines.select("file_path", "file_size", "file_time", seq,

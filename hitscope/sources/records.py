@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.addresses import with_address
+from ..functions.text import trimmed
 from ..functions.times import float_prefix, int_prefix, parse_time
 from ..functions.user_agents import is_bot, is_bot_short, parse_user_agent
 from ..schema import HIT_COLUMNS, RAW_JSON, UA
@@ -70,11 +71,11 @@ def normalize(records: DataFrame, record: str = "record", default_ts: Column | N
 
 
 def _json_record() -> Column:
-    return F.from_json(F.trim("value"), RAW_JSON, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return F.from_json(trimmed("value"), RAW_JSON, {"columnNameOfCorruptRecord": "_corrupt_record"})
 
 
 def _is_object() -> Column:
-    text = F.trim("value")
+    text = trimmed("value")
     return text.startswith("{") & text.endswith("}")
 
 
@@ -88,7 +89,7 @@ def parse_json(lines: DataFrame, default_ts: Column | None = None, keep: tuple[s
 
 def rejected_json(lines: DataFrame) -> DataFrame:
     """Number of lines per file-independent outcome: ``accepted``, ``blank``, ``malformed``."""
-    blank = F.trim("value") == ""
+    blank = trimmed("value") == ""
     good = _is_object() & _json_record()["_corrupt_record"].isNull()
     return lines.groupBy(F.when(blank, "blank").when(good, "accepted").otherwise("malformed").alias("outcome")).count()
 
@@ -172,9 +173,10 @@ def parse_mixed(lines: DataFrame, default_ts: Column | None = None, keep: tuple[
 
     One scan and one projection; the format decides per row which branch runs.
     """
-    text = F.trim("value")
+    text = trimmed("value")
     is_json = text.startswith("{")
-    is_tsv = ~is_json & (F.size(F.split(text, "\t", -1)) >= 10)
+    # A tab at the end of a line is an empty last field, so only blanks are trimmed here.
+    is_tsv = ~is_json & (F.size(F.split(F.trim("value"), "\t", -1)) >= 10)
     is_columns = ~is_json & ~is_tsv & (F.size(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")) >= 5)
     tagged = lines.where((is_json & text.endswith("}")) | is_tsv | is_columns).select(
         *keep, "value", F.when(is_json, "json").when(is_tsv, "tsv").otherwise("columns").alias("_format"),

@@ -94,14 +94,15 @@ def _advance(key, chunks: Iterator[pd.DataFrame], state: GroupState, idle_us: in
         "core_hits": [after[4]], "first_us": [after[5]], "last_us": [after[6]], "counts": [after[7]]})
 
 
-def stream_ip_threats(df: DataFrame, seq: str = "seq", delay: str = "10 minutes", idle_hours: float | None = 24,
+def stream_ip_threats(df: DataFrame, seq: str = "seq", delay: str = "10 minutes", idle_hours: float | None = None,
                       scan_user_agent: bool = True) -> DataFrame:
     """Per micro-batch one row for every address in it, with its profile so far.
 
     An address's share of a micro-batch is handled at once, as three numbers per
     record; the source's files or rows per trigger bound it.  For very busy
     addresses keep triggers small.  ``seq`` orders the records of a micro-batch.  An address without records for
-    ``idle_hours`` of event time is forgotten; None keeps all.
+    ``idle_hours`` of event time is forgotten, and late records are dropped, if
+    that is given; by default everything is kept.
     """
     timed = df.withColumn("ts", F.col("ts").cast("timestamp"))
     if idle_hours is not None:

@@ -67,10 +67,11 @@ typed AS (SELECT *, ({_TYPES})::INTEGER AS attack_type_count FROM full_base),
 profile AS (SELECT *, least(100.0, {_SCORE} + 20.0 * error_count / request_count
     + CASE WHEN duration > 0 AND request_count / duration > 10 THEN 15 ELSE 0 END
     + CASE WHEN attack_type_count >= 5 THEN 10 WHEN attack_type_count >= 3 THEN 5 ELSE 0 END)::DOUBLE AS threat_score FROM typed)"""
-SUSPICIOUS = PROFILE + f""",
+EVERYONE = PROFILE + f""",
 suspicious AS (SELECT *, {" + ".join(at.CORE)} AS threat_count, {" + ".join(at.ATTACK_TYPES)} AS total_attacks,
     error_count * 100.0 / request_count AS error_pct FROM profile
-    WHERE {" + ".join(at.CORE)} > 0 OR threat_score > 30 ORDER BY threat_score DESC, ip LIMIT 100)"""
+    WHERE {" + ".join(at.CORE)} > 0 OR threat_score > 30)"""
+SUSPICIOUS = EVERYONE + " , top AS (SELECT * FROM suspicious ORDER BY threat_score DESC, ip LIMIT 100)"
 
 # Record level ------------------------------------------------------------------
 _names = (*_RECORD, "empty_ua", "failed_login", "is_api_path", "introspection")
@@ -84,8 +85,8 @@ add("rule_counts_path_only", lambda df: s.rule_counts(df, scan_user_agent=False)
         f"SELECT {text(t)} AS rule, count(*) FILTER ({t}) AS records FROM flags" for t in _names), True)
 add("sensitive_file_types", s.sensitive_files, f"""SELECT CASE WHEN contains(lower(path), '.git') THEN '.git/'
     WHEN contains(lower(path), '.env') THEN '.env' WHEN contains(lower(path), 'wp-config') THEN 'wp-config.php'
-    WHEN regexp_matches(lower(path), '(backup|dump)[.]sql') THEN 'database_backups'
-    WHEN regexp_matches(lower(path), '[.](bak|old)') THEN 'backup_files' ELSE 'other_sensitive' END AS file_type,
+    WHEN contains(lower(path), 'backup.sql') OR contains(lower(path), 'dump.sql') THEN 'database_backups'
+    WHEN contains(lower(path), '.bak') OR contains(lower(path), '.old') THEN 'backup_files' ELSE 'other_sensitive' END AS file_type,
     count(*) AS count FROM hits WHERE {RULES["sensitive_files"]} GROUP BY 1 ORDER BY count DESC, file_type LIMIT 10""")
 add("web_shell_labels", s.web_shells, f"""SELECT coalesce(nullif(regexp_extract(lower({_PU}), 'c99'), ''),
     nullif(regexp_extract(lower({_PU}), 'r57'), ''), nullif(regexp_extract(lower({_PU}), 'wso'), ''),
@@ -147,17 +148,18 @@ add("threat_level", lambda df: s.ip_profile(df).select("ip", s.threat_level(F.co
     PROFILE + f" SELECT ip, {_LEVEL} AS threat_level FROM profile", True)
 
 
-def _suspicious(df):
-    return s.suspicious_ips(s.ip_profile(df))
+def _everyone(df):
+    """All suspicious addresses; only the lists that are a top list by name are limited."""
+    return s.suspicious_ips(s.ip_profile(df), None)
 
 
-add("suspicious_ips", lambda df: _suspicious(df).select(
+add("suspicious_ips", lambda df: s.suspicious_ips(s.ip_profile(df)).select(
         "ip", "country", "threat_score", "request_count", "error_count", "first_seen", "last_seen", "threat_count",
         "total_attacks", "recommendation", "threat_level"),
     SUSPICIOUS + f""" SELECT ip, country, {r("threat_score")} AS threat_score, request_count, error_count, first_seen, last_seen,
-    threat_count, total_attacks, {_ADVICE} AS recommendation, {_LEVEL} AS threat_level FROM suspicious""", True)
-add("attack_patterns", lambda df: s.attack_patterns(_suspicious(df)),
-    SUSPICIOUS + " SELECT ip, attack_type, count FROM (UNPIVOT (SELECT ip, " + ", ".join(at.ATTACK_TYPES) + " FROM suspicious) ON "
+    threat_count, total_attacks, {_ADVICE} AS recommendation, {_LEVEL} AS threat_level FROM top""", True)
+add("attack_patterns", lambda df: s.attack_patterns(_everyone(df)),
+    EVERYONE + " SELECT ip, attack_type, count FROM (UNPIVOT (SELECT ip, " + ", ".join(at.ATTACK_TYPES) + " FROM suspicious) ON "
     + ", ".join(at.ATTACK_TYPES) + " INTO NAME attack_type VALUE count) WHERE count > 0", True)
 _THREATS = f"""threats AS (SELECT ip, string_agg(threat_type, ', ' ORDER BY seq, position) AS threats FROM (
     SELECT ip, seq, threat_type, list_position([{", ".join(text(t) for t in at.CORE)}], threat_type) AS position FROM {EVENTS}) GROUP BY ip),
@@ -168,15 +170,13 @@ def _short(column: str, limit: int) -> str:
     return f"CASE WHEN length({column}) <= {limit} THEN {column} ELSE left({column}, {limit - 3}) || '...' END"
 
 
-def _named(df):
-    return s.with_threat_text(df, _suspicious(df))
-
-
-add("abusive_ips", lambda df: s.abusive_ips(_named(df)), SUSPICIOUS + f""", {_THREATS}
+add("suspicious_threats", lambda df: s.suspicious_threats(df, _everyone(df)).drop("position"), EVERYONE + f"""
+    SELECT ip, seq, threat_type FROM {EVENTS} WHERE ip IN (SELECT ip FROM suspicious)""", True)
+add("abusive_ips", lambda df: s.abusive_ips(df, _everyone(df)), EVERYONE + f""", {_THREATS}
     SELECT ip, {r("threat_score")} AS threat_score, request_count, {r("error_pct")} AS error_percentage,
     {_short("CASE threats WHEN '' THEN 'High Error Rate' ELSE threats END", 30)} AS attack_types, brute_force AS failed_logins
     FROM named ORDER BY request_count DESC, ip LIMIT 15""", True)
-add("threat_ip_table", lambda df: s.threat_ip_table(_suspicious(df)), SUSPICIOUS + f""" SELECT ip, {r("threat_score")} AS threat_score, request_count,
+add("threat_ip_table", lambda df: s.threat_ip_table(_everyone(df)), EVERYONE + f""" SELECT ip, {r("threat_score")} AS threat_score, request_count,
     {r("error_pct")} AS error_percentage, brute_force AS failed_logins, total_attacks FROM suspicious WHERE threat_score >= 10
     ORDER BY threat_score DESC, ip LIMIT 10""", True)
 _DENY = {
@@ -186,8 +186,8 @@ _DENY = {
     "error100": ("error_pct >= 100", f"printf('deny %s;  # Requests: %s, Score: %.1f, %s', ip, format('{{:,}}', request_count), threat_score, {_short('threats', 40)})"),
 }
 for _option, (_where, _line) in _DENY.items():
-    add("block_list" if _option == "critical" else f"block_list_{_option}", lambda df, o=_option: s.block_list(_named(df), o), SUSPICIOUS + f""", {_THREATS}
-        SELECT row_number() OVER (ORDER BY request_count DESC, ip)::INTEGER AS position, {_line} AS line FROM named WHERE {_where}""", True)
+    add("block_list" if _option == "critical" else f"block_list_{_option}", lambda df, o=_option: s.block_list(s.with_threat_text(df, _everyone(df)), o), EVERYONE + f""", {_THREATS}
+        SELECT request_count, ip, {_line} AS line FROM named WHERE {_where}""", True)
 
 # Summaries ------------------------------------------------------------------------
 _SUMS = ", ".join(f"sum({t})::BIGINT AS {t}" for t in at.ATTACK_TYPES)
@@ -215,7 +215,7 @@ add("top_attack_types", lambda df: s.top_attack_types(s.ip_profile(df)), PROFILE
 add("extended_attack_table", lambda df: s.extended_attack_table(s.ip_profile(df)), PROFILE + " SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT {text(v)} AS category, sum({t})::BIGINT AS attempts, {text(sev)} AS severity FROM profile"
     for t, (v, sev) in EXTENDED_ATTACK_LABELS.items()) + ") WHERE attempts > 0", True)
-add("security_recommendations", lambda df: s.security_recommendations(_suspicious(df)), SUSPICIOUS + """, found AS (
+add("security_recommendations", lambda df: s.security_recommendations(_everyone(df)), EVERYONE + """, found AS (
     SELECT bool_or(request_count > 500) AS a, bool_or(threat_score >= 70) AS b, bool_or(brute_force > 0) AS c, bool_or(error_pct > 80) AS d FROM suspicious)
     SELECT 1 AS position, 'ddos' AS topic, 'Consider implementing rate limiting for IPs with high request rates' AS advice FROM found WHERE a
     UNION ALL SELECT 2, 'high_threat', 'Review and consider blocking suspicious IPs with threat scores >= 70' FROM found WHERE b

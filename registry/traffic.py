@@ -11,6 +11,7 @@ from hitscope.operators import filters as f, timeline as tl, traffic as t
 from hitscope.operators.security import threat_events
 
 from .base import ERRORS, add, add_raw, is_bot_sql, r, text
+from .security import EVENTS, FLAGS
 from .view import hits
 
 AS_OF = dt.datetime(2024, 1, 20, 12, 0, 0)
@@ -198,14 +199,9 @@ add("timeline_with_status", lambda df: tl.timeline_with_status(df, "1 day").sele
 add("peak_bucket", lambda df: tl.peak_bucket(df, "1 hour"), _timeline_sql(HOUR) + " ORDER BY count DESC, bucket LIMIT 1")
 add("security_timeline", lambda df: tl.security_timeline(threat_events(df), "1 hour").groupBy("bucket", "threat_type", "severity").agg(
         F.sum("count").alias("count"), F.count("*").alias("ips")),
-    f"""WITH e AS (SELECT {HOUR} AS bucket, ip, unnest(list_concat(
-        CASE WHEN regexp_matches(path || ' ' || user_agent, '(?i)(union|select|insert|update|delete|drop|alter|exec|script)') THEN ['sql_injection'] ELSE [] END,
-        CASE WHEN regexp_matches(path || ' ' || user_agent, '(?i)(<script|javascript:|on\\w+=|<iframe|<object|<embed)') THEN ['xss'] ELSE [] END,
-        CASE WHEN regexp_matches(path || ' ' || user_agent, '\\.\\./|\\.\\.%2[fF]|\\.\\.\\\\') THEN ['directory_traversal'] ELSE [] END,
-        CASE WHEN regexp_matches(path || ' ' || user_agent, ';|[|]|&&|[$][(]|`') THEN ['command_injection'] ELSE [] END,
-        CASE WHEN regexp_matches(path || ' ' || user_agent, '(?i)(file|php|expect)://|data:') THEN ['file_inclusion'] ELSE [] END)) AS threat_type FROM hits)
+    f"""WITH {FLAGS}, e AS (SELECT {HOUR} AS bucket, ip, threat_type FROM {EVENTS})
     SELECT bucket, threat_type, CASE WHEN threat_type IN ('xss', 'directory_traversal') THEN 'high' ELSE 'critical' END AS severity,
-    count(*) AS count, count(DISTINCT ip) AS ips FROM e GROUP BY bucket, threat_type""")
+    count(*) AS count, count(DISTINCT ip) AS ips FROM e GROUP BY bucket, threat_type""", True)
 add("hour_profile", tl.hour_profile, """SELECT hour, count, row_number() OVER (ORDER BY count DESC, hour)::INTEGER AS peak_rank,
     row_number() OVER (ORDER BY count, hour)::INTEGER AS low_rank FROM (SELECT hour(ts)::INTEGER AS hour, count(*) AS count FROM hits GROUP BY 1)""")
 add("traffic_patterns", tl.traffic_patterns, f"""WITH h AS (SELECT hour(ts) AS hour, count(*) AS n FROM hits GROUP BY 1),

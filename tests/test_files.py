@@ -97,7 +97,7 @@ def test_sinks_round_trip(spark, log, tmp_path):
     text = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
     assert "Total Requests:      40" in text and " 1. /0 (10 requests)" in text and "500: 8 (20.0%)" in text
     profile = security.ip_profile(df.withColumn("path", F.lit("/?q=union")))
-    named = security.with_threat_text(df, security.suspicious_ips(profile))
+    named = security.with_threat_text(df, security.suspicious_ips(profile, None))
     out.write_block_list(security.block_list(named, "all"), str(tmp_path / "deny"))
     rules = [r.value for r in spark.read.text(str(tmp_path / "deny")).collect()]
     assert len(rules) == 3 and rules[0].startswith("deny 1.1.1.0;  # Score: 100.0, Requests: 14, Error: ")

@@ -143,10 +143,11 @@ def test_traffic_patterns(log):
 def test_threat_text_is_cut_exactly(log):
     rows = [{"path": "/<script>"}] * 3 + [{"path": "/x"}]
     df = log(rows)
-    named = security.with_threat_text(df, security.suspicious_ips(security.ip_profile(df)))
+    suspicious = security.suspicious_ips(security.ip_profile(df), None)
+    named = security.with_threat_text(df, suspicious)
     line = security.block_list(named, "all").first().line
     assert line.endswith("sql_injection, xss, sql_injection, xs...")
-    assert security.abusive_ips(named).first().attack_types == "sql_injection, xss, sql_inj..."
+    assert security.abusive_ips(df, suspicious).first().attack_types == "sql_injection, xss, sql_inj..."
 
 
 def test_report_bundles(log):
