@@ -13,16 +13,18 @@ def _slice(value: Column) -> Column:
     return F.floor(F.ln(F.greatest(value, F.lit(1e-9))) * _SLICES_PER_E)
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], weight: str | None = None) -> DataFrame:
     """Percentiles by linear interpolation, one column per entry of ``probs``.
 
+    ``weight``: a column that says how often each row's value counts.
+
     ``percentile`` would keep every distinct value of a key in one buffer.
     Here rows are first counted per (key, value), which map-side combining
     shrinks; the counts per slice then tell which slices hold the wanted ranks,
     and only those are sorted, each on its own.
     """
     counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-              .agg(F.count("*").alias("_n")).withColumn("_slice", _slice(F.col("_v"))))
+              .agg((F.sum(weight) if weight else F.count("*")).alias("_n")).withColumn("_slice", _slice(F.col("_v"))))
     key_rows = Window.partitionBy(*keys)
     slices = counts.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_in_slice"))
     ranked = slices.select(

@@ -36,3 +36,11 @@ def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     updates = spark.read.parquet(path)
     w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
     return updates.withColumn("_age", F.row_number().over(w)).where(F.col("_age") == 1).drop("_age", "batch_id")
+
+
+def compact_updates(spark: SparkSession, path: str, keys: list[str], target: str) -> None:
+    """The last version of each key to a new folder, as a batch before all others; later batches can be written beside it.
+
+    Do this between two runs of the stream, and hand the new folder to the next one.
+    """
+    latest_updates(spark, path, keys).write.parquet(f"{target}/batch_id=-1")

@@ -1,7 +1,10 @@
 """Windowed statistics on streams.
 
-Event time with a watermark decides; records later than the watermark allows
-are dropped.  Used on a batch DataFrame the same functions give all windows.
+``sliding_stats``, ``stream_timeline`` and ``stream_alerts`` give final windows
+only: event time with a watermark decides, and records later than that are
+dropped.  The ``..._parts`` run in update mode and keep everything; what is
+stored of them gives all windows so far, exact, by the matching ``..._of``.
+Used on a batch DataFrame the same functions give all windows.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from ..functions.fixed_values import ALERT_ERROR_RATE, ALERT_REQUESTS_PER_MINUTE
 from ..functions.status import is_error
 from ..functions.text import count_where
 from ..operators.traffic import with_bot_flag
+from ..plans.percentiles import exact_percentiles
 
 
 def _timed(df: DataFrame, delay: str) -> DataFrame:
@@ -40,6 +44,52 @@ def sliding_stats(df: DataFrame, window: str = "5 minutes", slide: str = "1 minu
         "error_count", (F.col("error_count") / F.col("total_requests")).alias("error_rate"))
 
 
+def sliding_parts(df: DataFrame, window: str = "5 minutes", slide: str = "1 minute", delay: str | None = None) -> DataFrame:
+    """What ``sliding_of`` needs, for update mode: counts per (window, address, response time).
+
+    Without ``delay`` no record is ever too late, and the state keeps all
+    windows; with it, windows that the watermark has passed are final.
+    """
+    timed = with_bot_flag(df).withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", delay) if delay and df.isStreaming else timed
+    return timed.groupBy(F.window("ts", window, slide), "ip", "response_time").agg(
+        F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes"), count_where(F.col("is_bot")).alias("bots"),
+        count_where(is_error(F.col("status"))).alias("errors")).select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "ip", "response_time", "n", "bytes", "bots", "errors")
+
+
+def sliding_of(parts: DataFrame) -> DataFrame:
+    """The columns of ``sliding_stats``, exact, from the last stored version of each part."""
+    keys = ["window_start", "window_end"]
+    ranks = exact_percentiles(parts, keys, "response_time", {"median_response_time": 0.5, "p95_response_time": 0.95, "p99_response_time": 0.99}, "n")
+    per_ip = parts.groupBy(*keys, "ip").agg(
+        *[F.sum(c).alias(c) for c in ("n", "bytes", "bots", "errors")], F.sum(F.col("response_time") * F.col("n")).alias("seconds"),
+        F.sum(F.when(F.col("response_time").isNotNull(), F.col("n"))).alias("timed"))
+    stats = per_ip.groupBy(*keys).agg(
+        F.sum("n").alias("total_requests"), F.count("ip").alias("unique_ips"), F.sum("bytes").alias("total_bytes"),
+        F.try_divide(F.sum("seconds"), F.sum("timed")).alias("avg_response_time"), F.sum("bots").alias("bot_traffic"), F.sum("errors").alias("error_count"))
+    return stats.join(ranks, keys, "left").select(
+        *keys, "total_requests", "unique_ips", "total_bytes", "avg_response_time", "median_response_time", "p95_response_time", "p99_response_time",
+        "bot_traffic", (F.col("total_requests") - F.col("bot_traffic")).alias("human_traffic"),
+        "error_count", (F.col("error_count") / F.col("total_requests")).alias("error_rate"))
+
+
+def timeline_parts(df: DataFrame, granularity: str = "1 minute", delay: str | None = None) -> DataFrame:
+    """What ``timeline_of`` needs, for update mode: counts per (bucket, address); ``delay`` as in ``sliding_parts``."""
+    timed = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", delay) if delay and df.isStreaming else timed
+    return timed.groupBy(F.window("ts", granularity), "ip").agg(
+        F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes"), F.sum("response_time").alias("seconds"),
+        count_where(is_error(F.col("status"))).alias("errors")).select(F.col("window.start").alias("bucket"), "ip", "n", "bytes", "seconds", "errors")
+
+
+def timeline_of(parts: DataFrame) -> DataFrame:
+    """The columns of ``stream_timeline`` for all buckets so far, from the last stored version of each part."""
+    return parts.groupBy("bucket").agg(
+        F.sum("n").alias("count"), F.sum("bytes").alias("bytes"), F.count("*").alias("unique_ips"),
+        F.sum("errors").alias("error_count"), (F.sum("seconds") / F.sum("n")).alias("avg_response_time"))
+
+
 def stream_timeline(df: DataFrame, granularity: str = "1 minute", delay: str = "1 minute") -> DataFrame:
     """Tumbling buckets with the columns of the batch timeline, addresses exact.
 

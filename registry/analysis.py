@@ -157,20 +157,16 @@ add("funnel", shop.funnel, f"""SELECT *, {r("1 - orders / product_views")} AS dr
     count(*) FILTER (category = 'checkout') AS checkouts, count(*) FILTER (category = 'order') AS orders FROM {CATEGORIZED} WHERE status < 400)""")
 add("checkout_errors", shop.checkout_errors, f"""SELECT path, count(*) AS count, 'checkout_error' AS error_type FROM {CATEGORIZED}
     WHERE category = 'checkout' AND status >= 400 GROUP BY path""")
-# The view's first shop record decides the platform, so the GraphQL bucket is
-# tested on the records from the first GraphQL request on.
-_MAGENTO = "seq >= (SELECT min(seq) FROM hits WHERE contains(path, '/graphql'))"
+# The first shop record decides the platform.  So that the GraphQL bucket is
+# used, GraphQL requests arrive before all others; every record stays.
+def _graphql_first(df):
+    return df.withColumn("seq", F.when(F.col("path").contains("/graphql"), F.col("seq") - 10**12).otherwise(F.col("seq")))
 
 
-def _from_graphql(df):
-    first = df.where(F.col("path").contains("/graphql")).agg(F.min("seq")).scalar()
-    return df.withColumn("_from", first).where(F.col("seq") >= F.col("_from")).drop("_from")
-
-
-add("shop_graphql", lambda df: shop.shop_graphql(_from_graphql(df)), f"""SELECT 'graphql_query' AS operation, {_SHOP_STATS} FROM hits
-    WHERE {_MAGENTO} AND contains(lower(path), 'graphql')""")
-add("category_stats_magento", lambda df: shop.category_stats(_from_graphql(df)),
-    f"""WITH h AS (SELECT *, CASE {_COMMON} WHEN regexp_matches(lower(path), '/rest/v1/|/graphql') THEN 'api' END AS category FROM hits WHERE {_MAGENTO})
+add("shop_graphql", lambda df: shop.shop_graphql(_graphql_first(df)), f"""SELECT 'graphql_query' AS operation, {_SHOP_STATS} FROM hits
+    WHERE contains(lower(path), 'graphql')""")
+add("category_stats_magento", lambda df: shop.category_stats(_graphql_first(df)),
+    f"""WITH h AS (SELECT *, CASE {_COMMON} WHEN regexp_matches(lower(path), '/rest/v1/|/graphql') THEN 'api' END AS category FROM hits)
     SELECT category, {_SHOP_STATS}, {_RATE} AS error_rate FROM h WHERE category IS NOT NULL GROUP BY category""")
 
 # Content ----------------------------------------------------------------------------------

@@ -15,7 +15,8 @@ from hitscope.functions.fixed_values import (
 )
 from hitscope.operators import once_per_ip, security as s
 
-from .base import add, contains_any_sql, pattern_sql, r, text
+from .base import ORACLES, add, contains_any_sql, pattern_sql, r, text
+from .view import hits_oracle
 
 _PATH, _PU, _PR, _PUR = "path", "path || ' ' || user_agent", "path || ' ' || referer", "path || ' ' || user_agent || ' ' || referer"
 READS = {**{t: _PU for t in (*at.CORE, "web_shell", "xxe")}, "log4shell": _PUR, "ssrf": _PR}
@@ -189,6 +190,26 @@ for _option, (_where, _line) in _DENY.items():
     add("block_list" if _option == "critical" else f"block_list_{_option}", lambda df, o=_option: s.block_list(s.with_threat_text(df, _everyone(df)), o), EVERYONE + f""", {_THREATS}
         SELECT request_count, ip, {_line} AS line FROM named WHERE {_where}""", True)
 
+# The same log with few, very busy addresses, some of which only fail: the rules on rates and on errors alone fire.
+_BUSY_IP = "CASE WHEN status >= 400 AND seq % 2 = 0 THEN '198.51.100.' ELSE '203.0.113.' END || CAST(seq % 5 AS {string})"
+
+
+def _busy(df):
+    return df.withColumns({"ts": F.timestamp_micros(F.expr("unix_micros(cast(ts AS timestamp)) div 100000")).cast("timestamp_ntz"),
+                           "ip": F.expr(_BUSY_IP.format(string="STRING"))})
+
+
+def _add_busy(name, build, sql):
+    add(name, lambda df: build(_busy(df)), "", True)
+    calm = f"calm AS ({hits_oracle(True)}), hits AS (SELECT * REPLACE (make_timestamp(epoch_us(ts) // 100000) AS ts, {_BUSY_IP.format(string='VARCHAR')} AS ip) FROM calm)"
+    ORACLES[name] = f"WITH {calm}, {sql.strip()[5:].lstrip()}"
+
+
+_add_busy("api_abuse_busy", lambda df: s.ip_profile(df, chunk_rows=300).where("api_abuse = 1").select("ip", "api_abuse_seq"), PROFILE + " SELECT ip, api_abuse_seq FROM abuse")
+_add_busy("block_list_error100_busy", lambda df: s.block_list(s.with_threat_text(df, _everyone(df)), "error100"), EVERYONE + f""", {_THREATS}
+    SELECT request_count, ip, {_DENY["error100"][1]} AS line FROM named WHERE {_DENY["error100"][0]}""")
+_add_busy("threat_score_busy", lambda df: s.ip_profile(df).select("ip", "threat_score"), PROFILE + f" SELECT ip, {r('threat_score')} AS threat_score FROM profile")
+
 # Summaries ------------------------------------------------------------------------
 _SUMS = ", ".join(f"sum({t})::BIGINT AS {t}" for t in at.ATTACK_TYPES)
 _TOTAL = "sum(core_hits + " + " + ".join((*at.EXTENDED, "credential_stuffing", "api_abuse")) + ")::BIGINT"

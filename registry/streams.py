@@ -28,24 +28,35 @@ def _appended(build, *times: str):
     return run
 
 
-# In append mode a window is final, and stored, once the watermark has passed its end.
-_PASSED = "<= (SELECT date_trunc('milliseconds', max(ts)) FROM hits) - INTERVAL 1 HOUR"
+def _updated(build, keys: list[str], finish, *times: str):
+    """All windows: the parts run in update mode, the last version of each is put together."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = shared_folder(spark, "stream")
+        sinks.updates_to_files(build(hit_stream(spark, sf_dir)), path, shared_folder(spark, "progress")).awaitTermination()
+        done = finish(sinks.latest_updates(spark, path, keys))
+        return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times if c in done.columns})
+    return run
+
+
 _TIMELINE = f"""(SELECT date_trunc('hour', ts) AS bucket, count(*) AS count, sum(bytes_sent)::BIGINT AS bytes, count(DISTINCT ip) AS unique_ips,
     {ERRORS} AS error_count, {r("avg(response_time)")} AS avg_response_time FROM hits GROUP BY 1)"""
-_FINAL = f"SELECT * FROM {_TIMELINE} WHERE bucket + INTERVAL 1 HOUR {_PASSED}"
-add_raw("stream_timeline", _appended(lambda s: windows.stream_timeline(s, "1 hour", "1 hour"), "bucket"), _FINAL)
+_PART = ["bucket", "ip"]
+add_raw("stream_timeline", _updated(lambda s: windows.timeline_parts(s, "1 hour"), _PART, windows.timeline_of, "bucket"), f"SELECT * FROM {_TIMELINE}")
 _LIMITS = {"error_rate": 0.5, "requests": 18, "unique_ips": 17}
-add_raw("stream_alerts", _appended(lambda s: windows.stream_alerts(s, "1 hour", "1 hour", **_LIMITS), "bucket"),
-        f"""WITH f AS ({_FINAL}) SELECT bucket, 'error_rate' AS alert, {r("error_count / count")} AS value, 0.5::DOUBLE AS threshold FROM f WHERE error_count / count > 0.5
+add_raw("stream_alerts", _updated(lambda s: windows.timeline_parts(s, "1 hour"), _PART, lambda p: windows.alerts(windows.timeline_of(p), **_LIMITS), "bucket"),
+        f"""WITH f AS (SELECT * FROM {_TIMELINE}) SELECT bucket, 'error_rate' AS alert, {r("error_count / count")} AS value, 0.5::DOUBLE AS threshold FROM f WHERE error_count / count > 0.5
         UNION ALL SELECT bucket, 'requests', count::DOUBLE, 18.0::DOUBLE FROM f WHERE count > 18
         UNION ALL SELECT bucket, 'unique_ips', unique_ips::DOUBLE, 17.0::DOUBLE FROM f WHERE unique_ips > 17""")
-# Sketched columns (addresses, percentiles) are left out of the comparison.
-add_raw("sliding_stats", lambda spark, sf: _appended(lambda s: windows.sliding_stats(s, "6 hours", "2 hours", "1 hour"), "window_start", "window_end")(
-            spark, sf).drop("unique_ips", "median_response_time", "p95_response_time", "p99_response_time"),
+add_raw("sliding_stats", _updated(lambda s: windows.sliding_parts(s, "6 hours", "2 hours"), ["window_start", "window_end", "ip", "response_time"],
+                                  windows.sliding_of, "window_start", "window_end"),
         f"""WITH w AS (SELECT *, time_bucket(INTERVAL 2 HOURS, ts) - k * INTERVAL 2 HOURS AS window_start FROM hits, (SELECT unnest([0, 1, 2]) AS k))
-        SELECT window_start, window_start + INTERVAL 6 HOURS AS window_end, count(*) AS total_requests, sum(bytes_sent)::BIGINT AS total_bytes,
-        {r("avg(response_time)")} AS avg_response_time, count(*) FILTER ({is_bot_sql()}) AS bot_traffic, count(*) FILTER (NOT {is_bot_sql()}) AS human_traffic,
-        {ERRORS} AS error_count, {r(ERRORS + " / count(*)")} AS error_rate FROM w GROUP BY window_start HAVING window_start + INTERVAL 6 HOURS {_PASSED}""")
+        SELECT window_start, window_start + INTERVAL 6 HOURS AS window_end, count(*) AS total_requests, count(DISTINCT ip) AS unique_ips, sum(bytes_sent)::BIGINT AS total_bytes,
+        {r("avg(response_time)")} AS avg_response_time, {r("quantile_cont(response_time, 0.5)")} AS median_response_time, {r("quantile_cont(response_time, 0.95)")} AS p95_response_time,
+        {r("quantile_cont(response_time, 0.99)")} AS p99_response_time, count(*) FILTER ({is_bot_sql()}) AS bot_traffic, count(*) FILTER (NOT {is_bot_sql()}) AS human_traffic,
+        {ERRORS} AS error_count, {r(ERRORS + " / count(*)")} AS error_rate FROM w GROUP BY window_start""")
+# Final windows only: what append mode stores once the watermark has passed a bucket's end.
+add_raw("stream_timeline_final", _appended(lambda s: windows.stream_timeline(s, "1 hour", "1 hour"), "bucket"),
+        f"SELECT * FROM {_TIMELINE} WHERE bucket + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM hits) - INTERVAL 1 HOUR")
 
 
 def _threats(spark: SparkSession, sf_dir: str) -> DataFrame:
