@@ -18,15 +18,21 @@ and the regions are joined one by one.
 3. Regions with the same first document form a cell, and that document is the
    cell's pivot.  A cell is joined in one task by distances to its pivot:
    what differs from it by more than r from another cannot be linked to it.
-4. A crowded cell is joined by rounds: some of its documents become pivots,
+4. A crowded cell is first divided by the sizes of the sets: sizes of linked
+   sets differ by a factor of 1 - r at most, so a document goes to the size
+   class of its own and to the next.
+5. A cell that is crowded still is joined by rounds: some of its documents become pivots,
    every document of the cell is measured against them by a distributed join,
-   and documents in the component of most of the cell are settled.  Those not
-   settled are the next pivots, twice as many each round, until none is left.
-   Every pair of documents in different components has then been measured.
+   and documents connected with the largest group are settled.  Those not
+   settled are the next pivots, more of them each round, until none is left.
+   Of every pair of documents not both settled, one has then been measured
+   against the whole cell.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -41,9 +47,11 @@ PERCENT = 85
 #: By how much more hashes are counted, to tell rare n-grams from common ones, than a document's window has.
 COUNTED = 4 / 3
 #: A cell with more documents is joined by rounds of pivots.
-CROWDED = 256
-#: Pivots of a crowded cell in its first round.
+CROWDED = 512
+#: Pivots of a crowded cell in its first round, and those that a row is measured against at once.
 PIVOTS = 8
+#: By how much each round has more pivots.
+GROWTH = 4
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +109,7 @@ def _points(rows: DataFrame, key_type: str, width: int, percent: int) -> DataFra
 
 
 def _cells(points: DataFrame, percent: int) -> DataFrame:
-    """(cell, key): the documents of every cell with two or more."""
+    """(cell, key, n): the documents of every cell, with the sizes of their sets."""
     spread = points.select("key", F.explode("counted").alias("h"))
     regions = spread.groupBy("h").agg(F.count("*").alias("docs"), F.min("key").alias("cell")).where("docs > 1")
     is_low = (F.col("h") >= 0) & (F.col("h") < F.lit(_counted(percent)))
@@ -111,7 +119,7 @@ def _cells(points: DataFrame, percent: int) -> DataFrame:
     alone = F.col("low") - F.col("shared_low")  # these come before all shared ones
     reach = F.greatest(F.lit(0), exact - alone).cast("int")
     found = shared.join(points.select("key", "n", "low"), "key").withColumn("reach", reach).where("reach > 0")
-    return found.select("key", F.explode(F.slice("shared", F.lit(1), F.col("reach"))).alias("p")).select(F.col("p.cell").alias("cell"), "key").distinct()
+    return found.select("key", "n", F.explode(F.slice("shared", F.lit(1), F.col("reach"))).alias("p")).select(F.col("p.cell").cast("string").alias("cell"), "key", "n").distinct()
 
 
 class _Union:
@@ -223,7 +231,7 @@ def _measure(joined: DataFrame, key_type: str, percent: int) -> DataFrame:
                     b.append(p["key"])
         yield {"cell": pa.array(cells, batch.column("cell").type), "a": pa.array(a, batch.column("key").type), "b": pa.array(b, batch.column("key").type)}
 
-    return over_batches(joined, work, f"cell {key_type}, a {key_type}, b {key_type}")
+    return over_batches(joined, work, f"cell string, a {key_type}, b {key_type}")
 
 
 def _join_crowded(members: DataFrame, key_type: str, width: int, percent: int, pivots: int) -> DataFrame:
@@ -232,27 +240,40 @@ def _join_crowded(members: DataFrame, key_type: str, width: int, percent: int, p
         bounds, h = shingle_sets(batch.column("text"), width)
         yield {"cell": batch.column("cell"), "key": batch.column("key"), "set": [h[bounds[i]: bounds[i + 1]].tobytes() for i in range(batch.num_rows)]}
 
-    members = stored(over_batches(members, sets, f"cell {key_type}, key {key_type}, set binary"), "members")
-    edges = None
-    open_ = members.select("cell", "key").distinct()
-    done = None
+    members = stored(over_batches(members, sets, f"cell string, key {key_type}, set binary"), "members")
+    # main: connected with the largest group found so far; done: measured against the whole cell
+    state = stored(members.select("cell", "key", F.lit(False).alias("main"), F.lit(False).alias("done")).distinct(), "state")
+    links = None
     while True:
         rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("key"), "key"))
-        chosen = stored(open_.withColumn("rank", rank).where(F.col("rank") <= pivots), "pivots")
+        chosen = stored(state.where("not main and not done").select("cell", "key").withColumn("rank", rank).where(F.col("rank") <= pivots), "pivots")
         if chosen.isEmpty():
-            return edges.select("a", "b")
+            return links.select("a", "b")
         blocks = (chosen.join(members, ["cell", "key"]).dropDuplicates(["cell", "key"])
                   .groupBy("cell", F.floor((F.col("rank") - 1) / PIVOTS).alias("block")).agg(F.collect_list(F.struct("key", "set")).alias("pivots")))
         new = _measure(members.join(blocks.drop("block"), "cell"), key_type, percent)
-        edges = stored(new if edges is None else edges.unionByName(new), "links")
-        done = chosen.select("cell", "key") if done is None else done.unionByName(chosen.select("cell", "key"))
-        # The component that most documents of a cell belong to; links of other cells count as well.
-        of = components(edges)
-        named_ = members.select("cell", "key").distinct().join(of, F.col("key") == F.col("node"), "left").select("cell", "key", F.coalesce("component", "key").alias("component"))
-        named_ = stored(named_, "open")
-        main = named_.groupBy("cell", "component").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        open_ = named_.join(main, "cell").where("component <> main").select("cell", "key").join(done, ["cell", "key"], "left_anti")
-        pivots *= 2
+        links = stored(new if links is None else links.unionByName(new), "links")
+        state = _settled(state, links, chosen)
+        pivots *= GROWTH
+
+
+def _settled(state: DataFrame, links: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The state after a round.  Where a cell has no main group yet, its pivot with most links begins one; then whatever
+    is linked to a pivot that is linked to the group joins it, in two steps.  What is not found here stays open for the next round."""
+    begun = state.groupBy("cell").agg(F.bool_or("main").alias("begun")).where("not begun").select("cell")
+    most = links.groupBy("cell", "b").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("b", F.struct("n", "b")).alias("key"))
+    seeds = most.join(begun, "cell", "left_semi").select("cell", "key", F.lit(True).alias("seed"))
+    done = chosen.select("cell", "key", F.lit(True).alias("now"))
+    state = (state.join(seeds, ["cell", "key"], "left").join(done, ["cell", "key"], "left")
+             .select("cell", "key", (F.col("main") | F.col("seed").isNotNull()).alias("main"), (F.col("done") | F.col("now").isNotNull()).alias("done")))
+    for _ in range(2):
+        inside = state.where("main").select("cell", "key")
+        touched = (links.join(inside.withColumnRenamed("key", "a"), ["cell", "a"], "left_semi").select("cell", "b")
+                   .union(inside.join(links.select("cell", F.col("b").alias("key")).distinct(), ["cell", "key"], "left_semi")).distinct())
+        joined = (links.join(touched, ["cell", "b"], "left_semi").select("cell", F.col("a").alias("key")).union(touched)
+                  .distinct().withColumn("joins", F.lit(True)))
+        state = stored(state.join(joined, ["cell", "key"], "left").select("cell", "key", (F.col("main") | F.col("joins").isNotNull()).alias("main"), "done"), "state")
+    return state
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, crowded: int = CROWDED, pivots: int = PIVOTS) -> DataFrame:
@@ -272,10 +293,16 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     chosen = sets.join(first.select("n", "s", "t", "first"), ["n", "s", "t"]).where("key = first").select("key", "n", "low", "counted").dropDuplicates(["key", "n"])
     cells = stored(_cells(chosen, percent), "cells")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("docs")).where("docs > 1")
-    sized = stored(cells.join(sizes, "cell").join(rows, "key").select("cell", "key", "docs", "text"), "cell-members")
+    sized = stored(cells.join(sizes, "cell").join(rows, "key").select("cell", "key", "n", "docs", "text"), "cell-members")
     links = _join_cells(sized.where(F.col("docs") <= crowded).select("cell", "key", "text"), key_type, width, percent)
-    big = sized.where(F.col("docs") > crowded).select("cell", "key", "text")
-    if not big.isEmpty():
+    step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0
+    size_class = F.floor(F.ln("n") / step)
+    divided = sized.where(F.col("docs") > crowded).select("cell", "key", "text", F.explode(F.array(size_class, size_class + 1)).alias("class"))
+    divided = divided.select(F.concat_ws("/", "cell", F.col("class").cast("string")).alias("cell"), "key", "text")
+    parts = stored(divided.groupBy("cell").agg(F.count("*").alias("docs")), "parts")
+    links = links.union(_join_cells(divided.join(parts.where((F.col("docs") > 1) & (F.col("docs") <= crowded)).select("cell"), "cell"), key_type, width, percent))
+    if not parts.where(F.col("docs") > crowded).isEmpty():
+        big = divided.join(parts.where(F.col("docs") > crowded).select("cell"), "cell")
         links = links.union(_join_crowded(big, key_type, width, percent, pivots))
     # one key with several sets is one node
     several = points.where("key is not null").groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")

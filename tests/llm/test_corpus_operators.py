@@ -73,7 +73,7 @@ def reference_classes(rows):
     return {(i, len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("crowded, pivots", [(256, 8), (3, 2)])
+@pytest.mark.parametrize("crowded, pivots", [(512, 8), (3, 2)])
 def test_jaccard(table, crowded, pivots):
     want = reference_classes(pairs_of(table))
     rows = [tuple(r) for r in jaccard.classes(table, crowded=crowded, pivots=pivots).collect()]
