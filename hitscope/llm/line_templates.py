@@ -12,9 +12,11 @@ that too few documents reach fall away before any token is looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from .text import named
+from .text import Lines, Texts, Words, mix, named, over_batches, signed
 from .workspace import stored
 
 DEPTH = 3
@@ -23,41 +25,113 @@ MIN_DOCS = 3
 MIN_FIXED = 0.5
 FIELD = "<*>"
 _BLANKS = r"[\x20\x09-\x0D]+"
-
-
-def _tokens(line: Column) -> Column:
-    return F.transform(F.filter(F.split(line, _BLANKS), lambda t: t != ""), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+_FIELD_HASH = np.uint64(0x46494C44)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Parsed:
+    """Tokens of a batch's lines; those with a digit have the hash of a field, as the token ``<*>`` itself has."""
+
+    def __init__(self, column: pa.Array, lines: bool):
+        texts = Texts(column)
+        words = Words(texts)
+        digits = np.concatenate([[0], np.cumsum(_DIGIT[texts.buffer])])
+        field = digits[words.ends] > digits[words.starts]
+        mark = Words(Texts(pa.array([FIELD.encode()]))).hashes[0]
+        self.tokens = np.where(field | (words.hashes == mark), _FIELD_HASH, words.hashes)
+        self.lines = Lines(texts) if lines else None
+        starts = self.lines.starts if lines else texts.bounds[:-1]
+        ends = self.lines.ends if lines else texts.bounds[1:]
+        self.first, past = np.searchsorted(words.starts, starts), np.searchsorted(words.starts, ends)
+        self.size = past - self.first
+        self.texts = texts
+
+    def leaves(self, depth: int) -> np.ndarray:
+        """By number of tokens and leading tokens."""
+        h = mix(self.size.astype(np.uint64))
+        padded = np.append(self.tokens, np.uint64(0))
+        for k in range(depth):
+            token = padded[np.minimum(self.first + k, len(padded) - 1)]
+            h = np.where(self.size > k, mix(h * _STEP + token), h)
+        return h
+
+    def kinds(self) -> np.ndarray:
+        """By all tokens."""
+        line = np.repeat(np.arange(len(self.size)), self.size)
+        place = (np.arange(len(line)) - np.repeat(np.cumsum(self.size) - self.size, self.size)).astype(np.uint64)
+        at = np.repeat(self.first, self.size) + place.astype(np.int64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.tokens[at] + place * _STEP), dtype=np.uint64)])
+        ends = np.cumsum(self.size)
+        return mix(total[ends] - total[ends - self.size])
 
 
 def template_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED) -> DataFrame:
     """(key, line_no, template, n_docs, first_key) of every line whose template occurs in ``min_docs`` documents or more.
 
-    ``line_no`` counts from 0; lines without a token have no template.  Rows
-    with the same key are one document.  Null texts have no lines; documents
-    with a null key together count as one.
+    ``line_no`` counts from 0; lines without a token have no template.
+    ``template`` is a number, equal for lines of one template.  Rows with the
+    same key are one document.  Null texts have no lines; documents with a null
+    key together count as one.  Tokens are told apart by 64-bit hashes.
     """
-    rows = named(df, key=key, text=text)
-    lines = rows.select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("key", "line_no", _tokens(F.col("line")).alias("tokens"))
-    lines = lines.select("key", "line_no", "tokens", F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, depth)).alias("leaf")).where(F.size("tokens") > 0)
-    leaves = lines.select("leaf", "key").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    busy = stored(lines.join(leaves, "leaf").select("leaf", F.array_join("tokens", " ").alias("line"), "key", "line_no"), "template-lines")
-
-    # how many documents have each different line, and each token at its place
-    kinds = busy.select("leaf", "line", "key").distinct().groupBy("leaf", "line").agg(F.count("*").alias("docs"))
-    spread = kinds.select("leaf", "line", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    support = spread.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support"))
-    field = (F.col("support") < min_docs) | (F.col("token") == FIELD)
-    told = spread.join(support, ["leaf", "at", "token"]).select("leaf", "line", "at", F.when(field, F.lit(FIELD)).otherwise(F.col("token")).alias("token"))
-    parts = told.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("parts"))
-    general = F.array_join(F.transform("parts", lambda p: p["token"]), " ")
-    fixed = F.size(F.filter("parts", lambda p: p["token"] != FIELD))
-    templates = parts.select("leaf", "line", F.when(fixed >= min_fixed * F.size("parts"), general).otherwise(F.col("line")).alias("template"))
-
-    named_lines = busy.join(templates, ["leaf", "line"]).select("leaf", "template", "key", "line_no")
-    # the leaf's leading tokens may differ where the template has fields, so the template is kept within its leaf
-    often = (named_lines.select("leaf", "template", "key").distinct().groupBy("leaf", "template")
+    key_type = df.schema[key].dataType.simpleString()
+    rows = named(df, key=key, text=F.col(text).cast("binary")).where("text is not null")
+
+    def leaves(batch):
+        parsed = _Parsed(batch.column("text"), True)
+        real = parsed.size > 0
+        doc, leaf = parsed.lines.doc[real], parsed.leaves(depth)[real]
+        order = np.lexsort((leaf, doc))
+        doc, leaf = doc[order], leaf[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (leaf[1:] != leaf[:-1])
+        yield {"leaf": signed(leaf[new]), "key": batch.column("key").take(pa.array(doc[new]))}
+
+    reached = over_batches(rows, leaves, f"leaf bigint, key {key_type}").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
+    busy_leaves = stored(reached.where(F.col("n") >= min_docs).select("leaf"), "leaves")
+
+    def lines(batch):
+        parsed = _Parsed(batch.column("text"), True)
+        real = np.flatnonzero(parsed.size > 0)
+        at = parsed.lines
+        raw = parsed.texts.buffer.tobytes()
+        yield {"leaf": signed(parsed.leaves(depth)[real]), "key": batch.column("key").take(pa.array(at.doc[real])), "line_no": at.number[real],
+               "line": [raw[s:e] for s, e in zip(at.starts[real].tolist(), at.ends[real].tolist())]}
+
+    def kinds_of(batch):
+        yield {name: batch.column(name) for name in ("leaf", "key", "line_no", "line")} | {"kind": signed(_Parsed(batch.column("line"), False).kinds())}
+
+    found = over_batches(rows, lines, f"leaf bigint, key {key_type}, line_no int, line binary").join(busy_leaves, "leaf")
+    busy = stored(over_batches(found, kinds_of, f"leaf bigint, kind bigint, key {key_type}, line_no int, line binary"), "template-lines")
+
+    # how many documents have each different line; only leaves with several of them need a look at their tokens
+    kinds = stored(busy.groupBy("leaf", "kind", "key").agg(F.first("line").alias("line")).groupBy("leaf", "kind")
+                   .agg(F.count("*").alias("docs"), F.first("line").alias("line")), "kinds")
+    several = kinds.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
+
+    def tokens(batch):
+        parsed = _Parsed(batch.column("line"), False)
+        row = np.repeat(np.arange(len(parsed.size)), parsed.size)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(parsed.size) - parsed.size, parsed.size)
+        take = pa.array(row)
+        yield {name: batch.column(name).take(take) for name in ("leaf", "kind", "docs")} | {"at": at, "token": signed(parsed.tokens)}
+
+    spread = stored(over_batches(kinds.join(several, "leaf").select("leaf", "kind", "docs", "line"), tokens, "leaf bigint, kind bigint, docs bigint, at int, token bigint"), "tokens")
+    fixed_tokens = (spread.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support"))
+                    .where((F.col("support") >= min_docs) & (F.col("token") != int(_FIELD_HASH))).select("leaf", "at", "token", F.lit(True).alias("fixed")))
+    told = spread.join(fixed_tokens, ["leaf", "at", "token"], "left")
+    shown = F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(int(_FIELD_HASH)).cast("bigint"))
+    # a sum over places, so that no list of tokens is needed; shortened to stay within a bigint
+    part = F.shiftright(F.xxhash64("at", shown), 20)
+    general = told.groupBy("leaf", "kind").agg(F.sum(part).alias("general"), F.count("fixed").alias("n_fixed"), F.count("*").alias("n"))
+    templates = general.select("leaf", "kind", F.when(F.col("n_fixed") >= min_fixed * F.col("n"), F.col("general")).alias("general"))
+
+    named_lines = stored(busy.select("leaf", "kind", "key", "line_no").join(templates, ["leaf", "kind"], "left")
+                         .select("leaf", F.xxhash64("leaf", F.col("general").isNull(), F.coalesce("general", "kind")).alias("template"), "key", "line_no"), "named-lines")
+    often = (named_lines.select("template", "key").distinct().groupBy("template")
              .agg(F.count("*").alias("n_docs"), F.min("key").alias("first_key")).where(F.col("n_docs") >= min_docs))
-    return named_lines.join(often, ["leaf", "template"]).select(F.col("key").alias(key), "line_no", "template", "n_docs", "first_key")
+    return named_lines.join(often, "template").select(F.col("key").alias(key), "line_no", "template", "n_docs", "first_key")
 
 
 def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from .text import IS_SPACE, Texts, Words, blocks, named, over_batches, span_hashes
+from .text import IS_SPACE, Lines, Texts, Words, blocks, named, over_batches, span_hashes
 
 #: Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -87,19 +87,8 @@ def judge(column: pa.Array, rules: LineRules) -> dict:
     space = IS_SPACE[b]
     symbol = _SYMBOL[b]
 
-    # lines: from each document's start and after each \n to the next \n or the document's end
-    breaks = np.flatnonzero(b == 10)
-    line_starts = np.sort(np.concatenate([texts.bounds[:-1], breaks + 1]))
-    line_doc = np.searchsorted(texts.bounds, line_starts, "right") - 1
-    # an empty document, or a \n at a document's end, gives a start that equals the next document's
-    if len(line_starts):
-        owner = np.concatenate([np.arange(texts.n), np.searchsorted(texts.bounds, breaks, "right") - 1])
-        order = np.lexsort((owner, np.concatenate([texts.bounds[:-1], breaks + 1])))
-        line_doc = owner[order]
-    line_ends = np.empty_like(line_starts)
-    if len(line_starts):
-        line_ends[:-1] = np.where(line_doc[1:] == line_doc[:-1], line_starts[1:] - 1, texts.bounds[line_doc[:-1] + 1])
-        line_ends[-1] = texts.bounds[line_doc[-1] + 1]
+    lines = Lines(texts)
+    line_starts, line_ends, line_doc = lines.starts, lines.ends, lines.doc
     first_word, past_word = np.searchsorted(words.starts, line_starts), np.searchsorted(words.starts, line_ends)
     line_words = past_word - first_word
     real = np.flatnonzero(line_words > 0)

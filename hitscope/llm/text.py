@@ -123,6 +123,23 @@ class Words:
         return at, mix(total[at] + np.uint64(length))
 
 
+class Lines:
+    """The lines of a batch's documents: from a document's start and after each \\n, to the next \\n or the document's end."""
+
+    def __init__(self, texts: Texts):
+        breaks = np.flatnonzero(texts.buffer == 10)
+        starts = np.concatenate([texts.bounds[:-1], breaks + 1])
+        owner = np.concatenate([np.arange(texts.n), np.searchsorted(texts.bounds, breaks, "right") - 1])
+        order = np.lexsort((owner, starts))  # an empty last line begins where the next document does
+        self.starts, self.doc = starts[order], owner[order]
+        self.ends = np.empty_like(self.starts)
+        if len(self.starts):
+            self.ends[:-1] = np.where(self.doc[1:] == self.doc[:-1], self.starts[1:] - 1, texts.bounds[self.doc[:-1] + 1])
+            self.ends[-1] = texts.bounds[self.doc[-1] + 1]
+        #: Numbers from 0 within a document.
+        self.number = np.arange(len(self.starts)) - np.searchsorted(self.doc, self.doc)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     """As Spark's bigint."""
     return h.view(np.int64)
