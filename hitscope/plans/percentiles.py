@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Value slices are 2 % wide on a logarithmic scale: an order-preserving split of
 # any range of doubles into a few thousand parts at most.
 _SLICES_PER_E = 50
+# Slices that hold a wanted rank are cut again into this many parts.
+_PARTS = 1024
 
 
-def _slice(value: Column) -> Column:
-    return F.floor(F.ln(F.greatest(value, F.lit(1e-9))) * _SLICES_PER_E)
+def _place(value: Column) -> Column:
+    return F.ln(F.greatest(value, F.lit(1e-9))) * _SLICES_PER_E
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], weight: str | None = None) -> DataFrame:
@@ -20,11 +24,14 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
 
     ``percentile`` would keep every distinct value of a key in one buffer.
     Here rows are first counted per (key, value), which map-side combining
-    shrinks; the counts per slice then tell which slices hold the wanted ranks,
-    and only those are sorted, each on its own.
+    shrinks; the counts per slice then tell which slices hold the wanted ranks.
+    These are cut into parts, which are counted in the same way, and only the
+    parts that hold a wanted rank are sorted: some 0.002 % of the values of an
+    even spread, each part on its own.
     """
     counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-              .agg((F.sum(weight) if weight else F.count("*")).alias("_n")).withColumn("_slice", _slice(F.col("_v"))))
+              .agg((F.sum(weight) if weight else F.count("*")).alias("_n")).withColumn("_place", _place(F.col("_v"))).withColumn("_slice", F.floor("_place"))
+              .withColumn("_part", F.floor((F.col("_place") - F.col("_slice")) * _PARTS)).drop("_place"))
     key_rows = Window.partitionBy(*keys)
     slices = counts.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_in_slice"))
     ranked = slices.select(
@@ -39,14 +46,18 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     def holds(rank: Column, start: Column, size: Column) -> Column:
         return (start <= rank) & (rank < start + size)
 
-    wanted = None
-    for place in places.values():
-        for rank in (F.floor(place), F.ceil(place)):
-            hit = holds(rank, F.col("_before"), F.col("_in_slice"))
-            wanted = hit if wanted is None else wanted | hit
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy("_v")
-    picked = counts.join(ranked.where(wanted), [*keys, "_slice"]).withColumn(
-        "_start", F.col("_before") + F.sum("_n").over(in_slice) - F.col("_n"))
+    def wanted(size: str) -> Column:
+        hits = [holds(rank, F.col("_before"), F.col(size)) for place in places.values() for rank in (F.floor(place), F.ceil(place))]
+        return reduce(lambda a, b: a | b, hits)
+
+    chosen = ranked.where(wanted("_in_slice"))
+    parts = counts.join(chosen, [*keys, "_slice"]).groupBy(*keys, "_slice", "_part").agg(
+        F.sum("_n").alias("_in_part"), F.first("_before").alias("_slice_before"), F.first("_total").alias("_total"))
+    slice_rows = Window.partitionBy(*keys, "_slice").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("_before", F.col("_slice_before") + F.coalesce(F.sum("_in_part").over(slice_rows), F.lit(0))).where(wanted("_in_part"))
+    in_part = Window.partitionBy(*keys, "_slice", "_part").orderBy("_v")
+    picked = counts.join(placed.select(*keys, "_slice", "_part", "_before", "_total"), [*keys, "_slice", "_part"]).withColumn(
+        "_start", F.col("_before") + F.sum("_n").over(in_part) - F.col("_n"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when(holds(rank, F.col("_start"), F.col("_n")), F.col("_v")))

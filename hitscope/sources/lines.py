@@ -44,17 +44,23 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def stream_lines(spark: SparkSession, folder: str, max_files_per_trigger: int = 100) -> DataFrame:
+def stream_lines(spark: SparkSession, folder: str, max_files_per_trigger: int = 100, ordered: bool = False) -> DataFrame:
     """Stream of the lines of files that land in ``folder``.
 
-    The unit of arrival is a whole (rotated) file.
+    The unit of arrival is a whole (rotated) file.  ``ordered`` adds ``seq``:
+    file time, file and line, the order of the lines of a micro-batch.  A
+    stream can't number rows, so each file is then read as one value and cut
+    into numbered lines: land files that a task can hold.
     """
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(folder)
-    return lines.select(
-        "value",
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("split"),
-    )
+    source = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
+    path = F.col("_metadata.file_path")
+    if not ordered:
+        return source.text(folder).select("value", path.alias("file_path"), F.col("_metadata.file_block_start").alias("split"))
+    files = source.option("wholetext", "true").text(folder).select(
+        path.alias("file_path"), F.col("_metadata.file_modification_time").alias("_time"),
+        F.posexplode(F.split("value", "\r?\n")).alias("_line", "value"))
+    return files.select("value", "file_path", F.struct(
+        F.col("_time").alias("time"), F.col("file_path").alias("file"), F.col("_line").cast("bigint").alias("line")).alias("seq"))
 
 
 def discover_logs(spark: SparkSession, base: str | None = None) -> DataFrame:

@@ -9,11 +9,13 @@ from ..sources.lines import stream_lines
 
 
 def stream_access_log(spark: SparkSession, folder: str, fmt: str = "json", default_ts: Column | None = None,
-                      max_files_per_trigger: int = 100) -> DataFrame:
+                      max_files_per_trigger: int = 100, ordered: bool = False) -> DataFrame:
     """Normalized records of log files as they land in ``folder``.
 
-    The parsing is the one of the batch reader.
+    The parsing is the one of the batch reader.  ``ordered`` adds the arrival key ``seq`` that
+    ``stream_ip_threats`` needs.
     """
     parse = {"json": records.parse_json, "tsv": records.parse_tsv,
              "columns": records.parse_columns, "mixed": records.parse_mixed}[fmt]
-    return parse(stream_lines(spark, folder, max_files_per_trigger), default_ts=default_ts, keep=("file_path",))
+    return parse(stream_lines(spark, folder, max_files_per_trigger, ordered), default_ts=default_ts,
+                 keep=("file_path", "seq") if ordered else ("file_path",))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.attacks import ATTACK_TYPES, CORE, RECORD_TYPES, flag_attacks
@@ -38,7 +38,8 @@ def _advance(key, chunks: Iterator[pd.DataFrame], state: GroupState, idle_us: in
     if state.hasTimedOut:
         state.remove()
         return
-    rows = pd.concat(list(chunks)).sort_values("_seq", kind="stable")
+    rows = pd.concat(list(chunks))
+    rows = rows.sort_values([c for c in rows.columns if c.startswith("_seq")], kind="stable")
     mask, ts = rows["_mask"].to_numpy(), rows["_us"].to_numpy()
     bit = {name: (mask >> i & 1).astype(bool) for i, name in enumerate(_BITS)}
     if state.exists:
@@ -110,7 +111,9 @@ def stream_ip_threats(df: DataFrame, seq: str = "seq", delay: str = "10 minutes"
     flagged = flag_attacks(timed, scan_user_agent).withColumns({"_error": F.col("status") >= 400})
     flagged = flagged.withColumn("_core", any_of(F.col(t) for t in CORE))
     mask = sum((F.shiftleft(F.col(b).cast("bigint"), i) for i, b in enumerate(_BITS)), F.lit(0).cast("bigint"))
-    rows = flagged.select("ip", "ts", F.col(seq).alias("_seq"), F.col("country").alias("_country"),
+    kind = df.schema[seq].dataType
+    order = [F.col(f"{seq}.{name}").alias(f"_seq{i}") for i, name in enumerate(kind.fieldNames())] if isinstance(kind, T.StructType) else [F.col(seq).alias("_seq")]
+    rows = flagged.select("ip", "ts", *order, F.col("country").alias("_country"),
                           F.unix_micros("ts").alias("_us"), mask.alias("_mask"))
     idle_us = None if idle_hours is None else int(idle_hours * 3600e6)
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hitscope.functions.attacks import ATTACK_TYPES
+from hitscope.operators.security import ip_profile
 from hitscope.plans.workspace import shared_folder
+from hitscope.sinks.files import write_hits
+from hitscope.sources.records import read_access_log
 from hitscope.streaming import sinks, threats, windows
 from hitscope.streaming.sources import stream_access_log
 
@@ -73,6 +76,44 @@ add_raw("stream_ip_threats", _threats,
         attack_type_count, {r("threat_score")} AS threat_score FROM profile""")
 
 
+def _land(spark: SparkSession, sf_dir: str) -> str:
+    """The log as JSON lines in three files, in order of arrival."""
+    landed, parts = shared_folder(spark, "landed"), 3
+    record = F.to_json(F.struct(
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"), F.col("ip").alias("remote_addr"),
+        F.concat(F.col("method"), F.lit(" "), F.col("path"), F.lit(" HTTP/1.1")).alias("request"), F.col("status").cast("string").alias("status"),
+        F.col("bytes_sent").alias("body_bytes_sent"), "user_agent", "country", "handler", "referer"))
+    lines = hits(spark, sf_dir, True).select("seq", record.alias("value"))
+    bounds = hits(spark, sf_dir).agg(F.max("seq")).first()[0] // parts + 1
+    for k in range(parts):
+        inside = lines.where(F.floor(F.col("seq") / bounds) == k)
+        inside.coalesce(1).sortWithinPartitions("seq").select("value").write.text(f"{landed}/part={k}")
+    return landed
+
+
+def _landed_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw lines in several micro-batches to the threat score."""
+    landed, path = _land(spark, sf_dir), shared_folder(spark, "stream")
+    stream = stream_access_log(spark, f"{landed}/*", max_files_per_trigger=1, ordered=True)
+    sinks.updates_to_files(threats.stream_ip_threats(stream), path, shared_folder(spark, "progress")).awaitTermination()
+    return sinks.latest_updates(spark, path, ["ip"]).select(
+        "ip", "country", "request_count", "error_count", "core_hits", *ATTACK_TYPES, "attack_type_count", "threat_score")
+
+
+def _profile_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documented route: files, normalized records stored with a numeric arrival key, profile."""
+    table = shared_folder(spark, "hits")
+    write_hits(read_access_log(spark, f"{_land(spark, sf_dir)}/*"), table)
+    return ip_profile(spark.read.parquet(table)).select(
+        "ip", "country", "request_count", "error_count", "core_hits", *ATTACK_TYPES, "attack_type_count", "threat_score")
+
+
+add_raw("ip_profile_from_files", _profile_from_files, PROFILE + f""" SELECT ip, country, request_count, error_count, core_hits, {', '.join(ATTACK_TYPES)},
+        attack_type_count, {r("threat_score")} AS threat_score FROM profile""", True)
+add_raw("stream_log_threats", _landed_threats, PROFILE + f""" SELECT ip, country, request_count, error_count, core_hits, {', '.join(ATTACK_TYPES)},
+        attack_type_count, {r("threat_score")} AS threat_score FROM profile""", True)
+
+
 def _log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lines landed as files, then read by the log stream."""
     landed, path = shared_folder(spark, "landed"), shared_folder(spark, "stream")

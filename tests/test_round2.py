@@ -93,3 +93,33 @@ def test_late_records_are_not_lost(spark, tmp_path):
     assert sinks.latest_updates(spark, str(tmp_path / "compact"), ["bucket", "ip"]).count() == parts.count()
     sinks.append_to_files(windows.stream_timeline(stream, "1 minute", "1 minute"), str(tmp_path / "final"), str(tmp_path / "c2")).awaitTermination()
     assert {r.bucket: r["count"] for r in spark.read.parquet(str(tmp_path / "final")).collect()}[t0] == 2
+
+
+def test_arrival_chunks_are_bounded(spark, log, tmp_path):
+    """No chunk of an address holds more rows than asked for, with any of the arrival keys."""
+    from hitscope.plans.arrival import chunk_of, number_arrivals
+    from hitscope.sources.lines import read_lines
+
+    spark.range(500).selectExpr("'line ' || id AS value").coalesce(1).write.text(str(tmp_path / "lines"))
+    lines = read_lines(spark, str(tmp_path / "lines"))
+    numbered = number_arrivals(lines)
+    for df in (lines, numbered):
+        sizes = [r["count"] for r in df.groupBy(chunk_of(df, "seq", 100).alias("c")).count().collect()]
+        assert sum(sizes) == 500 and max(sizes) <= 100 and len(sizes) <= 7
+    assert [r.value for r in numbered.orderBy("seq").collect()] == [r.value for r in lines.orderBy("seq").collect()]
+    timed = log([{"at": i} for i in range(240)]).withColumn("seq", F.struct("ts", "seq"))
+    sizes = [r["count"] for r in timed.groupBy(chunk_of(timed, "seq").alias("c")).count().collect()]
+    assert len(sizes) == 4 and sum(sizes) == 240
+    few = security.ip_profile(timed).first()
+    assert few.request_count == 240
+
+
+def test_no_sorted_part_is_large(spark):
+    """Of a hundred thousand different values without a key, no sorted part holds more than a thousandth."""
+    from hitscope.plans import percentiles
+
+    df = spark.range(100_000).select((F.col("id") / 1000 + 1).alias("v"))
+    place = percentiles._place(F.col("v"))
+    parts = df.groupBy(F.floor(place).alias("s"), F.floor((place - F.floor(place)) * percentiles._PARTS).alias("p")).count()
+    assert parts.agg(F.max("count")).first()[0] <= 100
+    assert exact_percentiles(df, [], "v", {"p50": 0.5}).first().p50 == pytest.approx(50.9995)
