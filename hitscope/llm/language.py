@@ -14,6 +14,7 @@ vocabulary; the words themselves are never shuffled.
 
 from __future__ import annotations
 
+from copy import copy
 from functools import lru_cache
 
 import numpy as np
@@ -63,19 +64,26 @@ class Pieces:
         hashes = np.array([sum(int(_CODES[b]) * int(_POWERS[k]) for k, b in enumerate(c)) % 2**64 for c in found], np.uint64)
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Piece numbers; ``n`` where there is none."""
-        at = np.minimum(np.searchsorted(self.sorted, hashes), self.n - 1)
-        return np.where(self.sorted[at] == hashes, self.order[at], self.n)
-
-    def spans(self, runs: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """For runs of equal length (rows of byte codes): the piece at every (start, end)."""
+        #: Which leading bits any piece's hash has: most spans that are no piece are told by one look-up.
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(hashes >> np.uint64(42)).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, piece numbers) of the hashes that are pieces."""
+        at = np.flatnonzero(self.maybe[(hashes >> np.uint64(42)).astype(np.int64)])
+        some = hashes[at]
+        place = np.minimum(np.searchsorted(self.sorted, some), self.n - 1)
+        good = self.sorted[place] == some
+        return at[good], self.order[place[good]]
+
+    def spans(self, runs: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """For runs of equal length (rows of byte codes): at every (start, end) the rows that have a piece there, and the pieces."""
         n, length = runs.shape
         total = np.zeros((length + 1, n), np.uint64)
         for k in range(length):
             total[k + 1] = total[k] + _CODES[runs[:, k]] * _POWERS[k]
-        return {(s, e): self.find((total[e] - total[s]) * _INVERSES[s]) for e in range(1, length + 1) for s in range(max(0, e - LONGEST_PIECE), e)}
+        found = {(s, e): self.find((total[e] - total[s]) * _INVERSES[s]) for e in range(1, length + 1) for s in range(max(0, e - LONGEST_PIECE), e)}
+        return {at: x for at, x in found.items() if len(x[0])}
 
 
 @lru_cache(maxsize=2)
@@ -114,6 +122,16 @@ class Runs:
         self.opens = nth == 0
         self.buffer = texts.buffer
 
+    def only(self, chosen: np.ndarray) -> Runs:
+        """The runs of some of the words, which are numbered anew."""
+        number = np.full(self.n, -1)
+        number[chosen] = np.arange(len(chosen))
+        keep = number[self.word] >= 0
+        part = copy(self)
+        part.n, part.word = len(chosen), number[self.word][keep]
+        part.start, part.length, part.opens = self.start[keep], self.length[keep], self.opens[keep]
+        return part
+
     def groups(self):
         """(numbers of runs, their byte codes) for each length; first runs of words have the blank before them."""
         kind = self.length * 2 + self.opens
@@ -139,9 +157,9 @@ def log_probabilities(pieces: Pieces, runs: Runs, probabilities: np.ndarray) ->
         for e in range(1, length + 1):
             total = np.zeros((len(at), p.shape[1]))
             for s in range(max(0, e - LONGEST_PIECE), e):
-                hit = np.flatnonzero(spans[s, e] < pieces.n)
-                if len(hit):
-                    total[hit] += forward[s][hit] * p[spans[s, e][hit]]
+                if (s, e) in spans:
+                    hit, piece = spans[s, e]
+                    total[hit] += forward[s][hit] * p[piece]
             forward.append(total)
         np.add.at(out, runs.word[at], np.log(forward[length]) - SCALE * length)
     return out
@@ -159,31 +177,55 @@ def expected_counts(pieces: Pieces, runs: Runs, language: np.ndarray, counts: np
         for e in range(1, length + 1):
             total = np.zeros(len(at))
             for s in range(max(0, e - LONGEST_PIECE), e):
-                hit = np.flatnonzero(spans[s, e] < pieces.n)
-                total[hit] += forward[s][hit] * flat[base[hit] + spans[s, e][hit]]
+                if (s, e) in spans:
+                    hit, piece = spans[s, e]
+                    total[hit] += forward[s][hit] * flat[base[hit] + piece]
             forward.append(total)
         weight = counts[runs.word[at]] / forward[length]
+        cells, parts = [], []
         for s in range(length - 1, -1, -1):
             total = np.zeros(len(at))
             for e in range(s + 1, min(length, s + LONGEST_PIECE) + 1):
-                hit = np.flatnonzero(spans[s, e] < pieces.n)
-                if not len(hit):
+                if (s, e) not in spans:
                     continue
-                cell = base[hit] + spans[s, e][hit]
+                hit, piece = spans[s, e]
+                cell = base[hit] + piece
                 part = flat[cell] * backward[e][hit]
                 total[hit] += part
-                out += np.bincount(cell, part * forward[s][hit] * weight[hit], minlength=p.size) if len(hit) > p.size // 8 else 0
-                if len(hit) <= p.size // 8:
-                    np.add.at(out, cell, part * forward[s][hit] * weight[hit])
+                cells.append(cell)
+                parts.append(part * forward[s][hit] * weight[hit])
             backward[s] = total
+        out += np.bincount(np.concatenate(cells), np.concatenate(parts), minlength=p.size)
     return out.reshape(p.shape)[:, : pieces.n]
 
 
 class Model:
     """Piece probabilities (languages x pieces) of named languages."""
 
+    #: Words whose log-probabilities a Python worker remembers.
+    REMEMBERED = 400_000
+
     def __init__(self, languages: list[str], probabilities: np.ndarray):
         self.languages, self.probabilities = languages, probabilities
+        self.hashes, self.logs = np.zeros(0, np.uint64), np.zeros((0, len(languages)))
+
+    def words(self, pieces: Pieces, runs: Runs) -> np.ndarray:
+        """``log_probabilities`` of the words of a block; of words met before, from memory."""
+        own = runs.words.hashes[runs.first]
+        at = np.minimum(np.searchsorted(self.hashes, own), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == own if len(self.hashes) else np.zeros(len(own), bool)
+        out = np.empty((len(own), len(self.languages)))
+        out[known] = self.logs[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = log_probabilities(pieces, runs.only(new), self.probabilities)
+            if len(self.hashes) + len(new) > self.REMEMBERED:
+                self.hashes, self.logs = own, out
+            else:
+                self.hashes, self.logs = np.concatenate([self.hashes, own[new]]), np.concatenate([self.logs, out[new]])
+            order = np.argsort(self.hashes)
+            self.hashes, self.logs = self.hashes[order], self.logs[order]
+        return out
 
 
 def fit(df: DataFrame, path: str, text: str = "text", lang: str = "lang", rounds: int = 2, smoothing: float = 0.1) -> Model:
@@ -243,7 +285,7 @@ def predict(df: DataFrame, model: Model, path: str, text: str = "text", key: str
         names, scores = np.full(texts.n, UNDECIDED, object), np.zeros(texts.n)
         if m.languages:
             runs = Runs(texts)
-            by_word = log_probabilities(pieces, runs, m.probabilities)
+            by_word = m.words(pieces, runs)
             totals = np.zeros((texts.n, len(m.languages)))
             for k in range(len(m.languages)):
                 totals[:, k] = np.bincount(runs.doc, by_word[runs.inverse, k], minlength=texts.n)
