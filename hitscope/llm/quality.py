@@ -38,7 +38,7 @@ class LineRules:
     exclamations_per_word: float = 0.4
     same_as_before: float = 0.3
     repetition_words: int = 8
-    words_per_sentence: int = 80
+    words_per_sentence: int = 200
     #: A document goes if failing lines hold more than this share of its words.
     max_lost: float = 0.5
 
