@@ -50,12 +50,20 @@ def _chosen(words: Words, short: int, length: int) -> tuple[np.ndarray, np.ndarr
 
 def _alive(words: Words, at: np.ndarray, values: np.ndarray, survivors: list) -> np.ndarray:
     """Which windows' values are among the survivors of their own document."""
-    docs = words.documents()[at]
-    sets = [np.zeros(0, np.int64) if s is None else np.asarray(s, np.int64) for s in survivors]
-    pair_doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    pairs = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+    if not len(at):
+        return np.zeros(0, bool)
     spread = np.uint64(0x9E3779B97F4A7C15)
-    return np.isin(values ^ docs.astype(np.uint64) * spread, pairs.view(np.uint64) ^ pair_doc.astype(np.uint64) * spread)
+    sets = [np.zeros(0, np.int64) if s is None else np.asarray(s, np.int64) for s in survivors]
+    pair_doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets]).astype(np.uint64)
+    pairs = np.sort(np.concatenate(sets).view(np.uint64) ^ pair_doc * spread)
+    keys = values ^ words.documents()[at].astype(np.uint64) * spread
+    # neighbouring windows often share their value: each run of equal ones is looked up once
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    if not len(pairs):
+        return np.zeros(len(at), bool)
+    some = keys[first]
+    hit = pairs[np.minimum(np.searchsorted(pairs, some), len(pairs) - 1)] == some
+    return np.repeat(hit, np.diff(np.append(first, len(keys))))
 
 
 def _repeated(pairs: DataFrame) -> DataFrame:
