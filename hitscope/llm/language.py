@@ -29,6 +29,8 @@ LONGEST_PIECE = 16
 LONGEST_RUN = 32
 #: Probabilities are multiplied by e**SCALE for each byte, so that products stay within double precision.
 SCALE = 2.5
+#: Bytes of text whose different words are worked on at once.
+BLOCK = 4 << 20
 UNDECIDED = "und"
 #: Bound on the number of languages; the model's size is this times the vocabulary's.
 MOST_LANGUAGES = 1_000
@@ -247,7 +249,7 @@ def fit(df: DataFrame, path: str, text: str = "text", lang: str = "lang", rounds
 
         def count(batches):
             pieces, total = pieces_of(path), np.zeros((len(languages), n))
-            for batch in blocks(batches):
+            for batch in blocks(batches, BLOCK):
                 doc_lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
                 runs = Runs(Texts(batch.column("text")), doc_lang)
                 if runs.n:
@@ -296,4 +298,4 @@ def predict(df: DataFrame, model: Model, path: str, text: str = "text", key: str
         yield {"key": batch.column("key"), "lang_pred": names.tolist(), "score": scores}
 
     rows = named(df, key=key, text=F.col(text).cast("binary"))
-    return over_batches(rows, work, f"key {key_type}, lang_pred string, score double").withColumnRenamed("key", key)
+    return over_batches(rows, work, f"key {key_type}, lang_pred string, score double", BLOCK).withColumnRenamed("key", key)

@@ -151,7 +151,7 @@ def named(df: DataFrame, **columns: str | Column) -> DataFrame:
 
 
 #: Bytes of text that are worked on at once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
@@ -184,12 +184,12 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return _ARROW[kind.simpleString()]
 
 
-def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
+def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, block: int = BLOCK) -> DataFrame:
     """``work`` gives the columns of zero or more output batches for each input batch."""
     target = pa.schema([(f.name, _arrow_type(f.dataType)) for f in T.StructType.fromDDL(schema).fields])
 
     def run(batches):
-        for batch in blocks(batches):
+        for batch in blocks(batches, block):
             for columns in work(batch):
                 arrays = [a.cast(f.type) if isinstance(a, pa.Array) else pa.array(a, f.type)
                           for f, a in ((f, columns[f.name]) for f in target)]
