@@ -26,8 +26,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         turned = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(low.select("a", F.col("m").alias("b")))
         now = stored(turned.distinct(), "edges")
         # done when every node has one edge, and that to a node which has none
-        several = now.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
-        onward = now.join(now.select(F.col("a").alias("b")), "b", "left_semi")
-        if several.isEmpty() and onward.isEmpty():
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(now.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into = 1").isEmpty():
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -243,7 +243,7 @@ def _join_crowded(members: DataFrame, key_type: str, width: int, percent: int, p
     members = stored(over_batches(members, sets, f"cell string, key {key_type}, set binary"), "members")
     # main: connected with the largest group found so far; done: measured against the whole cell
     state = stored(members.select("cell", "key", F.lit(False).alias("main"), F.lit(False).alias("done")).distinct(), "state")
-    links = None
+    links, first = None, True
     while True:
         rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("key"), "key"))
         chosen = stored(state.where("not main and not done").select("cell", "key").withColumn("rank", rank).where(F.col("rank") <= pivots), "pivots")
@@ -253,27 +253,28 @@ def _join_crowded(members: DataFrame, key_type: str, width: int, percent: int, p
                   .groupBy("cell", F.floor((F.col("rank") - 1) / PIVOTS).alias("block")).agg(F.collect_list(F.struct("key", "set")).alias("pivots")))
         new = _measure(members.join(blocks.drop("block"), "cell"), key_type, percent)
         links = stored(new if links is None else links.unionByName(new), "links")
-        state = _settled(state, links, chosen)
+        state = _settled(state, links, chosen, first)
+        first = False
         pivots *= GROWTH
 
 
-def _settled(state: DataFrame, links: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The state after a round.  Where a cell has no main group yet, its pivot with most links begins one; then whatever
-    is linked to a pivot that is linked to the group joins it, in two steps.  What is not found here stays open for the next round."""
-    begun = state.groupBy("cell").agg(F.bool_or("main").alias("begun")).where("not begun").select("cell")
-    most = links.groupBy("cell", "b").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("b", F.struct("n", "b")).alias("key"))
-    seeds = most.join(begun, "cell", "left_semi").select("cell", "key", F.lit(True).alias("seed"))
-    done = chosen.select("cell", "key", F.lit(True).alias("now"))
-    state = (state.join(seeds, ["cell", "key"], "left").join(done, ["cell", "key"], "left")
-             .select("cell", "key", (F.col("main") | F.col("seed").isNotNull()).alias("main"), (F.col("done") | F.col("now").isNotNull()).alias("done")))
-    for _ in range(2):
-        inside = state.where("main").select("cell", "key")
-        touched = (links.join(inside.withColumnRenamed("key", "a"), ["cell", "a"], "left_semi").select("cell", "b")
-                   .union(inside.join(links.select("cell", F.col("b").alias("key")).distinct(), ["cell", "key"], "left_semi")).distinct())
-        joined = (links.join(touched, ["cell", "b"], "left_semi").select("cell", F.col("a").alias("key")).union(touched)
-                  .distinct().withColumn("joins", F.lit(True)))
-        state = stored(state.join(joined, ["cell", "key"], "left").select("cell", "key", (F.col("main") | F.col("joins").isNotNull()).alias("main"), "done"), "state")
-    return state
+def _settled(state: DataFrame, links: DataFrame, chosen: DataFrame, first: bool) -> DataFrame:
+    """The state after a round: whatever is linked to a pivot that is linked to the main group joins it.
+
+    In the first round the pivot with most links begins each cell's group.
+    What is connected in more steps than one stays open for a later round.
+    """
+    inside = state.where("main").select("cell", F.col("key").alias("a"), "main")
+    pivots = links.join(inside, ["cell", "a"], "left").groupBy("cell", "b").agg(F.count("*").alias("n"), F.bool_or(F.coalesce("main", F.lit(False))).alias("touched"))
+    if first:
+        touched = pivots.groupBy("cell").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    else:  # a pivot may itself be of the group
+        own = state.where("main and done").select("cell", F.col("key").alias("b"))
+        touched = pivots.where("touched").select("cell", "b").union(own)
+    joined = links.join(touched.distinct() if not first else touched, ["cell", "b"]).select("cell", "a", "b")
+    said = state.union(joined.select("cell", F.explode(F.array("a", "b")).alias("key"), F.lit(True), F.lit(False)))
+    said = said.union(chosen.select("cell", "key", F.lit(False), F.lit(True)))
+    return stored(said.groupBy("cell", "key").agg(F.bool_or("main").alias("main"), F.bool_or("done").alias("done")), "state")
 
 
 def classes(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, crowded: int = CROWDED, pivots: int = PIVOTS) -> DataFrame:
