@@ -52,6 +52,8 @@ CROWDED = 512
 PIVOTS = 8
 #: By how much each round has more pivots.
 GROWTH = 4
+#: Bytes of pivots' sets that may be sent to every task.
+SENT = 64 << 20
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -209,29 +211,54 @@ def _join_cells(members: DataFrame, key_type: str, width: int, percent: int) ->
     return together.mapInArrow(run, f"a {key_type}, b {key_type}")
 
 
-def _measure(joined: DataFrame, key_type: str, percent: int) -> DataFrame:
-    """(cell, a, b): links between a member's set and the pivots on its row."""
-    def work(batch):
-        cells, a, b = [], [], []
-        pivots_of = {}
-        for c, k, s, pivots in zip(batch.column("cell").to_pylist(), batch.column("key").to_pylist(), batch.column("set").to_pylist(), batch.column("pivots").to_pylist()):
+def _linked(own: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    m, n = len(other), len(own)
+    if 100 * min(m, n) < percent * max(m, n):
+        return False
+    at = np.minimum(np.searchsorted(other, own), m - 1)
+    common = int((other[at] == own).sum())
+    return 100 * common >= percent * (m + n - common)
+
+
+def _measure(members: DataFrame, pivots: DataFrame, key_type: str, percent: int) -> DataFrame:
+    """(cell, a, b): links between the members of each cell and its pivots (cell, key, block, set).
+
+    Pivots that hold no more than SENT bytes in all go to every task; more of
+    them are joined, block by block.
+    """
+    schema = f"cell string, a {key_type}, b {key_type}"
+
+    def columns(batch, found):
+        return {"cell": pa.array([x[0] for x in found], batch.column("cell").type), "a": pa.array([x[1] for x in found], batch.column("key").type),
+                "b": pa.array([x[2] for x in found], batch.column("key").type)}
+
+    def rows(batch):
+        return zip(*[batch.column(name).to_pylist() for name in ("cell", "key", "set")])
+
+    if (pivots.agg(F.sum(F.length("set"))).first()[0] or 0) <= SENT:
+        by_cell: dict = {}
+        for r in pivots.select("cell", "key", "set").collect():
+            by_cell.setdefault(r["cell"], []).append((r["key"], np.frombuffer(bytes(r["set"]), np.uint64)))
+        shared = members.sparkSession.sparkContext.broadcast(by_cell)
+
+        def work(batch):
+            found = []
+            for c, k, s in rows(batch):
+                own = np.frombuffer(s, np.uint64)
+                found += [(c, k, p) for p, other in shared.value.get(c, ()) if p != k and _linked(own, other, percent)]
+            yield columns(batch, found)
+
+        return over_batches(members, work, schema)
+
+    def joined(batch):
+        found = []
+        for (c, k, s), block in zip(rows(batch), batch.column("pivots").to_pylist()):
             own = np.frombuffer(s, np.uint64)
-            for p in pivots:
-                m = len(p["set"]) // 8
-                if p["key"] == k or 100 * min(m, len(own)) < percent * max(m, len(own)):
-                    continue
-                if p["key"] not in pivots_of:
-                    pivots_of[p["key"]] = np.frombuffer(p["set"], np.uint64)
-                other = pivots_of[p["key"]]
-                at = np.minimum(np.searchsorted(other, own), m - 1)
-                common = int((other[at] == own).sum())
-                if 100 * common >= percent * (m + len(own) - common):
-                    cells.append(c)
-                    a.append(k)
-                    b.append(p["key"])
-        yield {"cell": pa.array(cells, batch.column("cell").type), "a": pa.array(a, batch.column("key").type), "b": pa.array(b, batch.column("key").type)}
-
-    return over_batches(joined, work, f"cell string, a {key_type}, b {key_type}")
+            found += [(c, k, p["key"]) for p in block if p["key"] != k and _linked(own, np.frombuffer(p["set"], np.uint64), percent)]
+        yield columns(batch, found)
+
+    blocks = pivots.groupBy("cell", "block").agg(F.collect_list(F.struct("key", "set")).alias("pivots")).drop("block")
+    return over_batches(members.join(blocks, "cell"), joined, schema)
 
 
 def _join_crowded(members: DataFrame, key_type: str, width: int, percent: int, pivots: int) -> DataFrame:
@@ -249,9 +276,8 @@ def _join_crowded(members: DataFrame, key_type: str, width: int, percent: int, p
         chosen = stored(state.where("not main and not done").select("cell", "key").withColumn("rank", rank).where(F.col("rank") <= pivots), "pivots")
         if chosen.isEmpty():
             return links.select("a", "b")
-        blocks = (chosen.join(members, ["cell", "key"]).dropDuplicates(["cell", "key"])
-                  .groupBy("cell", F.floor((F.col("rank") - 1) / PIVOTS).alias("block")).agg(F.collect_list(F.struct("key", "set")).alias("pivots")))
-        new = _measure(members.join(blocks.drop("block"), "cell"), key_type, percent)
+        sets_of = chosen.join(members, ["cell", "key"]).withColumn("block", F.floor((F.col("rank") - 1) / PIVOTS)).drop("rank").distinct()
+        new = _measure(members, stored(sets_of, "pivot-sets"), key_type, percent)
         links = stored(new if links is None else links.unionByName(new), "links")
         state = _settled(state, links, chosen, first)
         first = False

@@ -73,8 +73,9 @@ def reference_classes(rows):
     return {(i, len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("crowded, pivots", [(512, 8), (3, 2)])
-def test_jaccard(table, crowded, pivots):
+@pytest.mark.parametrize("crowded, pivots, sent", [(512, 8, 1 << 20), (3, 2, 1 << 20), (3, 2, 0)])
+def test_jaccard(table, monkeypatch, crowded, pivots, sent):
+    monkeypatch.setattr(jaccard, "SENT", sent)
     want = reference_classes(pairs_of(table))
     rows = [tuple(r) for r in jaccard.classes(table, crowded=crowded, pivots=pivots).collect()]
     assert set(rows) == want and len(rows) == table.count()
