@@ -1,6 +1,7 @@
 """The registration, and a sample of the queries against DuckDB on the smallest tables."""
 
 import math
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -15,8 +16,8 @@ SAMPLE = ["traffic_summary", "top_ips", "ip_profile", "ip_profile_chunked", "par
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("nation", "events", "pages", "supplier"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for path in sorted(Path(SF).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     return con
 
 
