@@ -19,7 +19,7 @@ from __future__ import annotations
 import array
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -31,8 +31,8 @@ LEAF = 16_384
 #: Tokens on either side of a join in its first window.
 FIRST_WINDOW = 8
 #: Words, and pieces of words, whose ids a Python worker remembers in each of two generations.
-REMEMBERED = 200_000
-PIECES_REMEMBERED = 150_000
+REMEMBERED = 100_000
+PIECES_REMEMBERED = 75_000
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -80,9 +80,7 @@ class Codec:
         self.whole.no_padding()
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        inner = json.loads(json.dumps(spec))
-        inner["model"]["end_of_word_suffix"] = None
-        self.inner = Tokenizer.from_str(json.dumps(inner)) if self.suffix else self.whole
+        self.path = path
         self.added = sorted(self.whole.get_added_tokens_decoder().items())
         self.specials = [t.content for _, t in self.added]
         self.tokens = {i: t for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
@@ -95,6 +93,15 @@ class Codec:
         self.split = self._plain_split(spec)
         self.known: dict[str, Remembered] = {}
 
+    @cached_property
+    def inner(self):
+        """The same model for parts that don't end a word; only long unsplit text needs it."""
+        from tokenizers import Tokenizer
+
+        spec = json.loads(open(self.path, encoding="utf-8").read())
+        spec["model"]["end_of_word_suffix"] = None
+        return Tokenizer.from_str(json.dumps(spec)) if self.suffix else self.whole
+
     @staticmethod
     def _plain_split(spec: dict):
         """The pattern that splits plain words, if the file's steps before BPE are those that the fast way knows."""

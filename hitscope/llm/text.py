@@ -194,6 +194,9 @@ def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]]
                 arrays = [a.cast(f.type) if isinstance(a, pa.Array) else pa.array(a, f.type)
                           for f, a in ((f, columns[f.name]) for f in target)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
+                del arrays, columns
+            del batch
+        pa.default_memory_pool().release_unused()  # workers stay; what they hold should not
 
     return df.mapInArrow(run, schema)
 
