@@ -29,6 +29,17 @@ def op1_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir).select("doc_id"), "doc_id", SHARDS)
 
 
+def _placement_sql() -> str:
+    """The look-up in SQL; the filled table is given as text, its filling is tested by brute force."""
+    table = ",".join(map(str, sharding.fill(SHARDS).tolist()))
+    return f"""WITH filled AS (SELECT string_split('{table}', ',') AS t),
+      keyed AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.SLOTS} AS slot FROM documents)
+      SELECT doc_id, slot, 'shard-' || lpad(t[slot + 1], 3, '0') AS shard FROM keyed, filled"""
+
+
+ORACLES["op1_shard_placement"] = _placement_sql()
+
+
 @query
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))

@@ -268,3 +268,14 @@ def test_empty_tables(odd):
     for df in (quality.verdicts(none), quality.clean_lines(none), bpe.digests(none, PATH), bpe.encode(none, PATH), media.read_back(media.store(none)),
                quality.accepted(none)):
         assert df.count() == 0
+
+
+def test_placement_oracle(spark):
+    import duckdb
+
+    from hitscope.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = Counter(con.execute(queries.ORACLES["op1_shard_placement"]).fetchall())
+    assert Counter((r["doc_id"], r["slot"], r["shard"]) for r in queries.op1_shard_placement(spark, SF).collect()) == want
