@@ -2,9 +2,10 @@
 
 A line is parsed by its number of tokens and then by its leading tokens; both
 together are its leaf.  Tokens with a digit count as a variable field from the
-start.  Within a leaf, a token that enough documents have at the same place is
-fixed, any other is a variable field, so lines that differ in names or numbers
-share a template.  Templates that occur in many documents are dropped.
+start.  Within a leaf, a token that a share of the leaf's documents have at the
+same place, and enough of them, is fixed, any other is a variable field, so
+lines that differ in names or numbers share a template, however many documents
+there are.  Templates that occur in many documents are dropped.
 
 All of it is grouping and joining: no leaf is ever held by one task.  Leaves
 that too few documents reach fall away before any token is looked at.
@@ -21,6 +22,8 @@ from .workspace import stored
 
 DEPTH = 3
 MIN_DOCS = 3
+#: A fixed token is in this share of its leaf's documents; values that are spread wider are a field's.
+MIN_SHARE = 0.1
 #: A template needs this share of fixed tokens; else the line stands for itself.
 MIN_FIXED = 0.5
 FIELD = "<*>"
@@ -67,7 +70,7 @@ class _Parsed:
         return mix(total[ends] - total[ends - self.size])
 
 
-def template_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED) -> DataFrame:
+def template_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, min_share: float = MIN_SHARE) -> DataFrame:
     """(key, line_no, template, n_docs, first_key) of every line whose template occurs in ``min_docs`` documents or more.
 
     ``line_no`` counts from 0; lines without a token have no template.
@@ -89,7 +92,7 @@ def template_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth
         yield {"leaf": signed(leaf[new]), "key": batch.column("key").take(pa.array(doc[new]))}
 
     reached = over_batches(rows, leaves, f"leaf bigint, key {key_type}").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
-    busy_leaves = stored(reached.where(F.col("n") >= min_docs).select("leaf"), "leaves")
+    busy_leaves = stored(reached.where(F.col("n") >= min_docs).select("leaf", F.col("n").alias("leaf_docs")), "leaves")
 
     def lines(batch):
         parsed = _Parsed(batch.column("text"), True)
@@ -102,24 +105,25 @@ def template_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth
     def kinds_of(batch):
         yield {name: batch.column(name) for name in ("leaf", "key", "line_no", "line")} | {"kind": signed(_Parsed(batch.column("line"), False).kinds())}
 
-    found = over_batches(rows, lines, f"leaf bigint, key {key_type}, line_no int, line binary").join(busy_leaves, "leaf")
+    found = over_batches(rows, lines, f"leaf bigint, key {key_type}, line_no int, line binary").join(busy_leaves.select("leaf"), "leaf")
     busy = stored(over_batches(found, kinds_of, f"leaf bigint, kind bigint, key {key_type}, line_no int, line binary"), "template-lines")
 
     # how many documents have each different line; only leaves with several of them need a look at their tokens
     kinds = stored(busy.groupBy("leaf", "kind", "key").agg(F.first("line").alias("line")).groupBy("leaf", "kind")
                    .agg(F.count("*").alias("docs"), F.first("line").alias("line")), "kinds")
-    several = kinds.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
+    several = kinds.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf").join(busy_leaves, "leaf")
 
     def tokens(batch):
         parsed = _Parsed(batch.column("line"), False)
         row = np.repeat(np.arange(len(parsed.size)), parsed.size)
         at = np.arange(len(row)) - np.repeat(np.cumsum(parsed.size) - parsed.size, parsed.size)
         take = pa.array(row)
-        yield {name: batch.column(name).take(take) for name in ("leaf", "kind", "docs")} | {"at": at, "token": signed(parsed.tokens)}
+        yield {name: batch.column(name).take(take) for name in ("leaf", "kind", "docs", "leaf_docs")} | {"at": at, "token": signed(parsed.tokens)}
 
-    spread = stored(over_batches(kinds.join(several, "leaf").select("leaf", "kind", "docs", "line"), tokens, "leaf bigint, kind bigint, docs bigint, at int, token bigint"), "tokens")
-    fixed_tokens = (spread.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support"))
-                    .where((F.col("support") >= min_docs) & (F.col("token") != int(_FIELD_HASH))).select("leaf", "at", "token", F.lit(True).alias("fixed")))
+    spread = stored(over_batches(kinds.join(several, "leaf").select("leaf", "kind", "docs", "leaf_docs", "line"), tokens,
+                                 "leaf bigint, kind bigint, docs bigint, leaf_docs bigint, at int, token bigint"), "tokens")
+    fixed_tokens = (spread.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support"), F.first("leaf_docs").alias("leaf_docs"))
+                    .where((F.col("support") >= min_docs) & (F.col("support") >= min_share * F.col("leaf_docs")) & (F.col("token") != int(_FIELD_HASH))).select("leaf", "at", "token", F.lit(True).alias("fixed")))
     told = spread.join(fixed_tokens, ["leaf", "at", "token"], "left")
     shown = F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(int(_FIELD_HASH)).cast("bigint"))
     # a sum over places, so that no list of tokens is needed; shortened to stay within a bigint
@@ -134,7 +138,7 @@ def template_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth
     return named_lines.join(often, "template").select(F.col("key").alias(key), "line_no", "template", "n_docs", "first_key")
 
 
-def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED) -> DataFrame:
+def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, min_share: float = MIN_SHARE) -> DataFrame:
     """``df`` with lines of recurring templates dropped from the text, and columns ``n_lines`` and ``n_dropped``.
 
     The document with the smallest key that has a template keeps its lines, so
@@ -142,7 +146,7 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth: i
     first stays complete.  Blank lines stay.  A null text stays null, with no lines.
     Columns called n_lines or n_dropped are replaced; all others are kept.
     """
-    found = template_lines(df, text, key, depth, min_docs, min_fixed)
+    found = template_lines(df, text, key, depth, min_docs, min_fixed, min_share)
     later = found.where(~F.col(key).eqNullSafe(F.col("first_key")))
     dropped = later.groupBy(F.col(key).alias("_key")).agg(F.collect_set("line_no").alias("_dropped"))
     base = df.drop("n_lines", "n_dropped")
