@@ -27,7 +27,7 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur go, but for the first document that has them; every document stays."""
-    return quality.with_char_count(line_templates.dedup_lines(docs).select(*docs.columns))
+    return quality.with_char_count(line_templates.dedup_lines(docs, plain=True).select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,7 @@ class _Parsed:
         digits = np.concatenate([[0], np.cumsum(_DIGIT[texts.buffer])])
         field = digits[words.ends] > digits[words.starts]
         mark = Words(Texts(pa.array([FIELD.encode()]))).hashes[0]
+        self.plain = words.hashes
         self.tokens = np.where(field | (words.hashes == mark), _FIELD_HASH, words.hashes)
         self.lines = Lines(texts) if lines else None
         starts = self.lines.starts if lines else texts.bounds[:-1]
@@ -60,23 +61,25 @@ class _Parsed:
             h = np.where(self.size > k, mix(h * _STEP + token), h)
         return h
 
-    def kinds(self) -> np.ndarray:
-        """By all tokens."""
+    def kinds(self, tokens: np.ndarray) -> np.ndarray:
+        """By all of ``tokens``: those with fields, or the plain ones."""
         line = np.repeat(np.arange(len(self.size)), self.size)
         place = (np.arange(len(line)) - np.repeat(np.cumsum(self.size) - self.size, self.size)).astype(np.uint64)
         at = np.repeat(self.first, self.size) + place.astype(np.int64)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.tokens[at] + place * _STEP), dtype=np.uint64)])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens[at] + place * _STEP), dtype=np.uint64)])
         ends = np.cumsum(self.size)
         return mix(total[ends] - total[ends - self.size])
 
 
-def template_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, min_share: float = MIN_SHARE) -> DataFrame:
+def template_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, min_share: float = MIN_SHARE, plain: bool = False) -> DataFrame:
     """(key, line_no, template, n_docs, first_key) of every line whose template occurs in ``min_docs`` documents or more.
 
     ``line_no`` counts from 0; lines without a token have no template.
     ``template`` is a number, equal for lines of one template.  Rows with the
     same key are one document.  Null texts have no lines; documents with a null
     key together count as one.  Tokens are told apart by 64-bit hashes.
+    With ``plain``, a line with too few fixed tokens shares its template only
+    with equal lines; without, also with lines that differ in tokens with digits.
     """
     key_type = df.schema[key].dataType.simpleString()
     rows = named(df, key=key, text=F.col(text).cast("binary")).where("text is not null")
@@ -103,10 +106,13 @@ def template_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth
                "line": [raw[s:e] for s, e in zip(at.starts[real].tolist(), at.ends[real].tolist())]}
 
     def kinds_of(batch):
-        yield {name: batch.column(name) for name in ("leaf", "key", "line_no", "line")} | {"kind": signed(_Parsed(batch.column("line"), False).kinds())}
+        parsed = _Parsed(batch.column("line"), False)
+        kind = signed(parsed.kinds(parsed.tokens))
+        yield ({name: batch.column(name) for name in ("leaf", "key", "line_no", "line")}
+               | {"kind": kind, "alone": signed(parsed.kinds(parsed.plain)) if plain else kind})
 
     found = over_batches(rows, lines, f"leaf bigint, key {key_type}, line_no int, line binary").join(busy_leaves.select("leaf"), "leaf")
-    busy = stored(over_batches(found, kinds_of, f"leaf bigint, kind bigint, key {key_type}, line_no int, line binary"), "template-lines")
+    busy = stored(over_batches(found, kinds_of, f"leaf bigint, kind bigint, alone bigint, key {key_type}, line_no int, line binary"), "template-lines")
 
     # how many documents have each different line; only leaves with several of them need a look at their tokens
     kinds = stored(busy.groupBy("leaf", "kind", "key").agg(F.first("line").alias("line")).groupBy("leaf", "kind")
@@ -131,14 +137,14 @@ def template_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth
     general = told.groupBy("leaf", "kind").agg(F.sum(part).alias("general"), F.count("fixed").alias("n_fixed"), F.count("*").alias("n"))
     templates = general.select("leaf", "kind", F.when(F.col("n_fixed") >= min_fixed * F.col("n"), F.col("general")).alias("general"))
 
-    named_lines = stored(busy.select("leaf", "kind", "key", "line_no").join(templates, ["leaf", "kind"], "left")
-                         .select("leaf", F.xxhash64("leaf", F.col("general").isNull(), F.coalesce("general", "kind")).alias("template"), "key", "line_no"), "named-lines")
+    named_lines = stored(busy.select("leaf", "kind", "alone", "key", "line_no").join(templates, ["leaf", "kind"], "left")
+                         .select("leaf", F.xxhash64("leaf", F.col("general").isNull(), F.coalesce("general", "alone")).alias("template"), "key", "line_no"), "named-lines")
     often = (named_lines.select("template", "key").distinct().groupBy("template")
              .agg(F.count("*").alias("n_docs"), F.min("key").alias("first_key")).where(F.col("n_docs") >= min_docs))
     return named_lines.join(often, "template").select(F.col("key").alias(key), "line_no", "template", "n_docs", "first_key")
 
 
-def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, min_share: float = MIN_SHARE) -> DataFrame:
+def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, min_share: float = MIN_SHARE, plain: bool = False) -> DataFrame:
     """``df`` with lines of recurring templates dropped from the text, and columns ``n_lines`` and ``n_dropped``.
 
     The document with the smallest key that has a template keeps its lines, so
@@ -146,7 +152,7 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", depth: i
     first stays complete.  Blank lines stay.  A null text stays null, with no lines.
     Columns called n_lines or n_dropped are replaced; all others are kept.
     """
-    found = template_lines(df, text, key, depth, min_docs, min_fixed, min_share)
+    found = template_lines(df, text, key, depth, min_docs, min_fixed, min_share, plain)
     later = found.where(~F.col(key).eqNullSafe(F.col("first_key")))
     dropped = later.groupBy(F.col(key).alias("_key")).agg(F.collect_set("line_no").alias("_dropped"))
     base = df.drop("n_lines", "n_dropped")

@@ -73,7 +73,7 @@ def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, dropped lines, and a digest of the text that is left."""
-    done = line_templates.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    done = line_templates.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), plain=True)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -1,10 +1,12 @@
 """Line templates at several sizes and on numeric rows."""
 
+import hashlib
 import random
 
 import pytest
 
-from hitscope.llm import line_templates
+import corpus_pipeline
+from hitscope.llm import line_templates, queries
 
 
 def shares(spark, rows, **options):
@@ -20,3 +22,13 @@ def test_a_template_is_found_at_every_size(spark, size):
     rows = [(i, f"Last updated by name{word(rng.randrange(100))} in topic{word(rng.randrange(100))}") for i in range(size)]
     dropped = sum(shares(spark, rows).values())
     assert dropped >= 0.9 * size
+
+
+def test_numeric_rows_of_their_own_stay(spark, tmp_path):
+    rows = [(i, f"{i}.5 {3 * i}.1 2019\n{i} of 7\n1.5 2.5 2020") for i in range(20)]
+    want = {i: "\n".join(t.split("\n")[: 2 + (i == 0)]) for i, t in rows}
+    spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_line_templates(spark, docs, str(tmp_path)).collect()} == want
+    digests = {r["doc_id"]: r["kept_sha256"] for r in queries.op4_line_templates(spark, str(tmp_path)).collect()}
+    assert digests == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
