@@ -76,25 +76,45 @@ add_raw("stream_ip_threats", _threats,
         attack_type_count, {r("threat_score")} AS threat_score FROM profile""")
 
 
+#: Lines of a landed file, about; a file is one value of the ordered stream, so it must not grow with the log.
+LINES_A_FILE = 100_000
+#: Micro-batches are small, as an address's records of one batch are held in one frame.
+FILES_A_TRIGGER = 16
+
+
 def _land(spark: SparkSession, sf_dir: str) -> str:
-    """The log as JSON lines in three files, in order of arrival."""
-    landed, parts = shared_folder(spark, "landed"), 3
+    """The log as JSON lines in files of a bounded size, three at least, in order of arrival by name and by time."""
+    landed = shared_folder(spark, "landed")
     record = F.to_json(F.struct(
         F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"), F.col("ip").alias("remote_addr"),
         F.concat(F.col("method"), F.lit(" "), F.col("path"), F.lit(" HTTP/1.1")).alias("request"), F.col("status").cast("string").alias("status"),
         F.col("bytes_sent").alias("body_bytes_sent"), "user_agent", "country", "handler", "referer"))
     lines = hits(spark, sf_dir, True).select("seq", record.alias("value"))
-    bounds = hits(spark, sf_dir).agg(F.max("seq")).first()[0] // parts + 1
-    for k in range(parts):
-        inside = lines.where(F.floor(F.col("seq") / bounds) == k)
-        inside.coalesce(1).sortWithinPartitions("seq").select("value").write.text(f"{landed}/part={k}")
+    parts = max(3, -(-hits(spark, sf_dir).count() // LINES_A_FILE))
+    lines.repartitionByRange(parts, "seq").sortWithinPartitions("seq").select("value").write.text(landed)
+    _in_order(spark, landed)
     return landed
 
 
+def _landed_files(spark: SparkSession, landed: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(landed)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store, sorted((f for f in store.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+
+
+def _in_order(spark: SparkSession, landed: str) -> None:
+    """File times in order of the names: the tasks ended in any order, and a stream takes files by time."""
+    store, files = _landed_files(spark, landed)
+    last = max((f.getModificationTime() for f in files), default=0)
+    for k, f in enumerate(files):
+        store.setTimes(f.getPath(), last - len(files) + 1 + k, -1)
+
+
 def _landed_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From raw lines in several micro-batches to the threat score."""
     landed, path = _land(spark, sf_dir), shared_folder(spark, "stream")
-    stream = stream_access_log(spark, f"{landed}/*", max_files_per_trigger=1, ordered=True)
+    files = min(FILES_A_TRIGGER, max(1, len(_landed_files(spark, landed)[1]) // 3))
+    stream = stream_access_log(spark, landed, max_files_per_trigger=files, ordered=True)
     sinks.updates_to_files(threats.stream_ip_threats(stream), path, shared_folder(spark, "progress")).awaitTermination()
     return sinks.latest_updates(spark, path, ["ip"]).select(
         "ip", "country", "request_count", "error_count", "core_hits", *ATTACK_TYPES, "attack_type_count", "threat_score")
@@ -103,7 +123,7 @@ def _landed_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _profile_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documented route: files, normalized records stored with a numeric arrival key, profile."""
     table = shared_folder(spark, "hits")
-    write_hits(read_access_log(spark, f"{_land(spark, sf_dir)}/*"), table)
+    write_hits(read_access_log(spark, _land(spark, sf_dir)), table)
     return ip_profile(spark.read.parquet(table)).select(
         "ip", "country", "request_count", "error_count", "core_hits", *ATTACK_TYPES, "attack_type_count", "threat_score")
 
