@@ -39,6 +39,14 @@ class LineRules:
     same_as_before: float = 0.3
     repetition_words: int = 8
     words_per_sentence: int = 200
+    #: A line of so many words needs a sentence mark; shorter ones may be a heading or a wrapped line.
+    unmarked_words: int = 20
+    #: Menus: so many lines in a row, blank ones aside, of at most so many words each without a mark.
+    menu_lines: int = 4
+    menu_words: int = 5
+    #: Link lists: so many words without a mark, of which this share begin with a capital.
+    link_words: int = 5
+    link_capitals: float = 0.8
     #: A document goes if failing lines hold more than this share of its words.
     max_lost: float = 0.5
 
@@ -123,6 +131,7 @@ def judge(column: pa.Array, rules: LineRules) -> dict:
         wide = (b[tail] >= 0x80)  # other scripts have marks of their own
         mark = _STOP[b[tail]] | wide & (b[np.maximum(tail - 2, 0)] >= 0xE2)
     failed |= (line_words > rules.words_per_sentence) & (_sums(mark, first_word, past_word) * rules.words_per_sentence < line_words)
+    failed |= _unmarked(b, words, lines, line_words, first_word, past_word, mark, upper + lower, _sums(~space & ~continuation, line_starts, line_ends), rules)
     lowered = b.tobytes().lower()
     for found in _PHRASES.finditer(lowered):
         k = np.searchsorted(line_starts, found.start(), "right") - 1
@@ -141,6 +150,26 @@ def judge(column: pa.Array, rules: LineRules) -> dict:
     }
 
 
+def _unmarked(b, words, lines, line_words, first_word, past_word, mark, letters, characters, rules: LineRules) -> np.ndarray:
+    """Lines of Latin letters that lack sentence marks and are too long for that, menus, or link lists; marks of other scripts are not all known."""
+    bare = (line_words > 0) & (2 * letters > characters) & (_sums(mark, first_word, past_word) == 0)
+    comma, capital = np.zeros(len(words.starts), bool), np.zeros(len(words.starts), bool)
+    if len(words.starts):
+        comma = b[words.ends - 1] == ord(",")
+        second = b[np.minimum(words.starts + 1, len(b) - 1)]
+        head = b[words.starts]
+        capital = _UPPER[head] | (head == 0xC3) & (second >= 0x80) & (second <= 0x9E)
+    plain = bare & (_sums(comma, first_word, past_word) == 0)
+    out = bare & (line_words >= rules.unmarked_words)
+    out |= plain & (line_words >= rules.link_words) & (_sums(capital, first_word, past_word) >= rules.link_capitals * np.maximum(line_words, 1))
+    real = np.flatnonzero(line_words > 0)
+    if len(real):
+        item, doc = (plain & (line_words <= rules.menu_words))[real], lines.doc[real]
+        run = np.cumsum(np.concatenate([[True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])])) - 1
+        out[real] |= item & (np.bincount(run)[run] >= rules.menu_lines)
+    return out
+
+
 _PHRASES = re.compile("|".join(re.escape(p) for p in BOILERPLATE).encode())
 
 
