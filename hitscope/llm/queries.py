@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, brown, jaccard, language, line_templates, media, packing, quality, sharding, substrings
+from . import bpe, brown, jaccard, language, line_templates, media, packing, quality, runs, secrets, sharding, substrings, vector_codes
 from .text import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,22 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(documents(spark, sf_dir))
+
+
+@query
+def op11_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.product_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLES["op11_orchard_codes"] = vector_codes.oracle()
+
+
+@query
+def op12_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is an owner, a document a repository."""
+    return secrets.scan(documents(spark, sf_dir), owner="source")
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapsed(documents(spark, sf_dir), made_periodic=True)
