@@ -2,14 +2,20 @@
 
 ``sliding_stats``, ``stream_timeline`` and ``stream_alerts`` give final windows
 only: event time with a watermark decides, and records later than that are
-dropped.  The ``..._parts`` run in update mode and keep everything; what is
-stored of them gives all windows so far, exact, by the matching ``..._of``.
-Used on a batch DataFrame the same functions give all windows.
+dropped.  Sliding windows are sums of panes, as wide as the greatest common
+divisor of window and slide, so a record is counted once however many windows
+it lies in.  ``pane_parts`` keep everything and need no state: what each
+micro-batch adds is stored, and ``sliding_of_panes`` makes all windows of it,
+exact.  ``timeline_parts`` and ``sliding_parts`` do so in update mode.  Used on
+a batch DataFrame the same functions give all windows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import math
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.fixed_values import ALERT_ERROR_RATE, ALERT_REQUESTS_PER_MINUTE, ALERT_UNIQUE_IPS_PER_MINUTE
 from ..functions.status import is_error
@@ -23,23 +29,83 @@ def _timed(df: DataFrame, delay: str) -> DataFrame:
     return df.withWatermark("ts", delay) if df.isStreaming else df
 
 
+def pane_width(window: str, slide: str) -> str:
+    """The greatest width that divides both."""
+    micros = [int(pd.Timedelta(text).total_seconds() * 1_000_000) for text in (window, slide)]
+    return f"{math.gcd(*micros)} microseconds"
+
+
 def sliding_stats(df: DataFrame, window: str = "5 minutes", slide: str = "1 minute", delay: str = "1 minute") -> DataFrame:
     """The traffic summary of every sliding window.
 
-    Distinct addresses and percentiles are sketches, which keep the state of a
-    window small whatever its traffic.
+    Two chained aggregations: records into panes, panes into windows.  Distinct
+    addresses (HLL) and percentiles (KLL) are mergeable sketches, so the state
+    is one row for each open pane and window, whatever the traffic.
     """
-    ranks = F.percentile_approx("response_time", [0.5, 0.95, 0.99])
-    stats = _timed(with_bot_flag(df), delay).groupBy(F.window("ts", window, slide)).agg(
-        F.count("*").alias("total_requests"), F.approx_count_distinct("ip").alias("unique_ips"),
-        F.sum("bytes_sent").alias("total_bytes"), F.avg("response_time").alias("avg_response_time"),
-        ranks.alias("_ranks"), count_where(F.col("is_bot")).alias("bot_traffic"),
-        count_where(is_error(F.col("status"))).alias("error_count"))
+    panes = _timed(with_bot_flag(df), delay).groupBy(F.window("ts", pane_width(window, slide)).alias("pane")).agg(
+        F.count("*").alias("n"), F.hll_sketch_agg("ip").alias("ips"), F.sum("bytes_sent").alias("bytes"),
+        F.sum("response_time").alias("seconds"), F.count("response_time").alias("timed"),
+        F.kll_sketch_agg_double("response_time").alias("times"), count_where(F.col("is_bot")).alias("bots"),
+        count_where(is_error(F.col("status"))).alias("errors"))
+    stats = panes.groupBy(F.window(F.window_time("pane"), window, slide).alias("window")).agg(
+        F.sum("n").alias("total_requests"), F.hll_sketch_estimate(F.hll_union_agg("ips")).alias("unique_ips"),
+        F.sum("bytes").alias("total_bytes"), F.sum("seconds").alias("seconds"), F.sum("timed").alias("timed"),
+        F.kll_merge_agg_double("times").alias("times"), F.sum("bots").alias("bot_traffic"), F.sum("errors").alias("error_count"))
+    ranks = (("median_response_time", 0.5), ("p95_response_time", 0.95), ("p99_response_time", 0.99))
     return stats.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-        "total_requests", "unique_ips", "total_bytes", "avg_response_time",
-        *[F.col("_ranks")[i].alias(name) for i, name in enumerate(
-            ("median_response_time", "p95_response_time", "p99_response_time"))],
+        "total_requests", "unique_ips", "total_bytes", F.try_divide("seconds", "timed").alias("avg_response_time"),
+        *[F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_double("times", F.lit(float(p)))).alias(name) for name, p in ranks],
+        "bot_traffic", (F.col("total_requests") - F.col("bot_traffic")).alias("human_traffic"),
+        "error_count", (F.col("error_count") / F.col("total_requests")).alias("error_rate"))
+
+
+PANE_KEYS = ("pane", "kind", "ip", "response_time")
+
+
+def pane_parts(df: DataFrame, window: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """What ``sliding_of_panes`` needs of some records: counts per (pane, address), and per (pane, response time).
+
+    Parts of different records of one log add up (``sinks.deltas_to_files`` stores those of each micro-batch), so
+    no record is ever too late, and a record adds to two rows whatever window and slide are.
+    """
+    timed = with_bot_flag(df).withColumn("ts", F.col("ts").cast("timestamp"))
+    address = F.struct(F.lit("ip").alias("kind"), F.col("ip").alias("ip"), F.lit(None).cast("double").alias("response_time"))
+    seconds = F.struct(F.lit("time").alias("kind"), F.lit(None).cast("string").alias("ip"), F.col("response_time").cast("double").alias("response_time"))
+    rows = timed.where(F.col("ts").isNotNull()).select(
+        F.window("ts", pane_width(window, slide)).alias("_pane"), "bytes_sent", "is_bot", is_error(F.col("status")).alias("_error"), F.inline(F.array(address, seconds)))
+    return rows.where("kind = 'ip' OR response_time IS NOT NULL").groupBy(F.col("_pane.start").alias("pane"), *PANE_KEYS[1:]).agg(
+        F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes"), count_where(F.col("is_bot")).alias("bots"), count_where(F.col("_error")).alias("errors"))
+
+
+def sliding_of_panes(parts: DataFrame, window: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """The columns of ``sliding_stats``, exact, from all stored parts.
+
+    An address counts in a window at its first pane there: in the windows that hold this pane but not the one it came
+    in before.  So distinct addresses are counts per (pane, gap to the one before), and only such counts, not
+    addresses, are spread over the windows.
+    """
+    parts = parts.groupBy(*PANE_KEYS).agg(*[F.sum(c).alias(c) for c in ("n", "bytes", "bots", "errors")])
+    keys = ["window_start", "window_end"]
+
+    def windows(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_w", F.window("pane", window, slide)).withColumns({"window_start": F.col("_w.start"), "window_end": F.col("_w.end")}).drop("_w")
+
+    reach = F.expr(f"INTERVAL {window}")
+    before = F.lag("pane").over(Window.partitionBy("ip").orderBy("pane"))
+    gaps = parts.where("kind = 'ip'").withColumn("_before", before).withColumn("_before", F.when(F.col("_before") + reach > F.col("pane"), F.col("_before")))
+    totals = windows(gaps.groupBy("pane", "_before").agg(
+        *[F.sum(c).alias(c) for c in ("n", "bytes", "bots", "errors")], F.count("ip").alias("ips")))
+    new = F.col("_before").isNull() | (F.col("_before") < F.col("window_start"))
+    stats = totals.groupBy(*keys).agg(
+        F.sum("n").alias("total_requests"), F.sum(F.when(new, F.col("ips")).otherwise(0)).alias("unique_ips"), F.sum("bytes").alias("total_bytes"),
+        F.sum("bots").alias("bot_traffic"), F.sum("errors").alias("error_count"))
+    times = parts.where("kind = 'time'").select("pane", "response_time", "n")
+    means = windows(times.groupBy("pane").agg(F.sum(F.col("response_time") * F.col("n")).alias("seconds"), F.sum("n").alias("timed"))).groupBy(*keys).agg(
+        (F.sum("seconds") / F.sum("timed")).alias("avg_response_time"))
+    ranks = exact_percentiles(windows(times), keys, "response_time", {"median_response_time": 0.5, "p95_response_time": 0.95, "p99_response_time": 0.99}, "n")
+    return stats.join(means, keys, "left").join(ranks, keys, "left").select(
+        *keys, "total_requests", "unique_ips", "total_bytes", "avg_response_time", "median_response_time", "p95_response_time", "p99_response_time",
         "bot_traffic", (F.col("total_requests") - F.col("bot_traffic")).alias("human_traffic"),
         "error_count", (F.col("error_count") / F.col("total_requests")).alias("error_rate"))
 

@@ -9,7 +9,7 @@ from hitscope.operators.security import ip_profile
 from hitscope.plans.workspace import shared_folder
 from hitscope.sinks.files import write_hits
 from hitscope.sources.records import read_access_log
-from hitscope.streaming import sinks, threats, windows
+from hitscope.streaming import late, sinks, threats, windows
 from hitscope.streaming.sources import stream_access_log
 
 from . import parsing
@@ -50,8 +50,17 @@ add_raw("stream_alerts", _updated(lambda s: windows.timeline_parts(s, "1 hour"),
         f"""WITH f AS (SELECT * FROM {_TIMELINE}) SELECT bucket, 'error_rate' AS alert, {r("error_count / count")} AS value, 0.5::DOUBLE AS threshold FROM f WHERE error_count / count > 0.5
         UNION ALL SELECT bucket, 'requests', count::DOUBLE, 18.0::DOUBLE FROM f WHERE count > 18
         UNION ALL SELECT bucket, 'unique_ips', unique_ips::DOUBLE, 17.0::DOUBLE FROM f WHERE unique_ips > 17""")
-add_raw("sliding_stats", _updated(lambda s: windows.sliding_parts(s, "6 hours", "2 hours"), ["window_start", "window_end", "ip", "response_time"],
-                                  windows.sliding_of, "window_start", "window_end"),
+
+
+def _sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows, from what each micro-batch adds to the panes."""
+    path, size = shared_folder(spark, "stream"), ("6 hours", "2 hours")
+    sinks.deltas_to_files(hit_stream(spark, sf_dir), lambda batch: windows.pane_parts(batch, *size), path, shared_folder(spark, "progress")).awaitTermination()
+    done = windows.sliding_of_panes(spark.read.parquet(path), *size)
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+add_raw("sliding_stats", _sliding,
         f"""WITH w AS (SELECT *, time_bucket(INTERVAL 2 HOURS, ts) - k * INTERVAL 2 HOURS AS window_start FROM hits, (SELECT unnest([0, 1, 2]) AS k))
         SELECT window_start, window_start + INTERVAL 6 HOURS AS window_end, count(*) AS total_requests, count(DISTINCT ip) AS unique_ips, sum(bytes_sent)::BIGINT AS total_bytes,
         {r("avg(response_time)")} AS avg_response_time, {r("quantile_cont(response_time, 0.5)")} AS median_response_time, {r("quantile_cont(response_time, 0.95)")} AS p95_response_time,
@@ -62,6 +71,41 @@ add_raw("stream_timeline_final", _appended(lambda s: windows.stream_timeline(s,
         f"SELECT * FROM {_TIMELINE} WHERE bucket + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM hits) - INTERVAL 1 HOUR")
 
 
+#: The log arrives in so many files, dealt out by turns: all but the first hold hardly anything but late records.
+_TURNS = 3
+
+
+def _out_of_order(spark: SparkSession, sf_dir: str) -> str:
+    """Runs the timeline over records that arrive out of order; the folder of what it stored."""
+    landed, path = shared_folder(spark, "landed"), shared_folder(spark, "stream")
+    turns = hits(spark, sf_dir)
+    for turn in range(_TURNS):
+        turns.where(F.col("seq") % _TURNS == turn).write.parquet(f"{landed}/turn={turn}")
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(landed)
+    late.timeline_with_late(stream, path, shared_folder(spark, "progress"), "1 hour", "1 hour").awaitTermination()
+    return path
+
+
+def _late_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _out_of_order(spark, sf_dir)
+    if late.late_records(spark, path).isEmpty():
+        raise ValueError("no record was late")
+    done = late.corrected_timeline(spark, path, "1 hour")
+    return done.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+def _kept_and_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by bucket: those in time and those that came late are all there are."""
+    path = _out_of_order(spark, sf_dir)
+    in_time = late.timeline_of(late._parts(spark, path)).select("bucket", F.col("count").alias("n"))
+    aside = late.late_records(spark, path).groupBy(F.window("ts", "1 hour")["start"].alias("bucket")).agg(F.count("*").alias("n"))
+    return in_time.unionByName(aside).groupBy(F.col("bucket").cast("timestamp_ntz").alias("bucket")).agg(F.sum("n").alias("count"))
+
+
+add_raw("stream_timeline_late", _late_timeline, f"SELECT * FROM {_TIMELINE}")
+add_raw("stream_late_records", _kept_and_late, "SELECT date_trunc('hour', ts) AS bucket, count(*)::BIGINT AS count FROM hits GROUP BY 1")
+
+
 def _threats(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "stream")
     stream = threats.stream_ip_threats(hit_stream(spark, sf_dir))
