@@ -3,7 +3,8 @@
 The once-per-address rules depend on the order of records, so each address has
 a small state: counters, the types seen, at most six login times.  The rules
 themselves are evaluated in the JVM; only (position, time, bit mask) of a
-record reaches Python, where a micro-batch of an address is handled as arrays.
+record reaches Python, where bounded stretches of an address's records are
+handled as arrays.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.attacks import ATTACK_TYPES, CORE, RECORD_TYPES, flag_attacks
 from ..functions.text import any_of, seconds_between
@@ -29,27 +30,28 @@ _OUT = ("ip string, country string, request_count bigint, error_count bigint, co
         "first_us bigint, last_us bigint, counts array<bigint>")
 
 
+#: Records of an address that are put in order at once.
+RANGE_ROWS = 8192
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _first(condition: np.ndarray) -> int | None:
     where = np.flatnonzero(condition)
     return int(where[0]) if len(where) else None
 
 
-def _advance(key, chunks: Iterator[pd.DataFrame], state: GroupState, idle_us: int | None) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(chunks))
-    rows = rows.sort_values([c for c in rows.columns if c.startswith("_seq")], kind="stable")
-    mask, ts = rows["_mask"].to_numpy(), rows["_us"].to_numpy()
+def _step(state: tuple | None, country: str | None, ts: np.ndarray, mask: np.ndarray) -> tuple:
+    """The state after some more records of an address, which are in order of arrival."""
     bit = {name: (mask >> i & 1).astype(bool) for i, name in enumerate(_BITS)}
-    if state.exists:
-        country, n, errors, api, core, first_ts, _, counts, logins = state.get
+    if state is not None:
+        country, n, errors, api, core, first_ts, _, counts, logins = state
         counts, logins = list(counts), list(logins)
     else:
-        country, n, errors, api, core = rows["_country"].iloc[0], 0, 0, 0, 0
+        n, errors, api, core = 0, 0, 0, 0
         first_ts, counts, logins = int(ts[0]), [0] * len(ATTACK_TYPES), []
     total = dict(zip(ATTACK_TYPES, counts))
-    size = len(rows)
+    size = len(ts)
 
     run_n = n + np.arange(1, size + 1)
     run_e = errors + np.cumsum(bit["_error"])
@@ -83,46 +85,125 @@ def _advance(key, chunks: Iterator[pd.DataFrame], state: GroupState, idle_us: in
         total[t] += int(bit[t].sum())
     for t in ("credential_stuffing", "api_abuse"):
         total[t] = int(bool(total[t]) or firsts[t] is not None)
+    return (country, int(run_n[-1]), int(run_e[-1]), int(run_a[-1]), int(core + bit["_core"].sum()),
+            int(first_ts), int(ts[-1]), [int(total[t]) for t in ATTACK_TYPES], logins)
+
 
-    after = (country, int(run_n[-1]), int(run_e[-1]), int(run_a[-1]), int(core + bit["_core"].sum()),
-             int(first_ts), int(ts[-1]), [int(total[t]) for t in ATTACK_TYPES], logins)
-    state.update(after)
-    if idle_us is not None:
-        # The time of expiry must lie after the watermark.
-        state.setTimeoutTimestamp(max(int((ts.max() + idle_us) // 1000), state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({
-        "ip": [key[0]], "country": [country], "request_count": [after[1]], "error_count": [after[2]],
-        "core_hits": [after[4]], "first_us": [after[5]], "last_us": [after[6]], "counts": [after[7]]})
+class _Profile(StatefulProcessor):
+    """One address: its state, and a map that puts its records of a micro-batch in order.
+
+    Rows come in Arrow batches in no order.  What doesn't fit one batch is laid aside in the map by ranges of the
+    arrival key, a few thousand records each; the ranges are then taken in order, one at a time.  So a process holds
+    one Arrow batch or one range, however much of the micro-batch an address has.
+    """
+
+    def __init__(self, idle_us: int | None):
+        self.idle_us = idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("profile", _STATE)
+        self.aside = handle.getMapState("aside", "stretch string, piece int", "place array<bigint>, us array<bigint>, mask array<bigint>, said array<string>")
+
+    def _take(self, state: tuple | None, rows: pd.DataFrame) -> tuple:
+        rows = rows.sort_values(["stretch", "place"], kind="stable")
+        return _step(state, rows["said"].iloc[0], rows["us"].to_numpy(np.int64), rows["mask"].to_numpy(np.int64))
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        state = self.state.get() if self.state.exists() else None
+        held, ranges = None, {}
+        for piece, rows_ in enumerate(rows):
+            if not len(rows_):
+                continue
+            if held is not None:
+                self._lay_aside(held, ranges)
+            held = rows_.copy()
+        if held is None:
+            return
+        if not ranges:
+            state = self._take(state, held)
+        else:
+            self._lay_aside(held, ranges)
+            held = None
+            for name in sorted(ranges):
+                pieces = []
+                for piece in range(ranges[name]):
+                    place, us, mask, said = self.aside.getValue((name, piece))
+                    pieces.append(pd.DataFrame({"stretch": name, "place": list(place), "us": list(us), "mask": list(mask), "said": list(said)}))
+                    self.aside.removeKey((name, piece))
+                state = self._take(state, pd.concat(pieces))
+        self.state.update(state)
+        if self.idle_us is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(max((state[6] + self.idle_us) // 1000, timer_values.getCurrentWatermarkInMs() + 1))
+        yield _row(key[0], state)
+
+    def _lay_aside(self, rows: pd.DataFrame, ranges: dict[str, int]) -> None:
+        for name, part in rows.groupby("stretch", sort=False):
+            piece = ranges.get(name, 0)
+            self.aside.updateValue((name, piece), tuple(part[c].tolist() for c in ("place", "us", "mask", "said")))
+            ranges[name] = piece + 1
+
+    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _row(ip: str, state: tuple) -> pd.DataFrame:
+    country, n, errors, _, core, first_ts, last_ts, counts, _ = state
+    return pd.DataFrame({"ip": [ip], "country": [country], "request_count": [n], "error_count": [errors], "core_hits": [core],
+                         "first_us": [first_ts], "last_us": [last_ts], "counts": [list(counts)]})
+
+
+def _arrival(df: DataFrame, seq: str) -> tuple[Column, Column]:
+    """(stretch, number): texts that order ranges of ``RANGE_ROWS`` arrivals, and the place inside one.
+
+    The key is a number, or a struct that ends with one (the line) and may begin with a time.
+    """
+    kind = df.schema[seq].dataType
+    if not isinstance(kind, T.StructType):
+        return F.lpad((F.floor(F.col(seq) / RANGE_ROWS) + F.lit(1 << 62)).cast("string"), 20, "0"), F.col(seq).cast("bigint")
+    names = kind.fieldNames()
+    line = F.col(f"{seq}.{names[-1]}").cast("bigint")
+    head = []
+    for name in names[:-1]:
+        part = F.col(f"{seq}.{name}")
+        if isinstance(kind[name].dataType, (T.TimestampType, T.TimestampNTZType)):
+            part = F.unix_micros(part.cast("timestamp"))
+        if not isinstance(kind[name].dataType, T.StringType):
+            part = F.lpad((part.cast("bigint") + F.lit(1 << 62)).cast("string"), 20, "0")
+        head.append(part)
+    return F.concat_ws("\x01", *head, F.lpad((F.floor(line / RANGE_ROWS) + F.lit(1 << 62)).cast("string"), 20, "0")), line
 
 
 def stream_ip_threats(df: DataFrame, seq: str = "seq", delay: str = "10 minutes", idle_hours: float | None = None,
                       scan_user_agent: bool = True) -> DataFrame:
     """Per micro-batch one row for every address in it, with its profile so far.
 
-    An address's share of a micro-batch is handled at once, as three numbers per
-    record; the source's files or rows per trigger bound it.  For very busy
-    addresses keep triggers small.  ``seq`` orders the records of a micro-batch.  An address without records for
-    ``idle_hours`` of event time is forgotten, and late records are dropped, if
-    that is given; by default everything is kept.
+    ``seq`` orders the records: a number, or a struct of times, texts and, last, a line number.  An address may own any
+    part of a micro-batch: see ``_Profile``.  An address without records for ``idle_hours`` of event time is forgotten,
+    and late records are dropped, if that is given; by default everything is kept.  The state lives in RocksDB, which
+    this sets for the session if another store is set.
     """
     timed = df.withColumn("ts", F.col("ts").cast("timestamp"))
     if idle_hours is not None:
         timed = timed.withWatermark("ts", delay)
+    spark = df.sparkSession
+    if spark.conf.get(_STORE, None) != _ROCKSDB:
+        spark.conf.set(_STORE, _ROCKSDB)
     flagged = flag_attacks(timed, scan_user_agent).withColumns({"_error": F.col("status") >= 400})
     flagged = flagged.withColumn("_core", any_of(F.col(t) for t in CORE))
     mask = sum((F.shiftleft(F.col(b).cast("bigint"), i) for i, b in enumerate(_BITS)), F.lit(0).cast("bigint"))
-    kind = df.schema[seq].dataType
-    order = [F.col(f"{seq}.{name}").alias(f"_seq{i}") for i, name in enumerate(kind.fieldNames())] if isinstance(kind, T.StructType) else [F.col(seq).alias("_seq")]
-    rows = flagged.select("ip", "ts", *order, F.col("country").alias("_country"),
-                          F.unix_micros("ts").alias("_us"), mask.alias("_mask"))
+    stretch, place = _arrival(df, seq)
+    rows = flagged.select("ip", "ts", stretch.alias("stretch"), place.alias("place"), F.col("country").alias("said"),
+                          F.unix_micros("ts").alias("us"), mask.alias("mask"))
     idle_us = None if idle_hours is None else int(idle_hours * 3600e6)
-
-    def advance(key, chunks, state):
-        return _advance(key, chunks, state, idle_us)
-
-    states = rows.groupBy("ip").applyInPandasWithState(
-        advance, _OUT, _STATE, "update",
-        GroupStateTimeout.NoTimeout if idle_us is None else GroupStateTimeout.EventTimeTimeout)
+    states = rows.groupBy("ip").transformWithStateInPandas(
+        _Profile(idle_us), _OUT, "update", "none" if idle_us is None else "eventTime")
     wide = states.select(
         "ip", "country", "request_count", "error_count", "core_hits",
         F.timestamp_micros("first_us").alias("first_seen"), F.timestamp_micros("last_us").alias("last_seen"),
