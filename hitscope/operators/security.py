@@ -20,8 +20,9 @@ from ..functions.fixed_values import (
 )
 from ..functions.text import any_of, count_where, fixed, ratio, seconds_between, shorten, thousands, top
 from ..plans.arrival import CHUNK_ROWS
-from ..plans.keys import attach, restrict
-from .once_per_ip import credential_stuffing, running_rules, third_type
+from ..plans.keys import attach, restrict, restrict_counted
+from ..plans.workspace import stored
+from .once_per_ip import LOGIN_FAILURES, first_logins, merged_logins, running_rules, third_type
 
 DDOS_REQUESTS = 500
 DDOS_RATE = 10.0
@@ -90,9 +91,9 @@ def _agent_groups(df: DataFrame, seq: str, scan_user_agent: bool) -> DataFrame:
     path_types = [t for t in RECORD_TYPES if t in by_path]
     rows = df.select("ip", "country", "user_agent", "status", F.col(seq).alias("_seq"), "ts",
                      *[by_path[t].alias(t) for t in path_types],
-                     by_path["introspection"].alias("_introspection"), xxe_tail(F.col("path")).alias("_xxe_tail"))
+                     by_path["introspection"].alias("_introspection"), by_path["is_api_path"].alias("_api"), xxe_tail(F.col("path")).alias("_xxe_tail"))
     counters = {"error_count": "status >= 400", "core_hits": " OR ".join(CORE), "_xxe_any": "xxe OR _xxe_tail"}
-    counters |= {t: t for t in path_types}
+    counters |= {t: t for t in path_types} | {"api_count": "_api"}
     firsts = {"_introspection": "_introspection", "_first_xxe_any": "xxe OR _xxe_tail"}
     firsts |= {f"_first_{t}": t for t in path_types}
     groups = rows.groupBy("ip", "country", "user_agent").agg(*map(F.expr, (
@@ -118,7 +119,7 @@ def _agent_groups(df: DataFrame, seq: str, scan_user_agent: bool) -> DataFrame:
 
     core_by_agent = " OR ".join(f"_agent_{t}" for t in CORE) if scan_user_agent else "false"
     return groups.selectExpr(
-        "ip", "country", "request_count", "error_count",
+        "ip", "country", "request_count", "error_count", "api_count",
         f"CASE WHEN {core_by_agent} THEN request_count ELSE core_hits END AS core_hits",
         "CASE WHEN _agent_empty_ua THEN request_count ELSE 0 END AS empty_ua",
         "_from", "_to", "_first_ts", "_last_ts", "_introspection",
@@ -134,22 +135,50 @@ def ip_profile(df: DataFrame, seq: str = "seq", scan_user_agent: bool = True,
     Counters combine map-side, so an address with a third of all records
     arrives as a few rows per task.
     """
-    profile = _agent_groups(df, seq, scan_user_agent).groupBy("ip").agg(*map(F.expr, (
-        *[f"sum({c}) AS {c}" for c in ("request_count", "error_count", "core_hits", "empty_ua", *RECORD_TYPES)],
-        "min_by(country, _from) AS country", "min_by(_first_ts, _from) AS first_seen",
-        "max_by(_last_ts, _to) AS last_seen", "max(_to) AS _to", "min(_introspection) AS _introspection",
-        *[f"min(_first_{t}) AS _first_{t}" for t in RECORD_TYPES])))
+    return profile_of(profile_state(df, seq, scan_user_agent, chunk_rows))
+
+
+_SUMS = ("request_count", "error_count", "api_count", "core_hits", "empty_ua", *RECORD_TYPES)
+_MINIMA = ("introspection_seq", *[f"first_{t}" for t in RECORD_TYPES], "error_ratio_seq", "api_rate_seq")
+
+
+def profile_state(df: DataFrame, seq: str = "seq", scan_user_agent: bool = True, chunk_rows: int = CHUNK_ROWS,
+                  before: DataFrame | None = None) -> DataFrame:
+    """What ``profile_of`` needs of some records, one row of bounded size for each of their addresses.
+
+    ``before`` is the state of all earlier records: the rules with running totals go on from there, so that
+    ``merge_states`` of it and the result is the state of all.  Store it by day, and a new day costs a pass over that day.
+    """
+    state = _agent_groups(df, seq, scan_user_agent).groupBy("ip").agg(*map(F.expr, (
+        *[f"sum({c}) AS {c}" for c in _SUMS], "min_by(country, _from) AS country", "min_by(_first_ts, _from) AS first_seen",
+        "max_by(_last_ts, _to) AS last_seen", "min(_from) AS from_seq", "max(_to) AS to_seq", "min(_introspection) AS introspection_seq",
+        *[f"min(_first_{t}) AS first_{t}" for t in RECORD_TYPES])))
     marked = df.withColumns(sequence_flags())
-    profile = (profile.join(running_rules(marked, seq, chunk_rows), "ip", "left")
-               .join(credential_stuffing(marked, seq), "ip", "left")
-               .withColumn("api_abuse_seq", F.least("_introspection", "api_rate_seq")))
-    seen = {t: f"_first_{t}" for t in RECORD_TYPES}
+    return (state.join(running_rules(marked, seq, chunk_rows, before), "ip", "left")
+            .join(first_logins(marked, seq), "ip", "left"))
+
+
+def merge_states(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The state of two stretches of the log, the first ``before`` the second, from the state of each."""
+    both = before.unionByName(after)
+    merged = both.groupBy("ip").agg(*map(F.expr, (
+        *[f"sum({c}) AS {c}" for c in _SUMS], "min_by(country, from_seq) AS country", "min_by(first_seen, from_seq) AS first_seen",
+        "max_by(last_seen, to_seq) AS last_seen", "min(from_seq) AS from_seq", "max(to_seq) AS to_seq",
+        *[f"min({c}) AS {c}" for c in _MINIMA])), F.collect_list("logins").alias("logins"))
+    return merged.withColumn("logins", F.when(F.size("logins") > 0, merged_logins(F.col("logins")))).select(before.columns)
+
+
+def profile_of(state: DataFrame) -> DataFrame:
+    """The columns of ``ip_profile`` from the state of the whole log."""
+    profile = state.withColumns({"credential_seq": F.get(F.col("logins.seq"), F.lit(LOGIN_FAILURES)),
+                                 "api_abuse_seq": F.least("introspection_seq", "api_rate_seq")})
+    seen = {t: f"first_{t}" for t in RECORD_TYPES}
     seen |= {"credential_stuffing": "credential_seq", "api_abuse": "api_abuse_seq"}
     profile = profile.withColumn("third_type", third_type(seen)).selectExpr(
         "ip", "country", "request_count", "error_count", "first_seen", "last_seen", "core_hits", "empty_ua", *RECORD_TYPES,
         "error_ratio_seq", "credential_seq", "api_abuse_seq",
         # Found after the scanning test, a third type needs one more record.
-        "CASE WHEN third_type.after = 0 OR third_type.seq < _to THEN third_type END AS third_type",
+        "CASE WHEN third_type.after = 0 OR third_type.seq < to_seq THEN third_type END AS third_type",
         "CAST(credential_seq IS NOT NULL AS BIGINT) AS credential_stuffing",
         "CAST(api_abuse_seq IS NOT NULL AS BIGINT) AS api_abuse")
     profile = profile.withColumns({
@@ -209,7 +238,7 @@ def suspicious_threats(df: DataFrame, suspicious: DataFrame, seq: str = "seq", s
 
     ``seq`` and ``position`` are the order within an address.
     """
-    return restrict(threat_events(df, seq, scan_user_agent), suspicious, ["ip"], None).select("ip", seq, "position", "threat_type")
+    return restrict_counted(threat_events(df, seq, scan_user_agent), suspicious, "ip", seq).select("ip", seq, "position", "threat_type")
 
 
 def with_threat_text(df: DataFrame, suspicious: DataFrame, n: int | None = None, seq: str = "seq",
@@ -218,9 +247,12 @@ def with_threat_text(df: DataFrame, suspicious: DataFrame, n: int | None = None,
 
     It names the first threats only, enough to fill that width; all of them
     are the rows of ``suspicious_threats``.  The rank limit acts before the
-    shuffle.  ``n``: at most how many rows ``suspicious`` has, if that is known.
+    shuffle.  ``suspicious`` is stored first, as it is used twice: so its profile is computed once, and its size is
+    known to the engine.  ``n``: at most how many rows it has, if that is known.
     """
-    events = restrict(threat_events(df, seq, scan_user_agent), suspicious, ["ip"], n)
+    suspicious = stored(suspicious, "suspicious")
+    events = threat_events(df, seq, scan_user_agent)
+    events = restrict(events, suspicious, ["ip"], n) if n is not None else restrict_counted(events, suspicious, "ip", seq)
     w = Window.partitionBy("ip").orderBy(seq, "position")
     head = events.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= _SHOWN)
     shown = head.groupBy("ip").agg(F.array_join(F.transform(

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.status import is_error
 from ..functions.text import count_where, ratio, seconds_between, top
 from ..functions.user_agents import is_bot, parse_user_agent
-from ..plans.keys import attach, restrict, top_keys
+from ..plans.keys import attach, restrict, restrict_counted, top_keys
 from ..plans.percentiles import exact_percentiles
+from ..plans.workspace import stored
 
 PERCENTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
@@ -217,9 +218,8 @@ def ips_per_country(df: DataFrame, n: int = 10, seq: str = "seq") -> DataFrame:
     addresses still sends only ``n`` rows per task.
     """
     w = Window.partitionBy("country").orderBy(F.col("count").desc(), F.col("ip").asc())
-    ranked = ip_counts(df, seq).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    details = ip_stats(df.join(ranked.select("ip"), "ip", "left_semi"), seq)
-    return details.join(ranked.select("ip", "rank"), "ip")
+    ranked = stored(ip_counts(df, seq).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("ip", "rank"), "ranked")
+    return ip_stats(restrict_counted(df, ranked, "ip", seq), seq).join(ranked, "ip")
 
 
 def response_time_stats(df: DataFrame, approx: bool = False) -> DataFrame:

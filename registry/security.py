@@ -14,6 +14,8 @@ from hitscope.functions.fixed_values import (
     THREAT_WEIGHTS,
 )
 from hitscope.operators import once_per_ip, security as s
+from hitscope.plans.history import advance_profile
+from hitscope.plans.workspace import shared_folder, stored
 
 from .base import ORACLES, add, contains_any_sql, pattern_sql, r, text
 from .view import hits_oracle
@@ -129,8 +131,25 @@ add("ip_profile", lambda df: s.ip_profile(df).select(*_COLUMNS, "duration", "thr
 # A small chunk size makes every address span many chunks.
 add("ip_profile_chunked", lambda df: s.ip_profile(df, chunk_rows=500).select(*_COLUMNS),
     PROFILE + f" SELECT {', '.join(_COLUMNS)} FROM profile", True)
-add("scanning", lambda df: once_per_ip.scanning(s.flagged_hits(df), s.ip_profile(df)),
+add("scanning", lambda df: once_per_ip.scanning(df, stored(s.ip_profile(df), "profile")),
     PROFILE + " SELECT ip, scanning_seq FROM profile WHERE scanning = 1", True)
+#: Stretches of the log that arrive one after the other; the rules with running totals go on from one to the next.
+_STRETCHES = 3
+
+
+def _by_stretches(df):
+    spark, before = df.sparkSession, None
+    last = df.agg(F.max("seq")).first()[0]
+    for k in range(_STRETCHES):
+        part = df.where((F.col("seq") * _STRETCHES > k * last) & (F.col("seq") * _STRETCHES <= (k + 1) * last) | (F.lit(k) == 0) & (F.col("seq") <= 0))
+        target = shared_folder(spark, "profile")
+        state = advance_profile(spark, before, part, target, chunk_rows=2_000)
+        before = target
+    return s.profile_of(state).select(*_COLUMNS, "duration", "threat_score")
+
+
+add("ip_profile_by_day", _by_stretches,
+    PROFILE + f" SELECT {', '.join(_COLUMNS)}, {r('duration')} AS duration, {r('threat_score')} AS threat_score FROM profile", True)
 add("scanning_error_ratio", lambda df: s.ip_profile(df).where("error_ratio_seq IS NOT NULL").select("ip", "error_ratio_seq"),
     PROFILE + " SELECT ip, error_ratio_seq FROM profile WHERE error_ratio_seq IS NOT NULL", True)
 add("credential_stuffing", lambda df: once_per_ip.credential_stuffing(s.flagged_hits(df)),

@@ -121,8 +121,8 @@ NAMED = """(SELECT *, CASE WHEN user_agent IN ('', '-') THEN 'Unknown' WHEN cont
 add("top_browsers", t.top_browsers, f"SELECT browser, count(*) AS count FROM {NAMED} WHERE browser <> '' GROUP BY browser ORDER BY count DESC, browser LIMIT 10")
 add("top_os", t.top_os, f"SELECT os, count(*) AS count FROM {NAMED} WHERE os <> '' GROUP BY os ORDER BY count DESC, os LIMIT 10")
 add("ips_by_country", lambda df: t.ips_by_country(df, "NATION_3", 10), f"SELECT * FROM ({IPS}) WHERE country = 'NATION_3' ORDER BY count DESC, ip LIMIT 10")
-add("ips_per_country", lambda df: t.ips_per_country(df, 5).select("country", "ip", "count", "rank"),
-    f"""SELECT country, ip, count, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY count DESC, ip) AS rank
+add("ips_per_country", lambda df: t.ips_per_country(df, 5),
+    f"""SELECT * REPLACE (rank::INTEGER AS rank) FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY count DESC, ip) AS rank
     FROM ({IPS})) WHERE rank <= 5""")
 add("response_time_stats", t.response_time_stats, "SELECT count(*) AS total, " + ", ".join(
     f"{r(e)} AS {n}" for n, e in (("mean", "avg(response_time)"), ("min", "min(response_time)"), ("max", "max(response_time)"),
