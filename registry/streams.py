@@ -10,7 +10,7 @@ from hitscope.plans.workspace import shared_folder
 from hitscope.sinks.files import write_hits
 from hitscope.sources.records import read_access_log
 from hitscope.streaming import late, sinks, threats, windows
-from hitscope.streaming.sources import stream_access_log
+from hitscope.streaming.sources import follow_access_log, stream_access_log
 
 from . import parsing
 from .base import ERRORS, add_raw, is_bot_sql, r
@@ -189,3 +189,22 @@ def _log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add_raw("stream_access_log", _log_stream,
         "SELECT method, status, count(*) AS count, sum(bytes_sent)::BIGINT AS bytes FROM hits GROUP BY method, status", True)
+
+
+def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of one stream over a folder whose files become more between them, in tasks of a few megabytes."""
+    landed, path, progress = shared_folder(spark, "landed"), shared_folder(spark, "stream"), shared_folder(spark, "progress")
+    record = parsing.raw_lines(hits(spark, sf_dir, True), parsing.json_line())
+    columns = ["ip", "method", "path", "status", "bytes_sent", "seq"]
+    for turn in range(2):
+        record.where(F.col("seq") % 2 == turn).select("value").write.mode("append").text(landed)
+        stream = follow_access_log(spark, landed, pattern="part-*", split_bytes=FOLLOWED_BYTES).select(columns)
+        sinks.append_to_files(stream, path, progress).awaitTermination()
+    lines = spark.read.parquet(path)
+    return lines.groupBy("method", "status").agg(F.count("*").alias("count"), F.countDistinct("seq").alias("places"), F.sum("bytes_sent").alias("bytes"))
+
+
+#: Bytes of a task.
+FOLLOWED_BYTES = 8 << 20
+add_raw("follow_access_log", _followed,
+        "SELECT method, status, count(*) AS count, count(*) AS places, sum(bytes_sent)::BIGINT AS bytes FROM hits GROUP BY method, status", True)
