@@ -13,6 +13,7 @@ from ..functions.addresses import v4_number, v6_hex
 from ..functions.fixed_values import API_ONLY_PATTERN, BLOCKED_STATUSES
 from ..functions.text import all_of, any_of
 from ..functions.user_agents import is_bot
+from ..plans import networks
 
 
 def in_countries(countries) -> Column:
@@ -99,16 +100,30 @@ def apply_filters(df: DataFrame, spec: HitFilter) -> DataFrame:
     return df.where(predicate(spec, df))
 
 
-def in_network_table(df: DataFrame, cidrs: list[str]) -> DataFrame:
+#: So many networks are written into the plan.
+_IN_PLAN = 1_000
+
+
+def in_network_table(df: DataFrame, cidrs: list[str], spread: str = "seq") -> DataFrame:
     """Rows whose address lies in any of MANY networks, each row once.
 
-    Networks are merged first.  For every prefix length in use the address's
-    bits up to that length are looked up in a set, so there is no join and no
-    shuffle, whatever the number of networks.  An empty list filters nothing,
-    as in a filter set.
+    A few are looked up by literals of the plan, more in an interval index that is sent to all tasks, and where that
+    would be too large, in a table: see ``networks``.  An empty list filters nothing, as in a filter set.
     """
     if not cidrs:
         return df
+    if len(cidrs) <= _IN_PLAN:
+        return _in_literals(df, cidrs)
+    index = networks.NetworkIndex(cidrs)
+    if index.nbytes <= networks.SENT:
+        return df.where(index.holds(df.sparkSession, F.col("ip")))
+    table = df.sparkSession.createDataFrame([(c,) for c in cidrs], "network string")
+    return networks.in_network_frame(df, table, spread=spread)
+
+
+def _in_literals(df: DataFrame, cidrs: list[str]) -> DataFrame:
+    """Networks are merged first.  For every prefix length in use the address's bits up to that length are looked up in
+    a set, so there is no join and no shuffle."""
     nets = [ipaddress.ip_network(c, strict=False) for c in cidrs]
     merged = [n for v in (4, 6) for n in ipaddress.collapse_addresses([n for n in nets if n.version == v])]
     known: dict[tuple[int, int], list[str]] = {}

@@ -238,6 +238,16 @@ def _found(df, limit=2.0):
 
 
 add("baseline", lambda df: an.baseline(_before(df), "1 hour"), f"SELECT * FROM {_base_sql(r)}")
+
+
+def _merged_baseline(df):
+    """A state for each of three sets of days, then one baseline of all days."""
+    days = [_before(df).where(F.dayofmonth("ts") % 3 == k) for k in range(3)]
+    states = [an.baseline_state(day, "1 hour") for day in days]
+    return an.merge_baselines(reduce(lambda a, b: a.unionByName(b), states))
+
+
+add("baseline_merged", _merged_baseline, f"SELECT * FROM {_base_sql(r)}")
 add("detect_anomalies", _found, f"SELECT * FROM {_anomalies_sql(2.0)}")
 add("detect_anomalies_default", lambda df: _found(df, 0), f"SELECT * FROM {_anomalies_sql(3.0)}")
 add("severity", lambda df: _found(df).select("bucket", "type", "severity"), f"SELECT bucket, type, severity FROM {_anomalies_sql(2.0)}")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hitscope.functions.attacks import ATTACK_TYPES
+from hitscope.operators import anomaly
 from hitscope.operators.security import ip_profile
-from hitscope.plans.workspace import shared_folder
+from hitscope.plans.workspace import shared_folder, stored
 from hitscope.sinks.files import write_hits
 from hitscope.sources.records import read_access_log
-from hitscope.streaming import late, sinks, threats, windows
+from hitscope.streaming import anomalies, late, sinks, threats, windows
 from hitscope.streaming.sources import follow_access_log, stream_access_log
 
-from . import parsing
+from . import analysis, parsing
 from .base import ERRORS, add_raw, is_bot_sql, r
 from .security import PROFILE
 from .view import hits
@@ -191,6 +192,17 @@ add_raw("stream_access_log", _log_stream,
         "SELECT method, status, count(*) AS count, sum(bytes_sent)::BIGINT AS bytes FROM hits GROUP BY method, status", True)
 
 
+def _stream_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last days as a stream, against the baseline of the days before, which is a stored table."""
+    path = shared_folder(spark, "stream")
+    base = stored(anomaly.baseline(analysis._before(hits(spark, sf_dir)), "1 hour"), "baseline")
+    sinks.deltas_to_files(analysis._after(hit_stream(spark, sf_dir)), lambda batch: anomalies.bucket_parts(batch, "1 hour"), path, shared_folder(spark, "progress")).awaitTermination()
+    return anomalies.anomalies_of(spark.read.parquet(path), base, 2.0).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+add_raw("stream_anomalies", _stream_anomalies, f"SELECT * FROM {analysis._anomalies_sql(2.0)}")
+
+
 def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs of one stream over a folder whose files become more between them, in tasks of a few megabytes."""
     landed, path, progress = shared_folder(spark, "landed"), shared_folder(spark, "stream"), shared_folder(spark, "progress")

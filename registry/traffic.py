@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hitscope.operators import filters as f, timeline as tl, traffic as t
 from hitscope.operators.security import threat_events
+from hitscope.plans import networks
 
 from .base import ERRORS, add, add_raw, is_bot_sql, r, text
 from .security import EVENTS, FLAGS
@@ -56,6 +57,25 @@ add("filter_many_networks", lambda df: _keys(f.in_network_table(df, _NETS)),
     ranges AS (SELECT DISTINCT {IP_NUMBER} // (1 << (32 - len)) * (1 << (32 - len)) AS lo,
       {IP_NUMBER} // (1 << (32 - len)) * (1 << (32 - len)) + (1 << (32 - len)) - 1 AS hi FROM nets)
     SELECT seq, ip, status, path FROM hits WHERE EXISTS (SELECT 1 FROM ranges WHERE {IP_NUMBER} BETWEEN lo AND hi)""")
+# More networks than a plan should hold, and networks that are a table themselves (suppliers').
+_INDEXED = [f"203.0.{i % 7}.{i * 29 % 256 // 3 * 3}/32" for i in range(1_200)] + [f"2001:db8:{i:x}::/48" for i in range(300)]
+_IN_RANGES = f"SELECT seq, ip, status, path FROM hits WHERE EXISTS (SELECT 1 FROM ranges WHERE {IP_NUMBER} BETWEEN lo AND hi)"
+_RANGES = f"""ranges AS (SELECT DISTINCT {IP_NUMBER} // (1 << (32 - len)) * (1 << (32 - len)) AS lo,
+      {IP_NUMBER} // (1 << (32 - len)) * (1 << (32 - len)) + (1 << (32 - len)) - 1 AS hi FROM nets)"""
+add("filter_network_index", lambda df: _keys(f.in_network_table(df, _INDEXED)),
+    f"""WITH nets AS (SELECT split_part(c, '/', 1) AS ip, split_part(c, '/', 2)::INTEGER AS len
+      FROM (SELECT unnest({[c for c in _INDEXED if ":" not in c]!r}) AS c)), {_RANGES} {_IN_RANGES}""")
+_NET_TABLE = "'203.0.' || CAST(s_suppkey % 3 AS {string}) || '.' || CAST(s_suppkey * 37 % 256 AS {string})"
+
+
+def _supplier_networks(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.expr(_NET_TABLE.format(string="STRING") + " || '/' || CAST(29 + s_suppkey % 4 AS STRING)").alias("network"))
+    return _keys(networks.in_network_frame(hits(spark, sf_dir), table))
+
+
+add_raw("filter_network_frame", _supplier_networks,
+        f"WITH nets AS (SELECT {_NET_TABLE.format(string='VARCHAR')} AS ip, (29 + s_suppkey % 4)::INTEGER AS len FROM supplier), {_RANGES} {_IN_RANGES}")
 filtered("filter_time_range", lambda: f.in_time_range(START, END), _BETWEEN)
 filtered("filter_path_patterns", lambda: f.path_matches(["^/rest", "(?i)GRAPHQL"]), "regexp_matches(path, '^/rest|(?i)graphql')")
 filtered("filter_exclude_bots", lambda: ~f.is_bot(F.col("user_agent")), f"NOT {is_bot_sql()}")
