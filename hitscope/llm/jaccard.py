@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .text import Texts, Words, mix, named, over_batches, signed
+from .text import Texts, Words, fresh, mix, named, over_batches, signed
 from .workspace import stored
 
 WIDTH = 4
@@ -314,10 +314,12 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     rows = named(df, key=key, text=F.col(text).cast("binary"))
     points = stored(_points(rows, key_type, width, percent), "points")
     sets = points.where("n > 0 and key is not null")
+    if not sets.groupBy("key").agg(F.min(F.struct("n", "s", "t")).alias("a"), F.max(F.struct("n", "s", "t")).alias("z")).where("a != z").isEmpty():
+        return _of_mixed_keys(rows, key, width, percent, crowded, pivots)
     first = sets.groupBy("n", "s", "t").agg(F.min("key").alias("first"))
     member = points.select("key", "n", "s", "t").join(first, ["n", "s", "t"], "left").select("key", "n", F.when(F.col("key").isNotNull(), F.coalesce("first", "key")).alias("first"))
     # one point for each different set
-    chosen = sets.join(first.select("n", "s", "t", "first"), ["n", "s", "t"]).where("key = first").select("key", "n", "low", "counted").dropDuplicates(["key", "n"])
+    chosen = sets.join(first.select("n", "s", "t", "first"), ["n", "s", "t"]).where("key = first").dropDuplicates(["n", "s", "t"])
     cells = stored(_cells(chosen, percent), "cells")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("docs")).where("docs > 1")
     sized = stored(cells.join(sizes, "cell").join(rows, "key").select("cell", "key", "n", "docs", "text"), "cell-members")
@@ -331,15 +333,27 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     if not parts.where(F.col("docs") > crowded).isEmpty():
         big = divided.join(parts.where(F.col("docs") > crowded).select("cell"), "cell")
         links = links.union(_join_crowded(big, key_type, width, percent, pivots))
-    # one key with several sets is one node
-    several = points.where("key is not null").groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    tied = member.join(several, "key", "left_semi").where("n > 0").select(F.col("key").alias("a"), F.col("first").alias("b"))
-    of = components(links.union(tied))
+    of = components(links)
     named_ = member.join(of, F.col("first") == F.col("node"), "left")
     return named_.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "first")).otherwise(F.col("key")).alias("component_id"))
 
 
+def _of_mixed_keys(rows: DataFrame, key: str, width: int, percent: int, crowded: int, pivots: int) -> DataFrame:
+    """``classes`` where rows of one key have different sets: every row is a node first, then rows of a key are tied."""
+    numbered = stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = stored(classes(numbered, "text", "row", width, percent, crowded, pivots).join(numbered.select("row", "key"), "row"), "rows-of-keys")
+    real = found.where("key is not null and n_shingles > 0")
+    ties = real.select("component_id", F.min("component_id").over(Window.partitionBy("key")).alias("b")).where("component_id != b")
+    of = components(ties.select(F.col("component_id").alias("a"), "b"))
+    placed = found.join(of, F.col("component_id") == F.col("node"), "left").select(
+        "row", "key", "n_shingles", F.coalesce("component", "component_id").alias("group"))
+    least = placed.where("key is not null and n_shingles > 0").groupBy("group").agg(F.min("key").alias("least"))
+    return placed.join(least, "group", "left").select(
+        F.col("key").alias(key), "n_shingles", F.when(F.col("key").isNotNull() & (F.col("n_shingles") > 0), F.col("least")).otherwise(F.col("key")).alias("component_id"))
+
+
 def first_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` whose key names their component: of every group one document, the one with the smallest key."""
-    found = classes(df, text, key, width, percent).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_later")).distinct()
-    return df.join(found, df[key] == F.col("_later"), "left_anti")
+    later = fresh("later", df.columns)
+    found = classes(df, text, key, width, percent).where(F.col(key) != F.col("component_id")).select(F.col(key).alias(later)).distinct()
+    return df.join(found, F.col(key) == F.col(later), "left_anti")

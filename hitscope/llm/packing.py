@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import codec
-from .text import named, over_batches
+from .text import fresh, named, over_batches
 from .workspace import stored
 
 CAPACITY = 2_048
@@ -214,16 +214,17 @@ def pack(df: DataFrame, length: str = "length", capacity: int = CAPACITY, salts:
     table = places(make_plan(histogram, capacity))
     total = sum(histogram.values())
     salts = salts or max(total // 20_000, min(64, total // 500)) or 1
-    salted = base.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in base.columns if base.schema[c].dataType.typeName() != "array"]), F.lit(salts)).cast("int"))
-    groups = salted.groupBy(F.col(length).alias("_length"), F.col("_salt").alias("_group")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1))
-    starts = groups.select("_length", "_group", F.coalesce(before, F.lit(0)).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy(length, "_salt").orderBy(*[c for c in base.columns if base.schema[c].dataType.typeName() != "array"])) - 1
-    ranked = (salted.withColumn("_in", inner)
-              .join(starts, (F.col(length) == F.col("_length")) & (F.col("_salt") == F.col("_group")))
-              .withColumn("_rank", F.col("_in") + F.col("_before")).drop("_in", "_before", "_length", "_group", "_salt"))
+    salt, of, group, count, ahead, within, rank = (fresh(name, base.columns) for name in ("salt", "length", "group", "n", "before", "in", "rank"))
+    salted = base.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in base.columns if base.schema[c].dataType.typeName() != "array"]), F.lit(salts)).cast("int"))
+    groups = salted.groupBy(F.col(length).alias(of), F.col(salt).alias(group)).agg(F.count("*").alias(count))
+    before = F.sum(count).over(Window.partitionBy(of).orderBy(group).rowsBetween(Window.unboundedPreceding, -1))
+    starts = groups.select(of, group, F.coalesce(before, F.lit(0)).alias(ahead))
+    inner = F.row_number().over(Window.partitionBy(length, salt).orderBy(*[c for c in base.columns if base.schema[c].dataType.typeName() != "array"])) - 1
+    ranked = (salted.withColumn(within, inner)
+              .join(starts, (F.col(length) == F.col(of)) & (F.col(salt) == F.col(group)))
+              .withColumn(rank, F.col(within) + F.col(ahead)).drop(within, ahead, of, group, salt))
     shared = spark.sparkContext.broadcast(table)
-    schema = ranked.drop("_rank").schema
+    schema = ranked.drop(rank).schema
     names = schema.fieldNames()
 
     def assign(batches):

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from .text import IS_SPACE, Lines, Texts, Words, blocks, named, over_batches, span_hashes
+from .text import IS_SPACE, Lines, Texts, Words, blocks, give_back, named, over_batches, span_hashes
 
 #: Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -229,6 +229,8 @@ def accepted(df: DataFrame, text: str = "text", rules: LineRules = LineRules())
             cleaned = pa.array(_cleaned(*out["_lines"]), pa.binary()).cast(column.type)
             arrays = [cleaned if f.name == text else batch.column(i) for i, f in enumerate(schema.fields)]
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names).filter(pa.array(out["kept"]))
+            del out, cleaned, arrays, column, batch
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import Texts, Words, blocks, named, over_batches, signed
+from .text import Texts, Words, blocks, fresh, named, over_batches, signed
 from .workspace import stored
 
 LENGTH = 13
@@ -211,7 +211,9 @@ def dedup_passages(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     _, gone, _ = _judged(df, text, key, length, start)
     schema = df.schema
     names = schema.fieldNames()
-    joined = df.join(gone, df[key].eqNullSafe(F.col("gone_key")), "left").select(*[df[c] for c in names], "gone")
+    of, removed_at = fresh("gone_key", names), fresh("gone", names)
+    gone = gone.select(F.col("gone_key").alias(of), F.col("gone").alias(removed_at))
+    joined = df.join(gone, F.col(key).eqNullSafe(F.col(of)), "left").select(*names, removed_at)
 
     def run(batches):
         for batch in blocks(batches):

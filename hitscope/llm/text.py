@@ -9,6 +9,8 @@ operators that compare hashes accept.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,19 +44,29 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _powers = {}
+#: Powers that a worker keeps from one block to the next, 8 bytes each; a longer text has its own table.
+POWERS_KEPT = 1 << 22
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept."""
+    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and, up to a bound, kept."""
     table = _powers.get(base)
     if table is None or len(table) < n:
         table = np.ones(1, np.uint64)
         while len(table) < n:
             table = np.concatenate([table, table * np.uint64(pow(base, len(table), 2**64))])
-        _powers[base] = table
+        if len(table) <= POWERS_KEPT:
+            _powers[base] = table
     return table[:n]
 
 
+def give_back() -> None:
+    """Hands free memory to the system: workers stay between tasks, what they no longer use should not."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = _BYTE_CODES) -> np.ndarray:
     """A hash of each byte span of ``buffer``, from one running sum over the buffer."""
     n = len(buffer)
@@ -150,6 +162,15 @@ def named(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(df[c] if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, made longer until none of ``columns`` is called so, in any case."""
+    taken = {c.lower() for c in columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Bytes of text that are worked on at once.
 BLOCK = 2 << 20
 
@@ -196,7 +217,7 @@ def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
                 del arrays, columns
             del batch
-        pa.default_memory_pool().release_unused()  # workers stay; what they hold should not
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -174,34 +174,49 @@ def test_substrings_on_documents(spark):
     assert Counter(tuple(r) for r in queries.op9_substring_dedup(spark, SF).collect()) == reference_removal([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-def plain_lines(rows, depth=3, min_docs=3, min_fixed=0.5):
+def plain_lines(rows, depth=3, min_docs=3, min_fixed=0.5, min_share=0.1, plain=False):
     """Line templates by dictionaries."""
-    def tokens(line):
-        return tuple("<*>" if re.search("[0-9]", t) else t for t in WORD.findall(line))
-
-    lines = [(i, n, tokens(line)) for i, t in rows if t is not None for n, line in enumerate(t.split("\n")) if tokens(line)]
+    mask = lambda words: tuple("<*>" if re.search("[0-9]", t) else t for t in words)
+    lines = [(i, n, tuple(WORD.findall(line))) for i, t in rows if t is not None for n, line in enumerate(t.split("\n")) if WORD.search(line)]
     leaf = lambda t: (len(t), t[:depth])
     docs = defaultdict(set)
-    for i, _, t in lines:
-        docs[leaf(t)].add(i)
+    for i, _, w in lines:
+        docs[leaf(mask(w))].add(i)
     kinds = defaultdict(set)
-    for i, _, t in lines:
-        if len(docs[leaf(t)]) >= min_docs:
-            kinds[t].add(i)
-    support = Counter()
+    for i, _, w in lines:
+        if len(docs[leaf(mask(w))]) >= min_docs:
+            kinds[mask(w)].add(i)
+    support, groups = Counter(), defaultdict(list)
+
+    def without(t):
+        for k in range(depth, len(t)):
+            others = [j for j, x in enumerate(t) if x != "<*>" and j != k]
+            if any(j >= depth for j in others) and len(others) >= min_fixed * len(t):
+                yield k, (leaf(t), k, t[:k] + t[k + 1:])
+
     for t, ids in kinds.items():
         for k, x in enumerate(t):
             support[leaf(t), k, x] += len(ids)
-    template = {}
+        for _, g in without(t):
+            groups[g].append(len(ids))
+    form = {}
     for t in kinds:
-        g = tuple("<*>" if support[leaf(t), k, x] < min_docs else x for k, x in enumerate(t))
-        template[t] = (leaf(t), g if sum(x != "<*>" for x in g) >= min_fixed * len(g) else t)
+        need = max(min_docs, min_share * len(docs[leaf(t)]))
+        fixed = [x != "<*>" and support[leaf(t), k, x] >= need for k, x in enumerate(t)]
+        if any(fixed[depth:]) and sum(fixed) >= min_fixed * len(t):
+            form[t] = ("share", leaf(t), tuple(x if f else "<*>" for x, f in zip(t, fixed)))
+        else:
+            wide = [(sum(groups[g]), -k, g) for k, g in without(t) if len(groups[g]) > 1 and sum(groups[g]) >= min_docs]
+            if wide:
+                form[t] = ("one", max(wide, key=lambda x: x[:2])[2])
+    template = lambda w: form.get(mask(w)) or ("alone", w if plain else mask(w))
     have = defaultdict(set)
-    for t, ids in kinds.items():
-        have[template[t]] |= ids
+    for i, _, w in lines:
+        if mask(w) in kinds:
+            have[template(w)].add(i)
     gone = defaultdict(set)
-    for i, n, t in lines:
-        if t in kinds and len(have[template[t]]) >= min_docs and i != min(have[template[t]]):
+    for i, n, w in lines:
+        if mask(w) in kinds and len(have[template(w)]) >= min_docs and i != min(have[template(w)]):
             gone[i].add(n)
     return Counter((i, 0 if t is None else t.count("\n") + 1, len(gone[i]), None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])) for i, t in rows)
 
