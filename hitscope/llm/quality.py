@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from .text import IS_SPACE, Lines, Texts, Words, blocks, give_back, named, over_batches, span_hashes
+from .text import IS_SPACE, Lines, Texts, Words, blocks, bounded_batches, give_back, named, over_batches, span_hashes
 
 #: Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -232,7 +232,7 @@ def accepted(df: DataFrame, text: str = "text", rules: LineRules = LineRules())
             del out, cleaned, arrays, column, batch
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def with_char_count(df: DataFrame, text: str = "text", count: str = "n_chars") -> DataFrame:

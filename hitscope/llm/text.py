@@ -219,7 +219,7 @@ def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]]
             del batch
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def remainder(key: str, modulus: int) -> Column:
@@ -227,5 +227,21 @@ def remainder(key: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Bytes of an Arrow batch on its way to Python.
+ARROW_BYTES = 4 << 20
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after a bound on Arrow batches is set for its session where it has none.
+
+    Spark counts rows only, and ten thousand texts may be any number of bytes; both the executor and its Python
+    worker hold a batch several times over.
+    """
+    if df.sparkSession.conf.get(_ARROW_LIMIT, None) is None:
+        df.sparkSession.conf.set(_ARROW_LIMIT, str(ARROW_BYTES))
+    return df
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import over_batches
+from .text import bounded_batches, over_batches
 from .workspace import stored
 
 #: One is this many units.
@@ -177,7 +177,7 @@ def _sums(vectors: DataFrame, books: Codebooks, dims: int) -> DataFrame:
         names = ("slot", "position", "limb", "value")
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names)
 
-    partial = vectors.mapInArrow(run, "slot bigint, position bigint, limb bigint, value bigint")
+    partial = bounded_batches(vectors).mapInArrow(run, "slot bigint, position bigint, limb bigint, value bigint")
     return partial.groupBy("slot", "position", "limb").agg(F.sum("value").alias("value"))
 
 
