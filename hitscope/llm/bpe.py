@@ -24,7 +24,7 @@ from functools import cached_property, lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import named, over_batches
+from .text import named, over_batches, remembers
 
 #: Longest leaf, in characters.  Longer texts are dealt out as several rows.
 LEAF = 16_384
@@ -238,7 +238,9 @@ class Codec:
 
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    made = Codec(path)
+    remembers(made.known.clear)
+    return made
 
 
 def cut(text: bytes, leaf: int = LEAF) -> list[bytes]:
@@ -346,13 +348,13 @@ def _run(df, path, text, key, leaf, schema, form, out):
         yield {"key": batch.column("key"), "copies": batch.column("copies")} | out(rows)
 
     size = F.length("text")
-    here = over_batches(rows.where(F.coalesce(size, F.lit(0)) <= leaf), short, f"key {key_type}, {schema}")
+    here = over_batches(rows.where(F.coalesce(size, F.lit(0)) <= leaf), short, f"key {key_type}, {schema}", keep=True)
     long = rows.where(size > leaf).withColumn("row", F.xxhash64("key", "text"))
-    dealt = over_batches(long, leaves, f"key {key_type}, row bigint, at int, part binary")
+    dealt = over_batches(long, leaves, f"key {key_type}, row bigint, at int, part binary", keep=True)
     # Equal rows of one key have equal leaves: these are encoded once, and the result is given as often as the row was there.
     once = dealt.groupBy("key", "row", "at").agg(F.first("part").alias("part"), F.count("*").alias("copies"))
-    done = over_batches(once, leaf_forms, f"key {key_type}, row bigint, at int, copies bigint, a binary, b binary")
+    done = over_batches(once, leaf_forms, f"key {key_type}, row bigint, at int, copies bigint, a binary, b binary", keep=True)
     gathered = done.groupBy("key", "row").agg(F.collect_list(F.struct("at", "a", "b")).alias("parts"), F.max("copies").alias("copies"))
-    whole = over_batches(gathered, joined, f"key {key_type}, copies bigint, {schema}")
+    whole = over_batches(gathered, joined, f"key {key_type}, copies bigint, {schema}", keep=True)
     again = whole.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("copies")
     return here.unionByName(again).withColumnRenamed("key", key)

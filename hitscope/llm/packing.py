@@ -192,7 +192,7 @@ def pieces(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", ca
             yield out | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {})
 
     rows = named(df, key=key, text=F.col(text).cast("binary"))
-    return over_batches(rows, work, schema).withColumnRenamed("key", key)
+    return over_batches(rows, work, schema, keep=True).withColumnRenamed("key", key)
 
 
 def pack(df: DataFrame, length: str = "length", capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:

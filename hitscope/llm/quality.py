@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from .text import IS_SPACE, Lines, Texts, Words, blocks, bounded_batches, give_back, named, over_batches, span_hashes
+from .text import IS_SPACE, Lines, Texts, Words, blocks, bounded_batches, forget, give_back, named, over_batches, span_hashes
 
 #: Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -223,6 +223,7 @@ def accepted(df: DataFrame, text: str = "text", rules: LineRules = LineRules())
         raise ValueError(f"no column {text}")
 
     def run(batches):
+        forget()
         for batch in blocks(batches):
             column = batch.column(schema.fieldNames().index(text))
             out = judge(column, rules)

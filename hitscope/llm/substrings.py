@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import Texts, Words, blocks, fresh, named, over_batches, signed
+from .text import Texts, Words, blocks, forget, fresh, give_back, named, over_batches, signed
 from .workspace import stored
 
 LENGTH = 13
@@ -216,6 +216,7 @@ def dedup_passages(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     joined = df.join(gone, F.col(key).eqNullSafe(F.col(of)), "left").select(*names, removed_at)
 
     def run(batches):
+        forget()
         for batch in blocks(batches):
             column = batch.column(names.index(text))
             words = Words(Texts(column))
@@ -235,5 +236,7 @@ def dedup_passages(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
                 out.append((b"".join(parts) + raw[at:]).decode())
             arrays = [pa.array(out, column.type) if c == text else batch.column(i) for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+            del arrays, out, words, removed, column, batch
+        give_back()
 
     return joined.mapInArrow(run, schema)

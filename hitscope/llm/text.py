@@ -60,6 +60,20 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return table[:n]
 
 
+_remembered: list[Callable[[], None]] = []
+
+
+def remembers(clear: Callable[[], None]) -> None:
+    """``clear`` empties what this worker remembers for the next task of the same kind."""
+    _remembered.append(clear)
+
+
+def forget() -> None:
+    """What tasks of another kind left in this worker goes, before a task begins."""
+    for clear in _remembered:
+        clear()
+
+
 def give_back() -> None:
     """Hands free memory to the system: workers stay between tasks, what they no longer use should not."""
     pa.default_memory_pool().release_unused()
@@ -205,11 +219,15 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return _ARROW[kind.simpleString()]
 
 
-def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, block: int = BLOCK) -> DataFrame:
-    """``work`` gives the columns of zero or more output batches for each input batch."""
+def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, block: int = BLOCK,
+                 keep: bool = False) -> DataFrame:
+    """``work`` gives the columns of zero or more output batches for each input batch.  With ``keep`` it uses what its
+    worker remembers of earlier tasks; else that is forgotten."""
     target = pa.schema([(f.name, _arrow_type(f.dataType)) for f in T.StructType.fromDDL(schema).fields])
 
     def run(batches):
+        if not keep:
+            forget()
         for batch in blocks(batches, block):
             for columns in work(batch):
                 arrays = [a.cast(f.type) if isinstance(a, pa.Array) else pa.array(a, f.type)

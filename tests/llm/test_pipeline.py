@@ -31,7 +31,7 @@ def texts(df):
 
 def test_registered():
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
-    assert {f"op{n}_" for n in range(1, 11)} == {name[: name.index("_") + 1] for name in entry.queries() if name.startswith("op") and name[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {name[: name.index("_") + 1] for name in entry.queries() if name.startswith("op") and name[2].isdigit()}
 
 
 def test_columns(steps):
