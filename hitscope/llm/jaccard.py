@@ -49,9 +49,9 @@ COUNTED = 4 / 3
 #: A cell with more documents is joined by rounds of pivots.
 CROWDED = 512
 #: Pivots of a crowded cell in its first round, and those that a row is measured against at once.
-PIVOTS = 8
+PIVOTS = 32
 #: By how much each round has more pivots.
-GROWTH = 4
+GROWTH = 8
 #: Bytes of pivots' sets that may be sent to every task.
 SENT = 64 << 20
 
@@ -112,7 +112,8 @@ def _points(rows: DataFrame, key_type: str, width: int, percent: int) -> DataFra
 
 def _cells(points: DataFrame, percent: int) -> DataFrame:
     """(cell, key, n): the documents of every cell, with the sizes of their sets."""
-    spread = points.select("key", F.explode("counted").alias("h"))
+    # dealt out once, for the count and for what is joined with it
+    spread = points.select("key", F.explode("counted").alias("h")).repartition("h")
     regions = spread.groupBy("h").agg(F.count("*").alias("docs"), F.min("key").alias("cell")).where("docs > 1")
     is_low = (F.col("h") >= 0) & (F.col("h") < F.lit(_counted(percent)))
     shared = spread.join(regions, "h").groupBy("key").agg(
@@ -211,13 +212,29 @@ def _join_cells(members: DataFrame, key_type: str, width: int, percent: int) ->
     return together.mapInArrow(run, f"a {key_type}, b {key_type}")
 
 
-def _linked(own: np.ndarray, other: np.ndarray, percent: int) -> bool:
-    m, n = len(other), len(own)
-    if 100 * min(m, n) < percent * max(m, n):
-        return False
-    at = np.minimum(np.searchsorted(other, own), m - 1)
-    common = int((other[at] == own).sum())
-    return 100 * common >= percent * (m + n - common)
+class _Pivots:
+    """Some pivots of a cell, by their hashes: of a run of sets, how many hashes each has in common with each pivot."""
+
+    def __init__(self, keys: list, sets: list[bytes]):
+        self.keys = keys
+        self.sizes = np.array([len(s) // 8 for s in sets])
+        every = np.frombuffer(b"".join(sets), np.uint64)
+        self.hashes, at = np.unique(every, return_inverse=True)
+        self.holds = np.zeros((len(self.hashes), len(sets)), np.uint8)
+        self.holds[at, np.repeat(np.arange(len(sets)), self.sizes)] = 1
+
+    def linked(self, sets: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of sets, numbers of pivots): the linked ones."""
+        n = np.array([len(s) // 8 for s in sets])
+        every = np.frombuffer(b"".join(sets), np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, every), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == every)
+        common = np.zeros((len(sets), len(self.keys)), np.int64)
+        if len(hit):
+            owner = np.repeat(np.arange(len(sets)), n)[hit]
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            common[owner[first]] = np.add.reduceat(self.holds[at[hit]], first, axis=0, dtype=np.int64)
+        return np.nonzero((100 * common >= percent * (n[:, None] + self.sizes - common)) & (common > 0))
 
 
 def _measure(members: DataFrame, pivots: DataFrame, key_type: str, percent: int) -> DataFrame:
@@ -228,36 +245,45 @@ def _measure(members: DataFrame, pivots: DataFrame, key_type: str, percent: int)
     """
     schema = f"cell string, a {key_type}, b {key_type}"
 
-    def columns(batch, found):
-        return {"cell": pa.array([x[0] for x in found], batch.column("cell").type), "a": pa.array([x[1] for x in found], batch.column("key").type),
-                "b": pa.array([x[2] for x in found], batch.column("key").type)}
-
-    def rows(batch):
-        return zip(*[batch.column(name).to_pylist() for name in ("cell", "key", "set")])
+    def found(batch, groups, blocks_of):
+        """Links of a batch whose rows ``groups`` puts together, against the blocks of pivots of each group."""
+        keys, sets = batch.column("key").to_pylist(), batch.column("set").to_pylist()
+        rows_of: dict = {}
+        for i, g in enumerate(groups):
+            rows_of.setdefault(g, []).append(i)
+        out = []
+        for g, rows in rows_of.items():
+            cell = g if isinstance(g, str) else g[0]
+            for block in blocks_of(g, rows[0]):
+                for i, j in zip(*(x.tolist() for x in block.linked([sets[i] for i in rows], percent))):
+                    if keys[rows[i]] != block.keys[j]:
+                        out.append((cell, keys[rows[i]], block.keys[j]))
+        yield {"cell": pa.array([x[0] for x in out], batch.column("cell").type), "a": pa.array([x[1] for x in out], batch.column("key").type),
+               "b": pa.array([x[2] for x in out], batch.column("key").type)}
 
     if (pivots.agg(F.sum(F.length("set"))).first()[0] or 0) <= SENT:
-        by_cell: dict = {}
-        for r in pivots.select("cell", "key", "set").collect():
-            by_cell.setdefault(r["cell"], []).append((r["key"], np.frombuffer(bytes(r["set"]), np.uint64)))
-        shared = members.sparkSession.sparkContext.broadcast(by_cell)
+        by_block: dict = {}
+        for r in pivots.select("cell", "block", "key", "set").collect():
+            by_block.setdefault(r["cell"], {}).setdefault(r["block"], []).append((r["key"], bytes(r["set"])))
+        shared = members.sparkSession.sparkContext.broadcast(by_block)
+        made: dict = {}  # in each task, for the cells that it meets
 
-        def work(batch):
-            found = []
-            for c, k, s in rows(batch):
-                own = np.frombuffer(s, np.uint64)
-                found += [(c, k, p) for p, other in shared.value.get(c, ()) if p != k and _linked(own, other, percent)]
-            yield columns(batch, found)
+        def blocks_of(cell, _):
+            if cell not in made:
+                made.clear()
+                made[cell] = [_Pivots([k for k, _ in block], [s for _, s in block]) for block in shared.value.get(cell, {}).values()]
+            return made[cell]
 
-        return over_batches(members, work, schema)
+        return over_batches(members, lambda batch: found(batch, batch.column("cell").to_pylist(), blocks_of), schema)
 
     def joined(batch):
-        found = []
-        for (c, k, s), block in zip(rows(batch), batch.column("pivots").to_pylist()):
-            own = np.frombuffer(s, np.uint64)
-            found += [(c, k, p["key"]) for p in block if p["key"] != k and _linked(own, np.frombuffer(p["set"], np.uint64), percent)]
-        yield columns(batch, found)
+        def block_of(_, row):
+            block = batch.column("pivots")[row].as_py()
+            return [_Pivots([p["key"] for p in block], [p["set"] for p in block])]
+
+        yield from found(batch, list(zip(batch.column("cell").to_pylist(), batch.column("block").to_pylist())), block_of)
 
-    blocks = pivots.groupBy("cell", "block").agg(F.collect_list(F.struct("key", "set")).alias("pivots")).drop("block")
+    blocks = pivots.groupBy("cell", "block").agg(F.collect_list(F.struct("key", "set")).alias("pivots"))
     return over_batches(members.join(blocks, "cell"), joined, schema)
 
 
@@ -269,37 +295,37 @@ def _join_crowded(members: DataFrame, key_type: str, width: int, percent: int, p
 
     members = stored(over_batches(members, sets, f"cell string, key {key_type}, set binary"), "members")
     # main: connected with the largest group found so far; done: measured against the whole cell
-    state = stored(members.select("cell", "key", F.lit(False).alias("main"), F.lit(False).alias("done")).distinct(), "state")
-    links, first = None, True
+    state = members.select("cell", "key", F.lit(False).alias("main"), F.lit(False).alias("done")).distinct()
+    links = None
     while True:
         rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("key"), "key"))
-        chosen = stored(state.where("not main and not done").select("cell", "key").withColumn("rank", rank).where(F.col("rank") <= pivots), "pivots")
+        ranked = state.where("not main and not done").select("cell", "key").withColumn("rank", rank).where(F.col("rank") <= pivots)
+        chosen = stored(ranked.join(members, ["cell", "key"]).withColumn("block", F.floor((F.col("rank") - 1) / PIVOTS)).drop("rank").distinct(), "pivot-sets")
         if chosen.isEmpty():
             return links.select("a", "b")
-        sets_of = chosen.join(members, ["cell", "key"]).withColumn("block", F.floor((F.col("rank") - 1) / PIVOTS)).drop("rank").distinct()
-        new = _measure(members, stored(sets_of, "pivot-sets"), key_type, percent)
-        links = stored(new if links is None else links.unionByName(new), "links")
-        state = _settled(state, links, chosen, first)
-        first = False
+        new = stored(_measure(members, chosen, key_type, percent), "links")
+        links = new if links is None else links.unionByName(new)
+        state = _settled(state, links, chosen)
         pivots *= GROWTH
 
 
-def _settled(state: DataFrame, links: DataFrame, chosen: DataFrame, first: bool) -> DataFrame:
-    """The state after a round: whatever is linked to a pivot that is linked to the main group joins it.
+def _settled(state: DataFrame, links: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The state after a round: whatever is linked to a pivot that is connected with the main group joins it.
 
-    In the first round the pivot with most links begins each cell's group.
-    What is connected in more steps than one stays open for a later round.
+    In a cell without a main group the pivot with most links begins one.  A
+    round follows links from the group to pivots, from these to their members,
+    and once more; what is connected in more steps stays open for a later round.
     """
-    inside = state.where("main").select("cell", F.col("key").alias("a"), "main")
-    pivots = links.join(inside, ["cell", "a"], "left").groupBy("cell", "b").agg(F.count("*").alias("n"), F.bool_or(F.coalesce("main", F.lit(False))).alias("touched"))
-    if first:
-        touched = pivots.groupBy("cell").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    else:  # a pivot may itself be of the group
-        own = state.where("main and done").select("cell", F.col("key").alias("b"))
-        touched = pivots.where("touched").select("cell", "b").union(own)
-    joined = links.join(touched.distinct() if not first else touched, ["cell", "b"]).select("cell", "a", "b")
-    said = state.union(joined.select("cell", F.explode(F.array("a", "b")).alias("key"), F.lit(True), F.lit(False)))
-    said = said.union(chosen.select("cell", "key", F.lit(False), F.lit(True)))
+    main = state.where("main")
+    pivots = links.join(main.select("cell", F.col("key").alias("a"), F.lit(True).alias("near")), ["cell", "a"], "left")
+    pivots = pivots.groupBy("cell", "b").agg(F.count("*").alias("n"), F.bool_or(F.coalesce("near", F.lit(False))).alias("near"))
+    begin = pivots.join(main.select("cell").distinct(), "cell", "left_anti").groupBy("cell").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    # a pivot may itself be of the group
+    near = pivots.where("near").select("cell", "b").union(main.where("done").select("cell", "key")).union(begin.select("cell", "b")).distinct()
+    reached = links.join(near, ["cell", "b"]).select("cell", "a").distinct()
+    near = near.union(links.join(reached, ["cell", "a"]).select("cell", "b")).distinct()
+    joined = links.join(near, ["cell", "b"]).select("cell", F.explode(F.array("a", "b")).alias("key"), F.lit(True), F.lit(False))
+    said = state.union(joined).union(chosen.select("cell", "key", F.lit(False), F.lit(True)))
     return stored(said.groupBy("cell", "key").agg(F.bool_or("main").alias("main"), F.bool_or("done").alias("done")), "state")
 
 

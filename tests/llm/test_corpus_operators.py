@@ -96,6 +96,22 @@ def test_jaccard_odd_keys(spark):
     assert sorted(r["doc_id"] for r in jaccard.first_of_each(df.where("doc_id is not null")).collect()) == [4, 4]
 
 
+def test_crowded_cell_of_few_links(spark, monkeypatch):
+    """A cell in which the first pivots have no link: the group that a later pivot finds is settled all the same."""
+    rng = np.random.default_rng(11)
+    rare = " ".join(f"r{i}" for i in range(40))  # more words in common than a window skips, too few for a link
+    texts = [f"{rare} " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 60)) for _ in range(80)]
+    group = texts[7]
+    near = [f"{group} tail{i}" for i in range(20)]
+    measured = []
+    settled = jaccard._settled
+    monkeypatch.setattr(jaccard, "_settled", lambda state, links, chosen: measured.append(chosen.count()) or settled(state, links, chosen))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + near)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.classes(df, crowded=16, pivots=2).collect()}
+    assert got == {(i, i) for i in range(80)} | {(i, 7) for i in range(80, 100)}
+    assert measured  # the cell was joined by rounds
+
+
 def test_links_within_connects_as_all_links():
     rng = np.random.default_rng(4)
     for _ in range(60):
