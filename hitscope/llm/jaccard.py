@@ -34,6 +34,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -52,6 +53,8 @@ CROWDED = 512
 PIVOTS = 32
 #: By how much each round has more pivots.
 GROWTH = 8
+#: Bits of the filter that says which texts the cells ask for (8 MB).
+BITS = 1 << 26
 #: Bytes of pivots' sets that may be sent to every task.
 SENT = 64 << 20
 
@@ -112,11 +115,12 @@ def _points(rows: DataFrame, key_type: str, width: int, percent: int) -> DataFra
 
 def _cells(points: DataFrame, percent: int) -> DataFrame:
     """(cell, key, n): the documents of every cell, with the sizes of their sets."""
-    # dealt out once, for the count and for what is joined with it
-    spread = points.select("key", F.explode("counted").alias("h")).repartition("h")
-    regions = spread.groupBy("h").agg(F.count("*").alias("docs"), F.min("key").alias("cell")).where("docs > 1")
+    # dealt out once: the documents of an n-gram are counted where its rows are
+    spread = points.select("key", F.explode("counted").alias("h"))
+    region = Window.partitionBy("h")
+    met = spread.select("key", "h", F.count("*").over(region).alias("docs"), F.min("key").over(region).alias("cell")).where("docs > 1")
     is_low = (F.col("h") >= 0) & (F.col("h") < F.lit(_counted(percent)))
-    shared = spread.join(regions, "h").groupBy("key").agg(
+    shared = met.groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct((~is_low).alias("high"), "docs", "h", "cell"))).alias("shared"), F.sum(is_low.cast("bigint")).alias("shared_low"))
     exact = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
     alone = F.col("low") - F.col("shared_low")  # these come before all shared ones
@@ -125,6 +129,27 @@ def _cells(points: DataFrame, percent: int) -> DataFrame:
     return found.select("key", "n", F.explode(F.slice("shared", F.lit(1), F.col("reach"))).alias("p")).select(F.col("p.cell").cast("string").alias("cell"), "key", "n").distinct()
 
 
+def _asked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (key, text), without most of those whose key is not in ``keys``, so that their texts are not dealt out for a join.
+
+    A bit for each of BITS hash values, at most BITS / 8 bytes whatever the input; where keys fill it, it keeps all rows.
+    """
+    def place(key):
+        return F.pmod(F.xxhash64(key), F.lit(BITS))
+
+    held = keys.select(place("key").alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    words, filled = np.zeros(BITS // 64, np.int64), held.toPandas()
+    words[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def is_held(bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return rows.where("key is not null").where(is_held(place("key")))
+
+
 class _Union:
     def __init__(self, n: int):
         self.parent = list(range(n))
@@ -345,10 +370,11 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     first = sets.groupBy("n", "s", "t").agg(F.min("key").alias("first"))
     member = points.select("key", "n", "s", "t").join(first, ["n", "s", "t"], "left").select("key", "n", F.when(F.col("key").isNotNull(), F.coalesce("first", "key")).alias("first"))
     # one point for each different set
-    chosen = sets.join(first.select("n", "s", "t", "first"), ["n", "s", "t"]).where("key = first").dropDuplicates(["n", "s", "t"])
+    chosen = sets.groupBy("n", "s", "t").agg(F.min("key").alias("key"), F.any_value("low").alias("low"), F.any_value("counted").alias("counted"))
     cells = stored(_cells(chosen, percent), "cells")
     sizes = cells.groupBy("cell").agg(F.count("*").alias("docs")).where("docs > 1")
-    sized = stored(cells.join(sizes, "cell").join(rows, "key").select("cell", "key", "n", "docs", "text"), "cell-members")
+    wanted = stored(cells.join(sizes, "cell"), "wanted")
+    sized = stored(wanted.join(_asked(rows, wanted.select("key")), "key").select("cell", "key", "n", "docs", "text"), "cell-members")
     links = _join_cells(sized.where(F.col("docs") <= crowded).select("cell", "key", "text"), key_type, width, percent)
     step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0
     size_class = F.floor(F.ln("n") / step)
