@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from hitscope.operators import filters as f, timeline as tl, traffic as t
 from hitscope.operators.security import threat_events
 from hitscope.plans import networks
+from hitscope.plans.daily import ADDRESS_ERROR, RANK_ERROR, DailyTables
+from hitscope.plans.workspace import shared_folder
 
 from .base import ERRORS, add, add_raw, is_bot_sql, r, text
 from .security import EVENTS, FLAGS
@@ -232,3 +234,39 @@ add("traffic_patterns", tl.traffic_patterns, f"""WITH h AS (SELECT hour(ts) AS h
     {r("(SELECT avg(n) FILTER (dayofweek(day) IN (0, 6)) / avg(n) FILTER (dayofweek(day) NOT IN (0, 6)) FROM d)")} AS weekend_weekday_ratio,
     {r("(SELECT sum(n) / (epoch(max(second)) - epoch(min(second)) + 1) FROM s)")} AS avg_rps,
     (SELECT max(n) FROM s) AS peak_rps""")
+
+# Rows kept by day -------------------------------------------------------------
+_RANKS = {"median_response_time": 0.5, "p95_response_time": 0.95, "p99_response_time": 0.99}
+_FIRST, _LAST = dt.date(2024, 1, 3), dt.date(2024, 1, 24)
+_IN_DAYS = f"ts::DATE BETWEEN DATE '{_FIRST}' AND DATE '{_LAST}'"
+_RANKS_SQL = ", ".join(f"{r(f'quantile_cont(response_time, {q})')} AS {name}" for name, q in _RANKS.items())
+
+
+def _daily(df, **keys):
+    """The tables by day, odd days after even ones."""
+    tables = DailyTables(shared_folder(df.sparkSession, "daily"), keys)
+    for k in range(2):
+        tables.add(df.where(F.dayofmonth("ts") % 2 == k))
+    return tables
+
+
+def _estimates(df):
+    """Sketches judged by the log: whether addresses and ranks are within the errors they state."""
+    known = df.groupBy("handler").agg(F.countDistinct("ip").alias("known"))
+    guessed = _daily(df, handler="string").estimates(df.sparkSession, _RANKS)
+    judged = df.select("handler", "response_time").join(guessed, "handler").groupBy("handler").agg(
+        F.first("requests").alias("requests"), F.first("unique_ips").alias("unique_ips"),
+        F.greatest(*[F.greatest(F.count(F.when(F.col("response_time") < F.col(p), 1)) - q * F.count("*"),
+                                q * F.count("*") - F.count(F.when(F.col("response_time") <= F.col(p), 1))) / F.count("*") for p, q in _RANKS.items()]).alias("off"))
+    return judged.join(known, "handler").select("handler", "requests", (F.abs(F.col("unique_ips") - F.col("known")) <= 4 * ADDRESS_ERROR * F.col("known") + 1).alias("addresses_within"),
+                                                (F.col("off") * F.col("requests") <= 2 * RANK_ERROR * F.col("requests") + 1).alias("ranks_within"))
+
+
+add("unique_ips_by_day", lambda df: _daily(df, country="string").unique_ips(df.sparkSession, _FIRST, _LAST),
+    f"SELECT country, count(DISTINCT ip) AS unique_ips FROM hits WHERE {_IN_DAYS} GROUP BY country")
+add("response_percentiles_by_day", lambda df: _daily(df).percentiles(df.sparkSession, _RANKS),
+    f"SELECT {_RANKS_SQL} FROM hits")
+add("handler_percentiles_by_day", lambda df: _daily(df, handler="string").percentiles(df.sparkSession, _RANKS, _FIRST, _LAST),
+    f"SELECT handler, {_RANKS_SQL} FROM hits WHERE {_IN_DAYS} GROUP BY handler")
+add("daily_estimates", _estimates,
+    "SELECT handler, count(*) AS requests, true AS addresses_within, true AS ranks_within FROM hits GROUP BY handler")
