@@ -12,9 +12,10 @@ from hitscope.functions.user_agents import bot_category, is_ai_bot, legitimacy_s
 from hitscope.operators import anomaly as an, api_usage as api, bots as b, commerce as shop, content as ct, geo, performance as pf
 from hitscope.operators import timeline as tl, traffic as t
 from hitscope.operators.security import threat_events
+from hitscope.plans.workspace import shared_folder
 from hitscope.sinks import files as out
 
-from .base import ERRORS, add, contains_any_sql, is_bot_sql, r, text
+from .base import ERRORS, ORACLES, add, contains_any_sql, is_bot_sql, r, text
 from .security import EVENTS, FLAGS
 from .traffic import COUNTRIES, PATHS, _timeline_sql, HOUR
 
@@ -284,3 +285,49 @@ add("text_report", out.report_lines, f"""WITH {_TOTALS} {_HEAD} UNION ALL {_TITL
       SELECT *, row_number() OVER (ORDER BY count DESC, country) AS k FROM ({COUNTRIES})) WHERE k <= 10
     UNION ALL SELECT 4, (row_number() OVER (ORDER BY c DESC, status::VARCHAR) + 1)::INTEGER, printf('%d: %d (%.1f%%)', status, c, c * 100.0 / (SELECT n FROM totals))
       FROM (SELECT status, count(*) AS c FROM hits GROUP BY status)""")
+
+# Report documents: written, read again, one row for each value --------------------------------------
+_DOCUMENT_NAMES = {"handler_stats": "handler", "slowest_endpoints": "path", "recommendations": "type"}
+
+
+def _document_rows(df, reports):
+    folder = shared_folder(df.sparkSession, "documents")
+    out.write_reports(reports, folder)
+
+    def rows(part, frame):
+        name = _DOCUMENT_NAMES.get(part)
+
+        def entry(column, kind):
+            shown = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSS") if kind.startswith("timestamp") else F.col(column)
+            is_text = kind.startswith(("timestamp", "string"))
+            return F.struct(F.lit(column).alias("metric"), (F.lit(None) if is_text else F.col(column)).cast("double").alias("value"),
+                            (shown if is_text else F.lit(None)).cast("string").alias("text"))
+
+        read = df.sparkSession.read.schema(frame.schema).json(f"{folder}/{part}")
+        entries = F.explode(F.array(*[entry(c, kind) for c, kind in frame.dtypes if c != name]))
+        return read.select(F.lit(part).alias("part"), (F.col(name) if name else F.lit("")).alias("name"), entries.alias("e")).select("part", "name", "e.*")
+
+    return reduce(lambda a, b: a.unionByName(b), [rows(part, frame) for part, frame in reports.items()])
+
+
+def _document_sql(parts):
+    """``parts``: part -> (SQL of its rows, columns of numbers, of texts, of times)."""
+    def rows(part, sql, numbers, texts, times):
+        name = _DOCUMENT_NAMES.get(part, "''")
+        shown = [(c, f"{c}::DOUBLE", "NULL::VARCHAR") for c in numbers.split()] + [(c, "NULL::DOUBLE", c) for c in texts.split()] \
+            + [(c, "NULL::DOUBLE", f"strftime({c}, '%Y-%m-%d %H:%M:%S.%g')") for c in times.split()]
+        return " UNION ALL ".join(f"SELECT {text(part)} AS part, {name} AS name, {text(c)} AS metric, {v} AS value, {t} AS text FROM {part}_rows" for c, v, t in shown)
+
+    return "WITH " + ", ".join(f"{part}_rows AS ({sql})" for part, (sql, *_) in parts.items()) + " " + " UNION ALL ".join(
+        rows(part, *columns) for part, columns in parts.items())
+
+
+_EACH = "count avg_response_time error_count error_rate p95_response_time"
+add("performance_documents", lambda df: _document_rows(df, pf.performance_report(df)), _document_sql({
+    "response_time_stats": (ORACLES["response_time_stats"], "total mean min max stddev median p50 p75 p90 p95 p99", "", ""),
+    "handler_stats": (ORACLES["handler_stats"], _EACH + " bytes", "", ""),
+    "slowest_endpoints": (ORACLES["slowest_endpoints"], _EACH, "", ""),
+    "recommendations": (_ADVICE.replace("{limit}", "1.0"), "", "priority description impact action", "")}))
+add("summary_document", lambda df: _document_rows(df, {"summary": t.traffic_summary(df)}), _document_sql({
+    "summary": (ORACLES["traffic_summary"], "total_requests unique_ips unique_countries total_bytes avg_response_time median_response_time p95_response_time "
+                "p99_response_time bot_traffic human_traffic total_errors error_rate", "", "start_time end_time")}))
