@@ -12,6 +12,7 @@ from hitscope.functions.user_agents import bot_category, is_ai_bot, legitimacy_s
 from hitscope.operators import anomaly as an, api_usage as api, bots as b, commerce as shop, content as ct, geo, performance as pf
 from hitscope.operators import timeline as tl, traffic as t
 from hitscope.operators.security import threat_events
+from hitscope.plans.reports import bot_report
 from hitscope.plans.workspace import shared_folder
 from hitscope.sinks import files as out
 
@@ -331,3 +332,11 @@ add("performance_documents", lambda df: _document_rows(df, pf.performance_report
 add("summary_document", lambda df: _document_rows(df, {"summary": t.traffic_summary(df)}), _document_sql({
     "summary": (ORACLES["traffic_summary"], "total_requests unique_ips unique_countries total_bytes avg_response_time median_response_time p95_response_time "
                 "p99_response_time bot_traffic human_traffic total_errors error_rate", "", "start_time end_time")}))
+_BOT = "count bytes unique_paths avg_interval legitimacy_score is_ai_bot"
+_DOCUMENT_NAMES.update({"categories": "category", "top_bots": "user_agent", "ai_bots": "user_agent", "behavior": "user_agent"})
+add("bot_documents", lambda df: _document_rows(df, bot_report(df, b.bot_profile(df))), _document_sql({
+    "summary": (ORACLES["bot_summary"], "total_bot_requests unique_bots bot_traffic_pct", "", ""),
+    "categories": (ORACLES["bot_category_shares"], "unique_bots requests percentage", "", ""),
+    "top_bots": (ORACLES["bot_stats"] + " ORDER BY count DESC, user_agent LIMIT 10", _BOT, "category", ""),
+    "ai_bots": (ORACLES["ai_bots"], _BOT, "category", ""),
+    "behavior": (ORACLES["bot_behavior"], "request_count unique_paths requests_per_second", "category behavior_type", "")}))

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["traffic_summary", "top_ips", "ip_profile", "ip_profile_chunked", "parse_mixed", "security_timeline", "handler_stats",
           "category_stats", "detect_anomalies", "bot_behavior", "filter_many_networks", "geo_summary", "text_report",
-          "unique_ips_by_day", "response_percentiles_by_day", "handler_percentiles_by_day", "daily_estimates", "performance_documents", "summary_document"]
+          "unique_ips_by_day", "response_percentiles_by_day", "handler_percentiles_by_day", "daily_estimates", "performance_documents", "summary_document", "bot_documents"]
 
 
 @pytest.fixture(scope="module")
