@@ -19,7 +19,8 @@ from __future__ import annotations
 import array
 import json
 import re
-from functools import cached_property, lru_cache
+from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -33,6 +34,8 @@ FIRST_WINDOW = 8
 #: Words, and pieces of words, whose ids a Python worker remembers in each of two generations.
 REMEMBERED = 100_000
 PIECES_REMEMBERED = 75_000
+#: Ids that are spelled out at once.
+SPELLED = 65_536
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -93,6 +96,12 @@ class Codec:
         self.split = self._plain_split(spec)
         self.known: dict[str, Remembered] = {}
 
+    @cached_property
+    def spelled(self) -> tuple[list[bytes], list[bytes]]:
+        """By id: the id in decimal, and the token."""
+        numbers = range(max(self.tokens, default=-1) + 1)
+        return [b"%d" % i for i in numbers], [self.tokens.get(i, "").encode() for i in numbers]
+
     @cached_property
     def inner(self):
         """The same model for parts that don't end a word; only long unsplit text needs it."""
@@ -123,21 +132,16 @@ class Codec:
             return self.tree(word)
         return self.whole.encode(word, add_special_tokens=False).ids
 
-    def remembered(self, form: str) -> Remembered:
-        """Forms of words by their bytes: "raw" (little-endian ids) or "text" (ids as text, and tokens)."""
-        if form not in self.known:
+    def remembered(self) -> Remembered:
+        """Ids of words by their bytes, as little-endian numbers."""
+        if "raw" not in self.known:
             self.model = self.whole.model
-            tokens, split = self.tokens, self.split
-            if form == "raw":
-                def shape(ids):
-                    return array.array("I", ids).tobytes()
-                glue = b"".join
-            else:
-                def shape(ids):
-                    return " ".join(map(str, ids)).encode(), " ".join([tokens[i] for i in ids]).encode()
-
-                def glue(parts):
-                    return b" ".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
+            split = self.split
+
+            def shape(ids):
+                return array.array("I", ids).tobytes()
+
+            glue = b"".join
             model, symbols = self.model, self.symbols
 
             def of_mapped(piece: str):
@@ -164,22 +168,22 @@ class Codec:
                     parts = [of_piece[p] for p in split(low)]
                 return glue(parts)
 
-            self.known[form] = Remembered(of_word, REMEMBERED)
-        return self.known[form]
+            self.known["raw"] = Remembered(of_word, REMEMBERED)
+        return self.known["raw"]
 
     def raw(self, text: bytes) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
-        known = self.remembered("raw")
+        known = self.remembered()
         return b"".join([known[w] for w in text.split()])
 
-    def texts(self, text: bytes) -> tuple[bytes, bytes]:
-        """The text's ids and its tokens, each joined by a space."""
-        known = self.remembered("text")
-        parts = [known[w] for w in text.split()]
-        ids, tokens = [p[0] for p in parts], [p[1] for p in parts]
-        if b"" in ids:  # a word of white space outside ASCII
-            ids, tokens = [x for x in ids if x], [x for x in tokens if x]
-        return b" ".join(ids), b" ".join(tokens)
+    def spell(self, raw: bytes) -> Iterator[tuple[bytes, bytes]]:
+        """The ids as text and their tokens, each joined by a space, in stretches that together give the whole."""
+        numbers, tokens = self.spelled
+        gap = b""
+        for at in range(0, len(raw), 4 * SPELLED):
+            ids = array.array("I", raw[at: at + 4 * SPELLED])
+            yield gap + b" ".join([numbers[i] for i in ids]), gap + b" ".join([tokens[i] for i in ids])
+            gap = b" "
 
     # one long word ----------------------------------------------------------------------------
 
@@ -236,11 +240,22 @@ class Codec:
         return [self.ids[t] for kind, s in self.pieces(word) for t in ([s] if kind == "special" else self.tree_tokens(s, True))]
 
 
-@lru_cache(maxsize=4)
+_codecs: dict[str, Codec] = {}
+
+
 def codec(path: str) -> Codec:
-    made = Codec(path)
-    remembers(made.known.clear)
-    return made
+    if path not in _codecs:
+        _codecs[path] = Codec(path)
+    return _codecs[path]
+
+
+def _forget_codecs() -> None:
+    for made in _codecs.values():
+        made.known.clear()  # its words refer to the codec, which would outlive this otherwise
+    _codecs.clear()
+
+
+remembers(_forget_codecs)
 
 
 def cut(text: bytes, leaf: int = LEAF) -> list[bytes]:
@@ -275,12 +290,12 @@ def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", le
     encoded where they are; the parts of longer ones are dealt over all tasks
     and gathered again, so only those are shuffled.
     """
-    return _run(df, path, text, key, leaf, "n_tokens bigint, ids array<int>", "raw", _ids_out)
+    return _run(df, path, text, key, leaf, "n_tokens bigint, ids array<int>", _ids_out)
 
 
 def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", leaf: int = LEAF) -> DataFrame:
     """Per row the key, ``n_tokens``, ``ids_sha256`` (of the decimal ids, joined by a space) and ``decoded_sha256`` (of ``decode``'s text)."""
-    return _run(df, path, text, key, leaf, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", "texts", _digests_out)
+    return _run(df, path, text, key, leaf, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digests_out)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -294,38 +309,42 @@ def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> D
     return over_batches(named(df, key=key, ids=ids), work, f"key {key_type}, text string").withColumnRenamed("key", key)
 
 
-def _ids_out(rows):
+def _ids_out(c, rows):
     import numpy as np
 
     values = [np.frombuffer(r, "<u4").astype(np.int32) for r in rows]
     return {"n_tokens": [len(v) for v in values], "ids": pa.array(values, pa.list_(pa.int32()))}
 
 
-def _digests_out(rows):
+def _digests_out(c, rows):
     import hashlib
 
-    def sha(x):
-        return hashlib.sha256(x).hexdigest()
-
-    return {"n_tokens": [r[0].count(b" ") + 1 if r[0] else 0 for r in rows], "ids_sha256": [sha(r[0]) for r in rows], "decoded_sha256": [sha(r[1]) for r in rows]}
+    ids_sha, decoded_sha = [], []
+    for raw in rows:
+        ids, decoded = hashlib.sha256(), hashlib.sha256()
+        for numbers, tokens in c.spell(raw):
+            ids.update(numbers)
+            decoded.update(tokens)
+        ids_sha.append(ids.hexdigest())
+        decoded_sha.append(decoded.hexdigest())
+    return {"n_tokens": [len(r) // 4 for r in rows], "ids_sha256": ids_sha, "decoded_sha256": decoded_sha}
 
 
-def _run(df, path, text, key, leaf, schema, form, out):
-    """Short texts in one pass; long ones as leaves, gathered by a row number of their own."""
+def _run(df, path, text, key, leaf, schema, out):
+    """Short texts in one pass; long ones as leaves, gathered by a row number of their own.  Only ids travel; ``out`` spells them where they end."""
     key_type = df.schema[key].dataType.simpleString()
     rows = named(df, key=key, text=F.col(text).cast("binary"))
-    glue = b"" if form == "raw" else b" "
 
     def encoded(c: Codec, part: bytes):
         c.leaf = leaf
-        return getattr(c, form)(part)
+        return c.raw(part)
 
     def short(batch):
         c = codec(path)
         texts = batch.column("text").to_pylist()
         for at in range(0, len(texts), 512):
             part = slice(at, at + 512)
-            yield {"key": batch.column("key").slice(at, 512)} | out([encoded(c, t or b"") for t in texts[part]])
+            yield {"key": batch.column("key").slice(at, 512)} | out(c, [encoded(c, t or b"") for t in texts[part]])
 
     def leaves(batch):
         for k, t, row in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("row").to_pylist()):
@@ -334,18 +353,14 @@ def _run(df, path, text, key, leaf, schema, form, out):
 
     def leaf_forms(batch):
         c = codec(path)
-        got = [encoded(c, p) for p in batch.column("part").to_pylist()]
-        got = [(g, b"") for g in got] if form == "raw" else got
         yield {name: batch.column(name) for name in ("key", "row", "at", "copies")} | {
-               "a": [g[0] for g in got], "b": [g[1] for g in got]}
+               "ids": [encoded(c, p.as_py()) for p in batch.column("part")]}
 
     def joined(batch):
-        rows = []
-        for parts in batch.column("parts").to_pylist():
-            parts = sorted(parts, key=lambda p: p["at"])
-            pair = tuple(glue.join([p[x] for p in parts if p[x]]) for x in ("a", "b"))
-            rows.append(pair[0] if form == "raw" else pair)
-        yield {"key": batch.column("key"), "copies": batch.column("copies")} | out(rows)
+        whole = (b"".join([p["ids"] for p in sorted(parts.as_py(), key=lambda p: p["at"])]) for parts in batch.column("parts"))
+        for at in range(0, batch.num_rows, 64):
+            rows = [x for _, x in zip(range(min(64, batch.num_rows - at)), whole)]
+            yield {name: batch.column(name).slice(at, 64) for name in ("key", "copies")} | out(codec(path), rows)
 
     size = F.length("text")
     here = over_batches(rows.where(F.coalesce(size, F.lit(0)) <= leaf), short, f"key {key_type}, {schema}", keep=True)
@@ -353,8 +368,8 @@ def _run(df, path, text, key, leaf, schema, form, out):
     dealt = over_batches(long, leaves, f"key {key_type}, row bigint, at int, part binary", keep=True)
     # Equal rows of one key have equal leaves: these are encoded once, and the result is given as often as the row was there.
     once = dealt.groupBy("key", "row", "at").agg(F.first("part").alias("part"), F.count("*").alias("copies"))
-    done = over_batches(once, leaf_forms, f"key {key_type}, row bigint, at int, copies bigint, a binary, b binary", keep=True)
-    gathered = done.groupBy("key", "row").agg(F.collect_list(F.struct("at", "a", "b")).alias("parts"), F.max("copies").alias("copies"))
+    done = over_batches(once, leaf_forms, f"key {key_type}, row bigint, at int, copies bigint, ids binary", keep=True)
+    gathered = done.groupBy("key", "row").agg(F.collect_list(F.struct("at", "ids")).alias("parts"), F.max("copies").alias("copies"))
     whole = over_batches(gathered, joined, f"key {key_type}, copies bigint, {schema}", keep=True)
     again = whole.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("copies")
     return here.unionByName(again).withColumnRenamed("key", key)

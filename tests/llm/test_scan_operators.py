@@ -279,3 +279,28 @@ def test_placement_oracle(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     want = Counter(con.execute(queries.ORACLES["op1_shard_placement"]).fetchall())
     assert Counter((r["doc_id"], r["slot"], r["shard"]) for r in queries.op1_shard_placement(spark, SF).collect()) == want
+
+
+def test_bpe_sends_only_ids_and_spells_them_in_stretches(spark, monkeypatch):
+    """The parts of long texts meet as ids, not as their texts; a long row is spelled a stretch at a time."""
+    monkeypatch.setattr(bpe, "SPELLED", 7)
+    t, text = Tokenizer.from_file(PATH), "Some words, and more of them: " * 40
+    c = bpe.Codec(PATH)
+    stretches = list(c.spell(c.raw(text.encode())))
+    ids = t.encode(text, add_special_tokens=False).ids
+    assert len(stretches) > 10 and b"".join(x for x, _ in stretches).decode() == " ".join(map(str, ids))
+    assert b"".join(x for _, x in stretches).decode() == t.decode(ids, skip_special_tokens=False)
+    assert list(c.spell(b"")) == []
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    plan = bpe.digests(df, PATH, leaf=100)._jdf.queryExecution().analyzed().toString()
+    met = [line for line in plan.splitlines() if "collect_list" in line]
+    assert met and all("struct(at, at#" in line and line.count("ids#") == 1 for line in met)
+
+
+def test_other_tasks_make_a_worker_forget_its_tokenizer():
+    from hitscope.llm import text
+
+    bpe.codec(PATH).raw(b"some words")
+    assert PATH in bpe._codecs
+    text.forget()
+    assert not bpe._codecs
