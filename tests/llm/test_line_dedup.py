@@ -32,3 +32,16 @@ def test_numeric_rows_of_their_own_stay(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_line_templates(spark, docs, str(tmp_path)).collect()} == want
     digests = {r["doc_id"]: r["kept_sha256"] for r in queries.op4_line_templates(spark, str(tmp_path)).collect()}
     assert digests == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
+def test_no_task_of_line_dedup_has_two_python_processes(spark, monkeypatch):
+    """Processes stay between tasks, so two in one task are four for every two cores in all that follows."""
+    plans, stored = [], line_templates.stored
+
+    def seen(df, purpose):
+        plans.append(df._jdf.queryExecution().analyzed().toString().count("MapInArrow"))
+        return stored(df, purpose)
+
+    monkeypatch.setattr(line_templates, "stored", seen)
+    line_templates.dedup_lines(spark.createDataFrame([(i, f"same line {i % 2}") for i in range(9)], "doc_id bigint, text string"), plain=True).collect()
+    assert len(plans) > 3 and max(plans) == 1
