@@ -387,3 +387,59 @@ def test_brown_odd_rows(spark):
         rows = brown.score(df, model, vocabulary).collect()
         assert sorted(r["n_tokens"] for r in rows) == [1, 1, 2, 3, 3] and all(math.isfinite(r["score"]) for r in rows)
         assert brown.score(df.limit(0), model, vocabulary).count() == 0
+
+
+def brown_corpus(spark):
+    """Four kinds of words that only their neighbours tell apart, each word rarer than the marks; and words that occur once."""
+    rng = random.Random(4)
+    kinds = [[f"{rng.randrange(10**6):06d}{k}e" for _ in range(30)] for k in range(4)]
+    marks = ["ab", "cd", "ef", "gh"]
+    lines = []
+    for i in range(400):
+        words = []
+        for _ in range(12):
+            k = rng.randrange(4)
+            words += [marks[k], rng.choice(kinds[k]), marks[(k + 1) % 4]]
+        lines.append(" ".join(words + [f"once{i}e"]))
+    return kinds, spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").repartition(3)
+
+
+def test_brown_rare_words_are_clustered(spark, monkeypatch):
+    import pyarrow as pa
+    kinds, train = brown_corpus(spark)
+    monkeypatch.setattr(brown, "CLUSTERED", 0.05)
+    monkeypatch.setattr(brown, "PIECE", 1000)
+    scores = []
+    for listed in (1e-6, 0.05):  # all words looked up from the broadcast table, or all but the marks by the join
+        monkeypatch.setattr(brown, "LISTED", listed)
+        model, vocabulary = brown.fit(train)
+        c = {r["w"]: r["c"] for r in vocabulary.collect()}
+        of = [{c[int(h)] for h in brown.Words(brown.Texts(pa.array(k)), fold=True).hashes.view(np.int64)} for k in kinds]
+        assert max(max(x) for x in of) < brown.CLASSES and sum(map(len, of)) == len(set.union(*of)), of
+        scores.append({r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in brown.score(train, model, vocabulary).collect()})
+    for i, row in scores[0].items():
+        assert row == pytest.approx(scores[1][i])
+    at_once = brown.fit_and_score(train, brown.F.lit(True)).collect()
+    assert {r["doc_id"]: r["score"] for r in at_once} == pytest.approx({i: row[2] for i, row in scores[1].items()})
+
+
+def test_brown_rounds_raise_the_likelihood(spark, monkeypatch):
+    import pyarrow as pa
+    kinds, train = brown_corpus(spark)
+    monkeypatch.setattr(brown, "HELD", 100)
+    first = brown.Words(brown.Texts(pa.array([" ".join(w for k in kinds for w in k[:2])])), fold=True).hashes
+    start = brown.Lookup(first, np.full(8, 40), np.arange(8))
+    contexts = brown.count_contexts(train.select(brown.F.col("text").cast("binary").alias("text")), start)
+    counts = {r["w"]: r for r in contexts.collect()}
+    words = Counter(w for r in train.collect() for w in words_of(r["text"]))
+    assert sorted(r["n"] for r in counts.values()) == sorted(words.values())
+    likelihood = []
+    for rounds in range(4):
+        by_class = defaultdict(Counter)
+        classes = {r["w"]: r["c"] for r in brown.exchange(contexts, start, rounds)[0].collect()}
+        for w, r in counts.items():
+            by_class[classes[w]].update(dict(zip(r["cells"], r["counts"])))
+        totals = {c: sum(x.values()) / 2 for c, x in by_class.items()}
+        likelihood.append(sum(n * math.log((n + brown.PRIOR) / (totals[c] + brown.PRIOR * brown.CONTEXTS)) for c, x in by_class.items() for n in x.values()))
+        assert all(classes[w] >= brown.CLASSES for w, r in counts.items() if r["n"] == 1)
+    assert likelihood[1] > likelihood[0] and likelihood[3] >= likelihood[2] >= likelihood[1] - 1e-6, likelihood
